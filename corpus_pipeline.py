@@ -1,10 +1,83 @@
-"""Corpus pipeline: STAGES in order; each function takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its caller stores the result before the next stage
+starts, and the next stage then deletes what the one before kept in the shared folder for itself.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgelight.llm import common
+from edgelight.llm.decontaminate import decontaminate
+from edgelight.llm.langid import identify
+from edgelight.llm.line_dedup import dedup_lines
+from edgelight.llm.mixing import drawn, mix
+from edgelight.llm.near_dedup import near_duplicates
+
+DROPPED_IDS = 2_000_000
+_own: list[tuple[int, int]] = []
+
+
+def staged(f: Callable) -> Callable:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _own:
+            common.release_scratch(spark, *_own.pop())
+        since = common.scratch_mark()
+        out = f(spark, docs, sf_dir)
+        _own.append((since, common.scratch_mark()))
+        return out
+
+    run_stage.__name__ = f.__name__
+    run_stage.__doc__ = f.__doc__
+    return run_stage
+
+
+@staged
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or too far from every language's centroids, go; columns stay."""
+    return identify(docs).where(~F.col("rejected")).select(docs.columns)
+
+
+@staged
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines are cut from texts (n_chars follows); a document that becomes empty is a repeat and goes."""
+    cut = dedup_lines(docs).where("n_removed = 0 or text <> ''")
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+@staged
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8) stays, that with the smallest doc_id."""
+    gone = common.materialize(near_duplicates(docs, k=5, num=80, den=100).where(~F.col("kept")).select("doc_id"), "near-copies")
+    return docs.join(common.small_side(gone, gone.count(), DROPPED_IDS), "doc_id", "left_anti").select(docs.columns)
+
+
+@staged
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate(docs, common.table(spark, sf_dir, "benchmark"), keep_spans=False)
+    return found.where("decon.n_hit = 0").select(docs.columns)
+
+
+@staged
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per draw of the mix, with its shard and order; documents that are not drawn go."""
+    return drawn(mix(docs, keep=True))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmarks", benchmarks), ("mixture", mixture)]
+
+#: Centroids and signatures are beyond SQL; tests hold each stage against a plain version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents table, each stored in the shared folder before the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,12 +39,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete what materialize() has written; call it when the results that read it are stored elsewhere."""
+def scratch_mark() -> int:
+    return len(_scratch)
+
+
+def release_scratch(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Delete what materialize() has written between two marks; call it when the results that read it are stored elsewhere."""
     sc = spark.sparkContext
-    while _scratch:
-        path = sc._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    for name in _scratch[since:upto]:
+        if name:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _scratch[since:upto] = [""] * len(_scratch[since:upto])
 
 
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:

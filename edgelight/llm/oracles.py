@@ -36,4 +36,75 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, m.c component_id, d.doc_id
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
 """
 
-SQL = {"op8_decontaminate": OP8, "op9_near_duplicates": OP9}
+
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () rid, coalesce(doc_id, 9223372036854775807) key, doc_id, text,
+                  list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?] |\z)'), lambda x: x <> '') ls FROM documents),
+l AS (SELECT rid, key, i - 1 i, len(ls) n, ls[i] t, ('0x' || substr(md5(ls[i]), 1, 12))::BIGINT h, ends_with(ls[i], chr(10)) e
+      FROM (SELECT rid, key, ls, unnest(generate_series(1, len(ls))) i FROM d)),
+r AS (SELECT *, CASE WHEN i = 0 THEN h ELSE (h * 31 + lag(h) OVER w * 17) % 1000000007 END r,
+             lag(e) OVER w e1, lag(e, 2) OVER w e2 FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
+b AS (SELECT *, CASE WHEN i = 0 OR (i > 1 AND r < lag(r) OVER w AND (lead(r) OVER w IS NULL OR r <= lead(r) OVER w))
+                       OR (coalesce(e1, false) AND NOT e AND i < n - 1) OR (coalesce(e1, false) AND i > 1 AND NOT coalesce(e2, true))
+                     THEN 1 ELSE 0 END s FROM r WINDOW w AS (PARTITION BY rid ORDER BY i)),
+c AS (SELECT rid, key, min(i) pos, count(*) n, string_agg(t, '' ORDER BY i) body
+      FROM (SELECT *, sum(s) OVER (PARTITION BY rid ORDER BY i) c FROM b) GROUP BY rid, key, c),
+w AS (SELECT * FROM c UNION ALL
+      SELECT d.rid, d.key, -1, x.n, d.text FROM d JOIN (SELECT rid, sum(n) n FROM c GROUP BY rid HAVING count(*) > 1) x USING (rid)),
+e AS (SELECT * FROM w WHERE n >= 2 AND len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 10),
+f AS (SELECT body, min({k: key, p: pos}) f FROM e GROUP BY body),
+g AS (SELECT rid, list(pos) gone FROM e JOIN f USING (body) WHERE {k: key, p: pos} > f GROUP BY rid),
+k AS (SELECT c.rid, sum(c.n) n, sum(CASE WHEN list_contains(gone, -1) OR list_contains(gone, pos) THEN c.n ELSE 0 END) r,
+             string_agg(CASE WHEN list_contains(gone, -1) OR list_contains(gone, pos) THEN '' ELSE body END, '' ORDER BY pos) t
+      FROM c LEFT JOIN g USING (rid) GROUP BY c.rid)
+SELECT doc_id, coalesce(k.n, 0)::BIGINT n_lines, coalesce(k.r, 0)::BIGINT n_removed,
+       coalesce(length(text) - length(coalesce(k.t, text)), 0)::BIGINT chars_removed, coalesce(k.t, text) "text"
+FROM d LEFT JOIN k USING (rid)
+"""
+
+OP4 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e) score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
+SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+BASE32 = "array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '')"
+
+OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') t, sha1(coalesce(html, '')) h FROM pages),
+m AS (SELECT t, max(page_id) last FROM p GROUP BY t)
+SELECT page_id, octet_length(encode(t))::BIGINT payload_bytes, {BASE32} payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id <> last THEN last END refers_to
+FROM p JOIN m USING (t)
+"""
+
+
+def digest60(*parts: str) -> str:
+    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(f"coalesce(({p})::VARCHAR, '')" for p in parts) + ")), 1, 15))::BIGINT"
+
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
+a AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) sid, 1.5::DOUBLE * sum(source_size) OVER () total, 2.0::DOUBLE * source_size cap FROM s),
+b AS (SELECT *, [3, 1, 2][((sid - 1) % 3 + 1)::INT] weight FROM a),
+c AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) rest0,
+             sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) weights FROM b),
+e AS (SELECT *, cap * weights <= rest0 * weight whole_cap FROM c),
+f AS (SELECT *, CASE WHEN whole_cap THEN cap ELSE max(CASE WHEN NOT whole_cap THEN rest0 / weights END) OVER () * weight END target FROM e),
+g AS (SELECT *, least(floor(target + 0.5), floor(cap))::BIGINT quota, greatest(ceil(sqrt(source_size)), 1)::BIGINT n_blocks FROM f),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END whole FROM g),
+x AS (SELECT doc_id, size, h.*, quota - whole * source_size rest, {digest60("'mix/block'", "doc_id")} % n_blocks block
+      FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+y AS (SELECT sid, block, sum(size) words, {digest60("'mix/order'", "sid", "block")} o FROM x GROUP BY sid, block),
+z AS (SELECT *, sum(words) OVER (PARTITION BY sid ORDER BY o, block) - words before FROM y),
+t AS (SELECT x.*, greatest(least(rest - before, words), 0) part,
+             sum(size) OVER (PARTITION BY x.sid, x.block ORDER BY {digest60("'mix/doc'", "doc_id")}, doc_id, size ROWS UNBOUNDED PRECEDING) - size seen
+      FROM x JOIN z USING (sid, block))
+SELECT doc_id, size, source_size, target, (whole * size + greatest(least(part - seen, size), 0))::BIGINT taken FROM t
+"""
+
+SQL = {"op2_line_dedup": OP2, "op4_nearest": OP4, "op5_warc": OP5, "op7_mix": OP7, "op8_decontaminate": OP8, "op9_near_duplicates": OP9}

@@ -6,9 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelight.llm import oracles
-from edgelight.llm.common import table
+from edgelight.llm import pii, url_rules, warc
+from edgelight.llm.common import materialize, scratch_path, table
 from edgelight.llm.decontaminate import decontaminate
+from edgelight.llm.langid import held_out, identify
+from edgelight.llm.line_dedup import dedup_lines
+from edgelight.llm.mixing import mix
 from edgelight.llm.near_dedup import near_duplicates
+from edgelight.llm.token_counts import count_tokens
+from edgelight.llm.vptree import nearest
+
+TOKEN_LIMIT = 512
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "chars_removed", "text")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_rules.mine(pages, table(spark, sf_dir, "labels"))
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    materialize(warc.write_bundles(pages, folder), "warc-index")
+    back = warc.read_bundles(spark, folder, payloads=False)
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    counts = count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +68,20 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.detect(docs, model=pii.train(docs))
+    counts = [n_of(k) for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def n_of(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_decontaminate, op9_near_duplicates)}
+    own = (op1_language_id, op2_line_dedup, op3_url_rules, op4_nearest, op5_warc, op6_token_counts, op7_mix, op8_decontaminate, op9_near_duplicates, op10_pii)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
