@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from edgelight.plans import native_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(native_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(native_queries.SQL)
