@@ -32,7 +32,7 @@ def first_min() -> Column:
 def peak_between_indices(df: DataFrame, lo: float, hi: float, valley: bool = False) -> DataFrame:
     """First largest (smallest) y between index_of(lo) and index_of(hi), both included."""
     every = Window.partitionBy("gid")
-    df = df.withColumn("a", index_of(lo).over(every) if False else F.coalesce(F.max(F.when(F.col("x") <= lo, F.col("idx"))).over(every), F.lit(0)))
+    df = df.withColumn("a", F.coalesce(F.max(F.when(F.col("x") <= lo, F.col("idx"))).over(every), F.lit(0)))
     df = df.withColumn("b", F.coalesce(F.max(F.when(F.col("x") <= hi, F.col("idx"))).over(every), F.lit(0)))
     best = first_min() if valley else first_max()
     got = df.where(F.col("idx").between(F.least("a", "b"), F.greatest("a", "b"))).groupBy("gid").agg(best.alias("p"))

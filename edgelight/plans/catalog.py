@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from edgelight.plans import native_queries
+from edgelight.plans import kernel_queries, native_queries
 
 
 def queries() -> dict:
-    return dict(native_queries.QUERIES)
+    return {**native_queries.QUERIES, **kernel_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(native_queries.SQL)
+    return {**native_queries.SQL, **kernel_queries.SQL}
