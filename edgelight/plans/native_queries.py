@@ -51,27 +51,32 @@ def items(spark, sf):
     return spark.read.parquet(f"{sf}/lineitem.parquet")
 
 
-I0, IT = F.col("l_extendedprice"), F.col("l_quantity")
+def i0():
+    return F.col("l_extendedprice")
+
+
+def it():
+    return F.col("l_quantity")
 
 
 @query("SELECT l_orderkey, round(ln(l_extendedprice / l_quantity), 6) mu FROM lineitem")
 def mu_transmission(spark, sf):
-    return out(items(spark, sf).select("l_orderkey", p.mu_transmission(I0, IT).alias("mu")), ["l_orderkey"], "mu")
+    return out(items(spark, sf).select("l_orderkey", p.mu_transmission(i0(), it()).alias("mu")), ["l_orderkey"], "mu")
 
 
 @query("SELECT l_orderkey, round(ln(l_quantity / l_extendedprice), 6) mu FROM lineitem")
 def mu_reference(spark, sf):
-    return out(items(spark, sf).select("l_orderkey", p.mu_reference(IT, I0).alias("mu")), ["l_orderkey"], "mu")
+    return out(items(spark, sf).select("l_orderkey", p.mu_reference(it(), i0()).alias("mu")), ["l_orderkey"], "mu")
 
 
 @query("SELECT l_orderkey, round((l_discount + l_tax + l_quantity) / l_extendedprice, 6) + 0.0 mu FROM lineitem")
 def mu_fluorescence(spark, sf):
-    return out(items(spark, sf).select("l_orderkey", p.mu_fluorescence(I0, F.col("l_discount"), F.col("l_tax"), IT).alias("mu")), ["l_orderkey"], "mu")
+    return out(items(spark, sf).select("l_orderkey", p.mu_fluorescence(i0(), F.col("l_discount"), F.col("l_tax"), it()).alias("mu")), ["l_orderkey"], "mu")
 
 
 @query("SELECT l_orderkey, round(l_quantity, 6) + 0.0 mu FROM lineitem")
 def mu_raw(spark, sf):
-    return out(items(spark, sf).select("l_orderkey", IT.alias("mu")), ["l_orderkey"], "mu")
+    return out(items(spark, sf).select("l_orderkey", it().alias("mu")), ["l_orderkey"], "mu")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || '_' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') WHEN c_custkey % 3 = 1 THEN c_name ELSE c_name END name FROM customer")
