@@ -6,11 +6,12 @@ pair's signatures are compared in batches, and after each batch the pair is drop
 similarity reaches the threshold (uniform prior) is under the miss probability. Survivors are verified on full sets.
 
 No bucket emits all its pairs. First every member is paired with its bucket's smallest id. Later rounds look only at
-buckets that still hold several components: inside a task, batches prune the pairs between components, and each member
-puts forward its most similar untested partners in every other component. Rounds end when no untested pair survives, so
-no link that could join two components is lost, beyond the stated probabilities of bands and batches. A bucket of more than BLOCK members is compared in
-pairs of blocks, so a task holds at most two blocks. Components come from iterated joins on tables in the shared
-folder; links and labels never reach the driver.
+buckets that still hold several components: inside a task, batches (of one byte per hash, which can only overstate
+matches) prune the pairs between components, and each member puts forward its most similar partners, four times as many
+each round. A bucket is done when it has put forward all its surviving pairs or is one component, so no link that could
+join two components is lost, beyond the stated probabilities of bands and batches. A bucket of more than BLOCK members
+is compared in pairs of blocks, so a list holds at most two blocks. Components come from iterated joins on tables in the
+shared folder; links and labels never reach the driver.
 
 Defined results: null or empty text and text without words have an empty set, linked with nothing; fewer than k words
 form one shingle; rows that share an id are one node; a null id is linked with nothing and its component is null.
@@ -22,7 +23,6 @@ import hashlib
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ STEP = 16
 BLOCK = 2048
 MISS = 1e-9
 BAND_MISS = 1e-6
+#: Miss probability of pairs other than with a bucket's pivot, which mostly have several ways to be joined
+LATE_MISS = 1e-5
 BROADCAST_IDS = 2_000_000
 
 
@@ -180,35 +182,60 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def between_components(threshold: float, top: int):
-    """Kernel for one bucket (or pair of its blocks): the most similar untested pairs between components."""
-    least = least_matches(threshold)
+    """Kernel over buckets (or pairs of their blocks): of each member the `top` most similar members of other components.
+
+    Yields (key, a, b), and (key, null, null) for a bucket of which a member had more than `top`.
+    """
+    least = least_matches(threshold, miss=LATE_MISS)
+    first = 2 * STEP
+
+    def pairs_of(ids, labels, n, sig, block, one):
+        for i in range(0, len(ids), 256):
+            rows = np.arange(i, min(i + 256, len(ids)))
+            fits = (labels[rows, None] != labels) & (np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n) - 1e-9)
+            if not one:
+                fits &= block[rows, None] != block
+            if not fits.any():
+                continue
+            hits = np.zeros(fits.shape, np.uint8)
+            for c in range(first):
+                hits += sig[rows, c, None] == sig[None, :, c]
+            x, y = np.nonzero(fits & (hits >= least[first // STEP - 1]))
+            h = hits[x, y].astype(np.int64)
+            x = rows[x]
+            for s in range(first // STEP, len(least)):
+                cut = slice(s * STEP, (s + 1) * STEP)
+                h += (sig[x, cut] == sig[y, cut]).sum(axis=1)
+                keep = h >= least[s]
+                x, y, h = x[keep], y[keep], h[keep]
+            if len(x):
+                yield x, y, h
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
-        ids, labels, n = (pdf[c].to_numpy() for c in ("id", "label", "n"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), PERMS)
-        blocks = pdf["block"].to_numpy()
-        tested = [set(t) if t is not None else set() for t in pdf["tested"]]
-        out: dict[tuple[int, int], None] = {}
-        for i in range(len(ids)):
-            rest = np.flatnonzero((labels != labels[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9) & ((blocks != blocks[i]) | (pdf["one"].iat[0])))
-            hits = np.zeros(len(rest), np.int64)
-            for s, m in enumerate(least):
-                hits += (sig[rest, s * STEP : (s + 1) * STEP] == sig[i, s * STEP : (s + 1) * STEP]).sum(axis=1)
-                keep = hits >= m
-                rest, hits = rest[keep], hits[keep]
-                if not len(rest):
-                    break
-            if tested[i]:
-                keep = np.array([ids[j] not in tested[i] for j in rest], bool)
-                rest, hits = rest[keep], hits[keep]
-            used: dict[int, int] = {}
-            for j in rest[np.lexsort((ids[rest], -hits))].tolist():
-                seen = used.get(labels[j], 0)
-                if seen < top:
-                    used[labels[j]] = seen + 1
-                    out[(min(ids[i], ids[j]), max(ids[i], ids[j]))] = None
-        return pd.DataFrame(list(out), columns=["a", "b"]).astype("int64")
+    def run(batches):
+        for batch in batches:
+            keys, out_a, out_b = [], [], []
+            for key, one, members in zip(batch.column("key").to_pylist(), batch.column("one").to_pylist(), batch.column("members")):
+                m = members.values
+                ids, labels, n, block = (m.field(f).to_numpy() for f in ("id", "label", "n", "block"))
+                if labels.min() == labels.max():
+                    continue
+                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint32).reshape(len(ids), PERMS).astype(np.uint8)
+                more = False
+                for x, y, h in pairs_of(ids, labels, n, sig, block, one):
+                    order = np.lexsort((ids[y], -h, x))
+                    x, y = x[order], y[order]
+                    begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+                    place = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+                    more |= bool((place >= top).any())
+                    x, y = ids[x[place < top]], ids[y[place < top]]
+                    keys += [key] * len(x)
+                    out_a += np.minimum(x, y).tolist()
+                    out_b += np.maximum(x, y).tolist()
+                if more:
+                    keys.append(key)
+                    out_a.append(None)
+                    out_b.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["key", "a", "b"])
 
     return run
 
@@ -226,28 +253,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     big = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("pivot < top").drop("top")
     members = materialize(bands.join(big, "key"), "members")
     pairs = materialize(survivors(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, t), "candidates")
-    store, links, tested, top = Sets(docs, id_col, text_col, k), None, None, 2
+    store, links, tested, top = Sets(docs, id_col, text_col, k), None, None, 8
     labels = reps.select("id", F.col("id").alias("label"))
-    while pairs.head(1):
-        judged = materialize(verified(pairs, store.add(pairs), num, den).distinct(), "judged")
-        tested = judged if tested is None else tested.unionByName(judged)
-        found = judged.where("ok")
-        links = found if links is None else links.unionByName(found)
-        if found.head(1):
-            joined = components(links)
-            labels = materialize(reps.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "node-labels")
-        # buckets of one component are done; pairs already tested are left out
+    open_keys = None
+    while True:
+        if pairs.head(1):
+            judged = materialize(verified(pairs, store.add(pairs), num, den).distinct(), "judged")
+            tested = judged if tested is None else tested.unionByName(judged)
+            found = judged.where("ok")
+            if found.head(1):
+                links = found if links is None else links.unionByName(found)
+                labels = materialize(reps.select("id").distinct().join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "node-labels")
+        elif open_keys is None:
+            break
+        # a bucket of one component is done, and so is one of which the last round has put forward all its pairs
         now = members.select("key", "id", "size").join(labels, "id")
+        if open_keys is not None:
+            if not open_keys.head(1):
+                break
+            now = now.join(open_keys, "key", "left_semi")
         mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        past = tested.where("not ok").select(F.col("a").alias("id"), F.col("b").alias("o")).union(tested.where("not ok").select("b", "a")).groupBy("id").agg(F.collect_set("o").alias("tested"))
-        rows = now.join(mixed, "key").join(reps, "id").join(past, "id", "left")
+        rows = now.join(mixed, "key", "left_semi").join(reps, "id")
         n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        rows = rows.withColumn("one", F.col("lo") == F.col("hi"))
-        kernel = between_components(t, top)
-        new = rows.select("key", "lo", "hi", "one", "block", "id", "label", "n", "sig", "tested").groupBy("key", "lo", "hi").applyInPandas(kernel, "a long, b long").distinct()
-        pairs = materialize(new, "candidates")
+        # at most two blocks of members in a list
+        lists = rows.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("id", "label", "n", "sig", "block")).alias("members"))
+        lists = lists.select("key", (F.col("lo") == F.col("hi")).alias("one"), "members")
+        new = materialize(lists.mapInArrow(between_components(t, top), "key long, a long, b long"), "put-forward")
+        open_keys = new.where("a is null").select("key").distinct()
+        pairs = new.where("a is not null").select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "candidates")
         top *= 4
     dup = full.select("id", "n", "digest").join(classes, "digest").select("id", "n", "rep")
     named = dup.join(labels.select(F.col("id").alias("rep"), "label"), "rep").select("id", "n", F.col("label").alias("component"))
