@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from edgelight.llm.common import materialize, small_side
 
-LINE = r"((?s).*?(?:\n|[.!?] |\z))"
+#: The space after a sentence end; the literal first character keeps the search fast
+SENTENCE = r" (?<=[.!?] )"
 MIN_WORDS = 10
 BROADCAST_HASHES = 1_000_000
 LAST = (1 << 63) - 1
@@ -36,7 +37,17 @@ def let(value: Column, body) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(LINE), 1), lambda x: x != "")
+    """Physical lines, each cut after its sentence ends; separators stay with what they end."""
+    physical = F.split(text, "\n", -1)
+
+    def cut(own: Column) -> Column:
+        def sentences(line: Column, i: Column) -> Column:
+            end = F.when(i < F.size(own) - 1, F.lit("\n")).otherwise(F.lit(""))
+            return let(F.split(line, SENTENCE, -1), lambda s: F.transform(s, lambda x, j: F.concat(x, F.when(j < F.size(s) - 1, F.lit(" ")).otherwise(end))))
+
+        return F.flatten(F.transform(own, sentences))
+
+    return F.filter(let(physical, cut), lambda x: x != "")
 
 
 def chunks(text: Column) -> Column:
@@ -76,37 +87,37 @@ def n_words(text: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text_col cut, and n_lines, n_removed (lines) and chars_removed (a column of docs with such a name gives way).
+    """docs with text_col cut, and n_removed (lines) and chars_removed (a column of docs with such a name gives way).
 
     A whole text of several lines counts as a chunk too, so a copy of an earlier text becomes empty.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key")
     every = docs.select(key, F.explode(with_whole(F.col(text_col))).alias("c")).where("c.n_lines >= 2")
-    every = every.select("key", "c.pos", "c.body").where(n_words(F.col("body")) >= min_words).withColumn("hash", F.xxhash64("body"))
+    # n words and the spaces between them take 2 n - 1 characters; words are counted on candidates only
+    every = every.select("key", "c.pos", "c.body").where(F.length("body") >= 2 * min_words - 1).withColumn("hash", F.xxhash64("body"))
     # hashes that occur more than once; (key, pos) of a repeated row is the same occurrence
     twice = every.select("hash", "key", "pos").groupBy("hash").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min("pos").alias("p1"), F.max("pos").alias("p2"))
     twice = materialize(twice.where("k1 < k2 or p1 < p2").select("hash"), "repeated")
     bodies = every.join(small_side(twice, twice.count(), BROADCAST_HASHES), "hash", "left_semi").select("key", "pos", "body")
+    bodies = materialize(bodies.where(n_words(F.col("body")) >= min_words), "bodies")
     place = F.struct("key", "pos")
     groups = bodies.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("final"))
     groups = materialize(groups.where("first < final").select("body", "first"), "groups")
     marks = bodies.join(groups, "body").where(place > F.col("first")).select("key", "pos")
     gone = materialize(marks.groupBy("key").agg(F.collect_set("pos").alias("gone")), "gone")  # bounded by the document's own lines
-    own = docs.select(F.struct("*").alias("doc"), key).join(gone, "key", "left")
+    own = docs.select(F.struct("*").alias("doc"), key).join(gone.hint("merge"), "key", "left")
     own = own.withColumn("gone", F.coalesce("gone", F.array().cast(NOTHING)))
     text = F.col(f"doc.`{text_col}`")
 
     def kept(c: Column) -> Column:
         stay = F.filter(c, lambda x: ~F.array_contains("gone", x["pos"]) & ~F.array_contains("gone", F.lit(-1)))
-        return F.struct(total_lines(c).alias("n_lines"), total_lines(stay).alias("stay"), F.array_join(F.transform(stay, lambda x: x["body"]), "").alias("text"))
-
-    own = own.withColumn("result", let(F.coalesce(chunks(text), F.array().cast(NO_CHUNKS)), kept))
-    own = own.withColumn("new_text", F.when(text.isNotNull(), F.when(F.size("gone") == 0, text).otherwise(F.col("result.text"))))
-    added = {
-        "n_lines": F.col("result.n_lines"),
-        "n_removed": F.col("result.n_lines") - F.col("result.stay"),
-        "chars_removed": F.coalesce((F.length(text) - F.length("new_text")).cast("long"), F.lit(0).cast("long")),
-    }
+        return F.struct((total_lines(c) - total_lines(stay)).alias("n_removed"), F.array_join(F.transform(stay, lambda x: x["body"]), "").alias("text"))
+
+    # texts without a mark are not cut again
+    own = own.withColumn("result", F.when(F.size("gone") > 0, let(F.coalesce(chunks(text), F.array().cast(NO_CHUNKS)), kept)))
+    own = own.withColumn("new_text", F.when(F.size("gone") > 0, F.col("result.text")).otherwise(text))
+    none = F.lit(0).cast("long")
+    added = {"n_removed": F.coalesce("result.n_removed", none), "chars_removed": F.coalesce((F.length(text) - F.length("new_text")).cast("long"), none)}
     same = [F.col("new_text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in added]
     return own.select(*same, *(v.alias(c) for c, v in added.items()))
 

@@ -57,7 +57,7 @@ g AS (SELECT rid, list(pos) gone FROM e JOIN f USING (body) WHERE {k: key, p: po
 k AS (SELECT c.rid, sum(c.n) n, sum(CASE WHEN list_contains(gone, -1) OR list_contains(gone, pos) THEN c.n ELSE 0 END) r,
              string_agg(CASE WHEN list_contains(gone, -1) OR list_contains(gone, pos) THEN '' ELSE body END, '' ORDER BY pos) t
       FROM c LEFT JOIN g USING (rid) GROUP BY c.rid)
-SELECT doc_id, coalesce(k.n, 0)::BIGINT n_lines, coalesce(k.r, 0)::BIGINT n_removed,
+SELECT doc_id, coalesce(k.r, 0)::BIGINT n_removed,
        coalesce(length(text) - length(coalesce(k.t, text)), 0)::BIGINT chars_removed, coalesce(k.t, text) "text"
 FROM d LEFT JOIN k USING (rid)
 """

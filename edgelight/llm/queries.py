@@ -26,7 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "chars_removed", "text")
+    return dedup_lines(docs).select("doc_id", "n_removed", "chars_removed", "text")
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
