@@ -30,8 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgelight.llm.common import materialize, small_side
+
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+BROADCAST_ROWS = 100_000
 #: Fixed values of the seekable format: skippable frame magic, seek table magic, descriptor with checksums
 SKIPPABLE, SEEKABLE, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0x80
 ID = "<urn:edgelight:record:{}>"
@@ -124,7 +127,10 @@ def roles(records: DataFrame, id_col: str, payload_col: str, min_dedup: int) ->
     """(id, kind, refers_to) from digests only."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     small = records.select(F.col(id_col).cast("long").alias("id"), F.struct(F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"), F.sha2(payload, 256).alias("sha256")).alias("content"))
-    most = small.where(F.col("content.size") >= min_dedup).groupBy("content").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    most = small.where(F.col("content.size") >= min_dedup).groupBy("content").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("content", "last")
+    # written out, so that both sides of the join are dealt by content and a hot one can be split
+    most = materialize(most, "copies")
+    most = small_side(most, most.count(), BROADCAST_ROWS)
     # only copies other than the last get a row here; all other records are responses
     return small.join(most, "content").where("id < last").select("id", "last").distinct()
 
@@ -175,9 +181,8 @@ def read_bundles(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                bundle = content.as_buffer()
-                bundle = memoryview(bundle)
-                for frame in seek_table(bytes(bundle[-9:]) if not len(bundle) else bundle):
+                bundle = memoryview(content.as_buffer())
+                for frame in seek_table(bundle):
                     data, at, rows = read_frame(bundle, frame), 0, []
                     while at < len(data):
                         head, body, at = parse_record(data, at)
