@@ -17,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, DataType
+from pyspark.sql.types import DataType, StructField, StructType
+
+from edgelight.llm.common import materialize
 
 DIMS = 4096
 SAMPLE = 400
 PER_LANG = 4
 SLACK = 0.5
 QUANTILE = 0.005
+MAX_LANGS = 2000
 PIECE = 1 << 18
 #: A text of fewer n-grams lies farther from any centroid: its floor shrinks with the square root of their number
 FULL = 600
@@ -118,9 +121,11 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG, slack:
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if (n_langs := sizes.count()) > MAX_LANGS:
+        raise ValueError(f"{n_langs} languages; a model holds {MAX_LANGS} at most")
     digest = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-    picked = train.withColumn("digest", digest).join(F.broadcast(sizes), "lang")  # a row per language
+    picked = train.withColumn("digest", digest).join(F.broadcast(sizes), "lang")  # MAX_LANGS rows at most
     picked = picked.where(F.col("digest") < 2.0 * sample / F.col("n")).select("lang", "digest", "text")
 
     def vectors(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelight.llm.common import scratch_path
+from edgelight.llm.common import materialize, scratch_path
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: Characters whose classes are stable: up to U+024F, and U+2010 to U+2027
@@ -96,8 +96,8 @@ def cached_counts(docs: DataFrame, path: str, rank_path: str | None = None, patt
 
     misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
-    # two callers may append the same key; a key has one count
-    return keyed, counts.groupBy("content").agg(F.first("n_tokens").alias("n_tokens"))
+    # two callers may append the same key; a key has one count. Written out, so that the join can split a hot key
+    return keyed, materialize(counts.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
 
 
 def count_tokens(docs: DataFrame, path: str, rank_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: str | None = None) -> DataFrame:
