@@ -126,10 +126,14 @@ class Search:
 def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
     """(dim, shard, tree) for usable rows (id, v), in the shared folder."""
     facts = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("limit"))
+    facts = materialize(facts, "vector-facts")
+    shards = facts.agg(F.sum(F.ceil(F.col("n") / shard_rows))).head()[0] or 1
     # one row per vector length; joined, so a few lengths or many take the same way
     rows = rows.withColumn("dim", F.size("v")).join(facts, "dim")
     n = F.ceil(F.col("n") / shard_rows).cast("int")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), n).cast("int"))
+    # as many tasks and files as shards, so trees are built and searched side by side
+    rows = rows.repartition(int(shards), "dim", "shard")
 
     def run(pdf):
         import pandas as pd
