@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from edgelight.llm import wordhash as wh
 from edgelight.llm.common import materialize, small_side
 
+#: Hashes of the bands, kept whole, and further ones for comparison only, kept as one byte
 PERMS = 128
+EXTRA = 256
+ALL = PERMS + EXTRA
 STEP = 16
 BLOCK = 2048
 MISS = 1e-9
@@ -50,7 +53,7 @@ def rows_per_band(threshold: float, perms: int = PERMS, miss: float = BAND_MISS)
     return max([r for r in range(1, 17) if (1 - threshold**r) ** (perms // r) <= miss], default=1)
 
 
-def least_matches(threshold: float, perms: int = PERMS, step: int = STEP, miss: float = MISS) -> list[int]:
+def least_matches(threshold: float, perms: int = ALL, step: int = STEP, miss: float = MISS) -> list[int]:
     """For each batch, the fewest matches with P(similarity >= threshold | matches) >= miss under a uniform prior."""
     found = []
     for n in range(step, perms + 1, step):
@@ -82,16 +85,27 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def stored(sig: np.ndarray) -> bytes:
+    return sig[:PERMS].tobytes() + sig[PERMS:].astype(np.uint8).tobytes()
+
+
+def loaded(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(whole hashes of the bands, one byte of every hash), a row per document."""
+    raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), 4 * PERMS + EXTRA)
+    whole = np.ascontiguousarray(raw[:, : 4 * PERMS]).view(np.uint32)
+    return whole, np.hstack([whole.astype(np.uint8), raw[:, 4 * PERMS :]])
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches):
-        a, b = permutations(PERMS)
+        a, b = permutations(ALL)
         for batch in batches:
             n, digest, sig = [], [], []
             for _, texts in wh.groups(batch.column(1)):
                 for s in sets_of(texts, k):
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sig.append(signature(s, a, b).tobytes() if len(s) else None)
+                    sig.append(stored(signature(s, a, b)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "digest", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, sig binary")
@@ -106,7 +120,7 @@ def survivors(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             alive = np.arange(len(a))
             if len(a):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(len(a), PERMS) for c in ("sig_a", "sig_b"))
+                x, y = (loaded(batch.column(c).to_pylist())[1] for c in ("sig_a", "sig_b"))
                 n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
                 alive = np.flatnonzero(np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
                 hits = np.zeros(len(alive), np.int64)
@@ -181,7 +195,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def between_components(threshold: float, top: int):
+def between_components(threshold: float, top: int, r: int):
     """Kernel over buckets (or pairs of their blocks): of each member the `top` most similar members of other components.
 
     Yields (key, a, b), and (key, null, null) for a bucket of which a member had more than `top`.
@@ -189,7 +203,7 @@ def between_components(threshold: float, top: int):
     least = least_matches(threshold, miss=LATE_MISS)
     first = 2 * STEP
 
-    def pairs_of(ids, labels, n, sig, block, one):
+    def pairs_of(ids, labels, n, whole, sig, block, one, band):
         for i in range(0, len(ids), 256):
             rows = np.arange(i, min(i + 256, len(ids)))
             fits = (labels[rows, None] != labels) & (np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n) - 1e-9)
@@ -208,20 +222,23 @@ def between_components(threshold: float, top: int):
                 h += (sig[x, cut] == sig[y, cut]).sum(axis=1)
                 keep = h >= least[s]
                 x, y, h = x[keep], y[keep], h[keep]
-            if len(x):
-                yield x, y, h
+            # a pair belongs to the first band in which it agrees
+            agree = (whole[x, : r * (PERMS // r)] == whole[y, : r * (PERMS // r)]).reshape(len(x), PERMS // r, r).all(axis=2)
+            mine = agree.argmax(axis=1) == band
+            if mine.any():
+                yield x[mine], y[mine], h[mine]
 
     def run(batches):
         for batch in batches:
             keys, out_a, out_b = [], [], []
-            for key, one, members in zip(batch.column("key").to_pylist(), batch.column("one").to_pylist(), batch.column("members")):
+            for key, band, one, members in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "one")), batch.column("members")):
                 m = members.values
                 ids, labels, n, block = (m.field(f).to_numpy() for f in ("id", "label", "n", "block"))
                 if labels.min() == labels.max():
                     continue
-                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint32).reshape(len(ids), PERMS).astype(np.uint8)
+                whole, sig = loaded(m.field("sig").to_pylist())
                 more = False
-                for x, y, h in pairs_of(ids, labels, n, sig, block, one):
+                for x, y, h in pairs_of(ids, labels, n, whole, sig, block, one, band):
                     order = np.lexsort((ids[y], -h, x))
                     x, y = x[order], y[order]
                     begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
@@ -249,9 +266,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sig"), "reps")
     r = rows_per_band(t)
     keys = F.transform(F.sequence(F.lit(0), F.lit(PERMS // r - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * r) + 1, F.lit(4 * r))))
-    bands = reps.select("id", F.explode(keys).alias("key"))
+    bands = reps.select("id", F.posexplode(keys).alias("band", "key"))
     big = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("pivot < top").drop("top")
-    members = materialize(bands.join(big, "key"), "members")
+    # written out, so that both sides are dealt by key and a hot bucket can be split
+    members = materialize(bands.join(materialize(big, "buckets"), "key"), "members")
     pairs = materialize(survivors(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, t), "candidates")
     store, links, tested, top = Sets(docs, id_col, text_col, k), None, None, 8
     labels = reps.select("id", F.col("id").alias("label"))
@@ -267,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         elif open_keys is None:
             break
         # a bucket of one component is done, and so is one of which the last round has put forward all its pairs
-        now = members.select("key", "id", "size").join(labels, "id")
+        now = members.select("key", "band", "id", "size").join(labels, "id")
         if open_keys is not None:
             if not open_keys.head(1):
                 break
@@ -278,9 +296,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         # at most two blocks of members in a list
-        lists = rows.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("id", "label", "n", "sig", "block")).alias("members"))
-        lists = lists.select("key", (F.col("lo") == F.col("hi")).alias("one"), "members")
-        new = materialize(lists.mapInArrow(between_components(t, top), "key long, a long, b long"), "put-forward")
+        lists = rows.groupBy("key", "lo", "hi").agg(F.first("band").alias("band"), F.collect_list(F.struct("id", "label", "n", "sig", "block")).alias("members"))
+        lists = lists.select("key", "band", (F.col("lo") == F.col("hi")).alias("one"), "members")
+        new = materialize(lists.mapInArrow(between_components(t, top, r), "key long, a long, b long"), "put-forward")
         open_keys = new.where("a is null").select("key").distinct()
         pairs = new.where("a is not null").select("a", "b").distinct()
         if tested is not None:
