@@ -270,9 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     big = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("pivot < top").drop("top")
     # written out, so that both sides are dealt by key and a hot bucket can be split
     members = materialize(bands.join(materialize(big, "buckets"), "key"), "members")
-    pairs = materialize(survivors(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, t), "candidates")
+    # what shares no bucket needs no signature from here on
+    near = materialize(reps.join(members.select("id").distinct(), "id", "left_semi"), "near")
+    pairs = materialize(survivors(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), near, t), "candidates")
     store, links, tested, top = Sets(docs, id_col, text_col, k), None, None, 8
-    labels = reps.select("id", F.col("id").alias("label"))
+    labels = near.select("id", F.col("id").alias("label")).distinct()
     open_keys = None
     while True:
         if pairs.head(1):
@@ -281,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = judged.where("ok")
             if found.head(1):
                 links = found if links is None else links.unionByName(found)
-                labels = materialize(reps.select("id").distinct().join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "node-labels")
+                labels = materialize(near.select("id").distinct().join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "node-labels")
         elif open_keys is None:
             break
         # a bucket of one component is done, and so is one of which the last round has put forward all its pairs
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             now = now.join(open_keys, "key", "left_semi")
         mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rows = now.join(mixed, "key", "left_semi").join(reps, "id")
+        rows = now.join(mixed, "key", "left_semi").join(near, "id")
         n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -306,6 +308,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = materialize(pairs, "candidates")
         top *= 4
     dup = full.select("id", "n", "digest").join(classes, "digest").select("id", "n", "rep")
-    named = dup.join(labels.select(F.col("id").alias("rep"), "label"), "rep").select("id", "n", F.col("label").alias("component"))
+    named = dup.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component"))
     out = named.union(feats.where("n = 0 or id is null").select("id", "n", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
