@@ -29,7 +29,7 @@ def parameters(rows: list[dict]) -> Parameters:
     return out
 
 
-def feffit(data: DataFrame, params: list[dict], paths: list[dict], specs: list[dict], transform: ff.Transform = ff.Transform(), epsilon_k: float | None = None, mode: str = "fit", refine_bkg: bool = False) -> DataFrame:
+def path_fit(data: DataFrame, params: list[dict], paths: list[dict], specs: list[dict], transform: ff.Transform = ff.Transform(), epsilon_k: float | None = None, mode: str = "fit", refine_bkg: bool = False) -> DataFrame:
     """One fit per fit_id over data (fit_id, dsid, k array, chi array) with one template for all.
 
     Rows (kind, name, value, stderr): stats, best, derived and path values. mode: 'fit', or 'none' to evaluate the model at

@@ -185,22 +185,22 @@ def _fit_data(spark, sf):
 
 
 @query
-def feffit(spark, sf):
+def path_fit(spark, sf):
     data, paths = _fit_data(spark, sf)
-    out = fits.feffit(data, PARAMS, paths, SPECS, FIT, epsilon_k=1e-3)
+    out = fits.path_fit(data, PARAMS, paths, SPECS, FIT, epsilon_k=1e-3)
     return out.where("kind in ('best', 'derived') or status <> 'ok'").select("fit_id", "kind", "name", F.round("value", 5).alias("value"), "status")
 
 
 @query
-def feffit_eval(spark, sf):
+def path_fit_eval(spark, sf):
     data, paths = _fit_data(spark, sf)
-    return fits.feffit(data, PARAMS, paths, SPECS, FIT, mode="none").select("fit_id", "kind", "name", F.round("value", 6).alias("value"), "status")
+    return fits.path_fit(data, PARAMS, paths, SPECS, FIT, mode="none").select("fit_id", "kind", "name", F.round("value", 6).alias("value"), "status")
 
 
 @query
 def fit_items(spark, sf):
     data, paths = _fit_data(spark, sf)
-    return fits.save_items(fits.feffit(data, PARAMS, paths, SPECS, FIT, epsilon_k=1e-3), ["deltar", "sigma2"], 1, 2)
+    return fits.save_items(fits.path_fit(data, PARAMS, paths, SPECS, FIT, epsilon_k=1e-3), ["deltar", "sigma2"], 1, 2)
 
 
 @query

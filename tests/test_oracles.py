@@ -45,6 +45,6 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_kernel_queries_run(spark):
-    for name in ("pre_edge", "reduce_all", "xftr", "mback", "lincombo_fit", "feffit"):
+    for name in ("pre_edge", "reduce_all", "xftr", "mback", "lincombo_fit", "path_fit"):
         out = catalog.queries()[name](spark, SF).collect()
         assert out and all(r.status == "ok" for r in out), name

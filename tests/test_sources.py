@@ -70,7 +70,7 @@ def test_structure_input_round_trip():
 
 
 def test_fit_input():
-    d = tx.fit_input("guess amp 1.0\nset e0x 0\npath 1 feff0001.dat\ns02 1 amp*2\n%set f = amp+1\nrmin = 1.2 rmax=3\nNofit\n")
+    d = tx.fit_input("guess amp 1.0\nset e0x 0\npath 1 p1.dat\ns02 1 amp*2\n%set f = amp+1\nrmin = 1.2 rmax=3\nNofit\n")
     assert d["vars"][0]["vary"] and d["paths"][1]["s02"] == "amp*2" and d["functions"] == {"f": "amp+1"} and d["settings"]["rmax"] == "3" and d["nofit"]
 
 
