@@ -3,28 +3,32 @@
 Mining: a labelled page's URL becomes a set of tokens (scheme, host suffixes and labels, path segments, extension, query
 keys, fragment) plus a token for a bad label; Spark's FP-growth finds frequent token sets and the rules whose consequent
 is the bad token. Rules are kept from a least support and confidence, and a rule is dropped if a shorter one that it
-contains is at least as confident. Tokens of high frequency and most information about the label (chi-square) are chosen
-first, at most `vocabulary` of them, so the lattice has at most 2**vocabulary sets even if a third of all pages share one URL.
+contains is at least as confident. Every token with enough bad pages is mined (no rule can hold another), so support alone
+bounds the work: at most (tokens of a URL) / min_support tokens. Tokens on exactly the same rows go in as one, told by
+two hashes over the distinct token sets, and rules are written out for each of them afterwards. A token of all rows
+changes no confidence, so it makes a rule of its own at most. The result is that of all token sets.
 
 Matching: each rule is listed under its rarest token in an inverted index; a URL looks up its tokens, and the listed
-rules are checked for their other tokens. The index is bounded by the lattice and goes to the workers as a closure.
+rules are checked for their other tokens. The index is bounded by support and goes to the workers as a closure.
 Defined results: a null URL, or one without "://", has empty host and path and no tokens of either; labels are joined by
 the page's id, and several labels of one page count as bad if one is; without labels nothing is mined and all is allowed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import string
-from itertools import combinations
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from edgelight.llm.common import materialize
+
 BAD = "#bad"
-VOCABULARY = 16
 MIN_SUPPORT = 0.002
 MIN_PAGES = 5
 MIN_CONFIDENCE = 0.6
@@ -74,34 +78,53 @@ def tokens_udf(url: pd.Series) -> pd.Series:
     return url.map(lambda u: sorted(url_tokens(u)))
 
 
-def mine(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, vocabulary: int = VOCABULARY, min_pages: int = MIN_PAGES) -> list[dict]:
-    """Pruned rules: tokens (frozenset), support, confidence."""
+def mine(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, vocabulary: int | None = None, min_pages: int = MIN_PAGES) -> list[dict]:
+    """Pruned rules: tokens (frozenset), support, confidence. `vocabulary` is an error bound: more tokens to mine than that are refused, never left out."""
     from pyspark.ml.fpm import FPGrowth
 
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).where("url is not null").join(known, "id").select(tokens_udf("url").alias("tokens"), "bad")
-    per_token = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b"))
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b")).head()
+    rows = materialize(rows, "url-tokens")
+    n_bad = F.sum(F.col("bad").cast("long")).alias("b")
+    distinct = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), n_bad)
+    marked = distinct.select(F.explode("tokens").alias("token"), "n", "b", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"))
+    per_token = marked.groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), n_bad).head()
     n, b = totals.n, totals.b or 0
     if not n or not b:
         return []
-    min_support = max(min_support, min(1.0, min_pages / n))
-    # 2 x 2 chi-square of token and label, times n: larger is more informative
-    gap = F.col("b") * float(n) - F.col("n") * float(b)
-    chi = gap * gap / (F.col("n") * (float(n) - F.col("n")) + 1.0)
-    chosen = per_token.where(F.col("n") >= min_support * n).orderBy(F.desc(chi), "token").limit(vocabulary)
-    freq = {r.token: r.n for r in chosen.collect()}
-    if not freq:
-        return []
-    items = F.array_intersect("tokens", F.array(*map(F.lit, sorted(freq))))
-    baskets = rows.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items")).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).select("antecedent", "confidence", "support").collect()  # at most 2**vocabulary
+    least = max(math.ceil(min_support * n - 1e-9), min(n, min_pages), 1)
+    usable = per_token.where(F.col("b") >= least).collect()  # bounded by support
+    if vocabulary is not None and len(usable) > vocabulary:
+        raise ValueError(f"{len(usable)} tokens to mine; {vocabulary} are allowed")
+    freq = {r.token: r.n for r in usable}
+    same: dict[tuple, list[str]] = {}
+    for r in sorted(usable, key=lambda r: r.token):
+        same.setdefault((r.n, r.h1, r.h2), []).append(r.token)
+    classes = {own[0]: own for own in same.values()}
+    mined = frozenset(t for t in classes if freq[t] < n)
+    found = [(frozenset([t]), r.b, n) for r in usable if (t := r.token) in classes and r.n == n]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def basket(tokens: pd.Series, bad: pd.Series) -> pd.Series:
+        return pd.Series([[t for t in own if t in mined] + ([BAD] if is_bad else []) for own, is_bad in zip(tokens, bad)], dtype=object)
+
+    if mined:
+        # half a row less, so that rounding cannot raise the least count
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows.select(basket("tokens", "bad").alias("items")))
+        sets = materialize(model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("own"), F.array_contains("items", BAD).alias("bad"), "freq"), "token-sets")
+        right = sets.where("bad and size(own) > 0").select("own", F.col("freq").alias("b"))
+        both = right.join(sets.where("not bad").select("own", F.col("freq").alias("n")), "own")
+        found += [(frozenset(r.own), r.b, r.n) for r in both.where(F.col("b") >= F.col("n") * (min_confidence - 1e-12)).collect()]
     rules: list[dict] = []
-    for r in sorted(found, key=lambda r: (len(r.antecedent), -r.confidence, sorted(r.antecedent))):
-        own = frozenset(r.antecedent)
-        if not any(k["tokens"] < own and k["confidence"] >= r.confidence for k in rules):
-            rules.append({"tokens": own, "confidence": r.confidence, "support": r.support, "key": min(own, key=lambda t: (freq[t], t))})
+    index: dict[str, list] = {}  # kept class rules by their first token
+    for own, right_n, all_n in sorted(found, key=lambda r: (len(r[0]), -r[1] / r[2], sorted(r[0]))):
+        confidence = right_n / all_n
+        if confidence < min_confidence or any(k < own and c >= confidence for t in own for k, c in index.get(t, ())):
+            continue
+        index.setdefault(min(own), []).append((own, confidence))
+        for names in product(*(classes[t] for t in sorted(own))):
+            rules.append({"tokens": frozenset(names), "confidence": confidence, "support": right_n / n, "key": min(names, key=lambda t: (freq[t], t))})
     return rules
 
 

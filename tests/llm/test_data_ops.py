@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -69,6 +70,20 @@ def test_mined_rules_match_all_token_sets(spark):
         assert any(k["tokens"] <= own and k["confidence"] >= conf - 1e-12 for k in rules)
 
 
+def test_url_rules_of_many_hosts_are_those_of_all_token_sets(spark):
+    r = random.Random(11)
+    hosts = [f"www.{w}{i}.{'com' if i % 3 else 'net'}" for i in range(24) for w in ("farm", "good")]
+    urls = [f"http://{h}/{r.choice('pq')}/{j}" for h in hosts for j in range(8)]
+    bad = ["farm" in u for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine(pages, labels, min_support=0.005)
+    assert all(x.verdict == ("block" if "farm" in x.url else "allow") for x in url_rules.judge(pages, rules).where("rule is null").collect())
+    every = url_rules.all_rules([(url_rules.url_tokens(u), b) for u, b in zip(urls, bad)], 5 / len(urls), url_rules.MIN_CONFIDENCE)
+    want = {own: c for own, c in every.items() if not any(k < own and every[k] >= c for k in map(frozenset, (x for i in range(1, len(own)) for x in itertools.combinations(own, i))) if k in every)}
+    assert {k["tokens"]: k["confidence"] for k in rules} == want and len(rules) == len(want)
+
+
 def test_nearest_is_exact_at_factor_one_and_good_below(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(900, 8)).astype(np.float32)
