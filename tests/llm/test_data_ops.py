@@ -225,3 +225,28 @@ def test_pii_model_adds_without_touching_base(docs):
     assert pii.train(df.limit(0)) is None and pii.detect(df.limit(0)).count() == 0
     clean = pii.redact(df, model=pii.train(df)).where("text like '%password=%'").count()
     assert clean <= 5
+
+
+def test_pii_every_generator_adds_spans_beyond_the_base(docs):
+    r = random.Random(12)
+    word = lambda n=7: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    rows, planted = [], {}
+    for i in range(600):
+        mail = f"{word()}{r.choice(['(at)', ' (at) ', ' [at] '])}{word()}{r.choice(['(dot)', ' [dot] ', '.'])}{r.choice(['com', 'org', 'de'])}"
+        phone = r.choice([f"({r.randrange(200, 999)}) {num(3)}-{num(4)}", f"{r.randrange(200, 999)}-{num(3)}-{num(4)}", f"020 {num(4)} {num(4)}"])
+        secret = f"password={word(5).upper()}{num(4)}{word(5)}"
+        other = r.choice([f"2{num(3)}-0{r.randrange(1, 9)}-1{num(1)}", f"v{num(1)}.{num(2)}", f"{word()} @ {word()}. {word().capitalize()}", f"{num(3)} {num(2)}", "token: something", f"{word()}@{word()}.com", "10.0.0.1"])
+        planted[i] = (mail, phone, secret)
+        rows.append((i, f"Please write {mail} today. The phone is {phone} and {secret} then {other} end"))
+    df = docs(rows)
+    out = {x.doc_id: x for x in pii.detect(df, model=pii.train(df)).collect()}
+    hits, wrong = [0, 0, 0], 0
+    for i, t in rows:
+        assert [tuple(s) for s in out[i].base] == brute_spans(t)
+        added = {(s.kind, t[s.start : s.end]) for s in out[i].added}
+        want = set(zip(("contact", "number", "secret"), planted[i]))
+        for g, w in enumerate(zip(("contact", "number", "secret"), planted[i])):
+            hits[g] += w in added
+        wrong += len(added - want)
+    assert min(hits) >= 540 and wrong <= 30, (hits, wrong)
