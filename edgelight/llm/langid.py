@@ -3,8 +3,9 @@
 A text becomes counts of its character 1- to 3-grams (lower case, letters only, runs of other characters as one space),
 hashed to DIMS buckets, weighted by log(1 + count) times inverse document frequency and normalised. Document frequencies
 are counted over all training rows. Each language's vectors are clustered into `per_lang` centroids by spherical k-means on
-a sample: training rows whose digest falls under a threshold that keeps about SAMPLE rows of each language, so the bound
-holds whatever the input's size. A text gets the language of the centroid with the largest cosine; it is rejected if
+a sample: distinct training texts whose digest falls under a threshold set by each language's count of distinct texts with
+a letter, which keeps about twice SAMPLE, of which the SAMPLE smallest digests count; so the bound holds whatever the
+input's size, and copies take no place from other texts. A text gets the language of the centroid with the largest cosine; it is rejected if
 its cosine is under that centroid's floor, `slack` times the sample rows' low quantile there (less for short texts).
 
 Defined results: null text and text without a letter are `und` with score 0 and are rejected; without any training row
@@ -121,12 +122,14 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG, slack:
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    sizes = materialize(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    # unassigned here may be a letter to Python's newer tables
+    train = train.where(F.regexp_like("text", F.lit(r"[\p{L}\p{Cn}]"))).withColumn("digest", F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53))
+    sizes = materialize(train.groupBy("lang").agg(F.approx_count_distinct("digest", 0.02).alias("n")), "languages")
     if (n_langs := sizes.count()) > MAX_LANGS:
         raise ValueError(f"{n_langs} languages; a model holds {MAX_LANGS} at most")
-    digest = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-    picked = train.withColumn("digest", digest).join(F.broadcast(sizes), "lang")  # MAX_LANGS rows at most
-    picked = picked.where(F.col("digest") < 2.0 * sample / F.col("n")).select("lang", "digest", "text")
+    picked = train.join(F.broadcast(sizes), "lang")  # MAX_LANGS rows at most
+    # copies share a digest, so a hot text is one sample row
+    picked = picked.where(F.col("digest") < 2.0 * sample / F.col("n")).groupBy("lang", "digest").agg(F.first("text").alias("text"))
 
     def vectors(batches):
         for batch in batches:
@@ -143,8 +146,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG, slack:
         floor = [slack * float(np.quantile(near[own == j], QUANTILE)) if (own == j).any() else 0.0 for j in range(len(c))]
         return pd.DataFrame({"lang": [key[0]] * len(c), "j": range(len(c)), "c": [v.astype(np.float32).tobytes() for v in c], "floor": floor})
 
-    # copies share a digest, so a hot text is one sample row
-    rows = picked.mapInArrow(vectors, "lang string, digest double, v binary").dropDuplicates(["lang", "digest"]).groupBy("lang").applyInPandas(cluster, "lang string, j int, c binary, floor double").collect()  # per_lang rows a language
+    rows = picked.mapInArrow(vectors, "lang string, digest double, v binary").groupBy("lang").applyInPandas(cluster, "lang string, j int, c binary, floor double").collect()  # per_lang rows a language
     rows.sort(key=lambda r: (r.lang, r.j))
     if not rows:
         return None

@@ -192,6 +192,19 @@ def test_language_id(spark):
     assert {x.lang_pred for x in langid.identify(df.selectExpr("doc_id", "text", "string(null) lang")).collect()} == {"und"}
 
 
+def test_language_with_a_hot_text_or_many_empty_ones_is_in_the_model(spark):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    other = [(" ".join(word("abcdefgh") for _ in range(20)), "aa") for _ in range(60)]
+    hot = [("nopq " * 20, "bb")] * 20_000 + [(" ".join(word("ijklmnop") for _ in range(20)), "bb") for _ in range(60)]
+    bare = [(f"{i} ++", "cc") for i in range(20_000)] + [(" ".join(word("qrstuvwx") for _ in range(20)), "cc") for _ in range(60)]
+    train = spark.createDataFrame(other + hot + bare, "text string, lang string")
+    model = langid.fit(train, sample=20)
+    assert sorted(set(model.langs)) == ["aa", "bb", "cc"]
+    rows = spark.createDataFrame(other + hot[-60:] + bare[-60:], "text string, lang string")
+    assert langid.predict(rows, model).where("lang_pred = lang and not rejected").count() >= 171
+
+
 def test_kmeans_centroids_are_unit():
     x = np.abs(np.random.default_rng(0).normal(size=(40, 8)))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
