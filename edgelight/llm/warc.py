@@ -8,8 +8,8 @@ The index maps a record's id to (bundle, frame, offset in the frame, length).
 
 Of records with equal payloads the one with the largest id is written as response, and the others as revisits that
 refer to it, without payload. Payloads of fewer than `min_dedup` bytes are always responses. Equality is decided on
-(length, SHA-1, SHA-256) rows, which are small and pre-aggregated; payloads are then moved once, by record id, so a
-payload shared by a third of all records lands in no single task.
+(length, SHA-1, SHA-256) rows, which are small and pre-aggregated; payloads are then moved once, by record id and content, so a
+payload shared by a third of all records lands in no single task and rows that share an id only keep their own roles.
 
 Executors write a bundle under a temporary name and rename it when whole; names come from partition and sequence, so a
 task that runs again replaces its own bundles and no other's. Defined results: null payload is empty; null url gives
@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelight.llm.common import materialize, small_side
@@ -123,23 +123,27 @@ def number(urn: str | None):
     return None if text == "None" else int(text)
 
 
-def roles(records: DataFrame, id_col: str, payload_col: str, min_dedup: int) -> DataFrame:
-    """(id, kind, refers_to) from digests only."""
+def content(payload_col: str) -> Column:
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    small = records.select(F.col(id_col).cast("long").alias("id"), F.struct(F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"), F.sha2(payload, 256).alias("sha256")).alias("content"))
+    return F.struct(F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"), F.sha2(payload, 256).alias("sha256")).alias("content")
+
+
+def roles(records: DataFrame, id_col: str, payload_col: str, min_dedup: int) -> DataFrame:
+    """(id, content, last) of revisits, from digests only; last is the id of the response."""
+    small = records.select(F.col(id_col).cast("long").alias("id"), content(payload_col))
     most = small.where(F.col("content.size") >= min_dedup).groupBy("content").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("content", "last")
     # written out, so that both sides of the join are dealt by content and a hot one can be split
     most = materialize(most, "copies")
     most = small_side(most, most.count(), BROADCAST_ROWS)
     # only copies other than the last get a row here; all other records are responses
-    return small.join(most, "content").where("id < last").select("id", "last").distinct()
+    return small.join(most, "content").where("id < last").select("id", "content", "last").distinct()
 
 
 def write_bundles(records: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_dedup: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """The bundles' index rows (lazy: bundles are written as the rows are computed). folder: a URI that all executors can write."""
     back = roles(records, id_col, payload_col, min_dedup)
-    rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
-    rows = rows.join(back, "id", "left").select("id", "url", "payload", "last")
+    rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), content(payload_col))
+    rows = rows.join(back, ["id", "content"], "left").select("id", "url", "payload", "last")
 
     def run(batches):
         store, base = pafs.FileSystem.from_uri(folder)

@@ -132,6 +132,14 @@ def test_warc_round_trip(spark):
     assert warc.write_bundles(df.limit(0), scratch_path(spark, "warc-none")).count() == 0
 
 
+def test_warc_rows_that_share_an_id_keep_their_own_payloads(spark):
+    rows = [(1, "copied"), (1, "alone"), (1, "again"), (2, "copied"), (3, "again")]
+    folder = scratch_path(spark, "warc-ids")
+    warc.write_bundles(spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string"), folder).collect()
+    got = sorted((r.record_id, r.record_type, r.refers_to or 0, bytes(r.payload).decode()) for r in warc.read_bundles(spark, folder).collect())
+    assert got == [(1, "response", 0, "alone"), (1, "revisit", 2, ""), (1, "revisit", 3, ""), (2, "response", 0, "copied"), (3, "response", 0, "again")]
+
+
 def fill(sizes, share=1.5, limit=2.0):
     names = sorted((n for n in sizes if n is not None)) + ([None] if None in sizes else [])
     w = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}
