@@ -145,10 +145,17 @@ def lincombo_fit(spark, sf):
     return sums(sx.lincombo(_rows(spark, sf), [np.cos(3 * grid), np.sin(2 * grid), np.exp(-grid)]), "weights", scalars=("rfactor",))
 
 
+def label_means(df: DataFrame) -> DataFrame:
+    """(gid, y): the mean curve of each label over all its rows, as many curves as labels."""
+    mean = df.select("label", F.posexplode("y").alias("idx", "v")).groupBy("label", "idx").agg(F.avg("v").alias("v"))
+    return mean.groupBy(F.col("label").alias("gid")).agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).getField("v").alias("y"))
+
+
 @query
 def pca_fit(spark, sf):
+    """Every spectrum by a model of all of them, trained on the mean curve of each label."""
     df = _rows(spark, sf)
-    model = sx.pca_train(df.where("gid < 40"))
+    model = sx.pca_train(label_means(df))
     return sums(sx.pca_fit(df, model), "yfit", scalars=("scale", "chi_square"))
 
 

@@ -207,3 +207,23 @@ def test_fit_recovers_parameters(space, count):
 def test_fit_errors():
     with pytest.raises(ff.FitError, match="Shape"):
         ff.fit(parameters(PARAMS), [ff.DataSet(np.arange(10.0), np.zeros(10), [demo_path(2.5, 1)], [])])
+
+
+def test_pca_training_curves_come_from_all_rows(spark):
+    from edgelight.plans import kernel_queries as kq
+
+    df = spark.createDataFrame([(i, i % 3, [float(i), 1.0, -float(i)]) for i in range(90)], "gid long, label int, y array<double>")
+    got = {r.gid: r.y for r in kq.label_means(df).collect()}
+    assert got == {k: [43.5 + k, 1.0, -43.5 - k] for k in range(3)}
+
+
+def test_pca_fit_query_depends_on_all_rows(spark, tmp_path):
+    from edgelight.plans import kernel_queries as kq
+
+    r = np.random.default_rng(3)
+    rows = [(i, i % 5, [float(v) for v in r.normal(size=64)]) for i in range(100)]
+    for name, far in (("a", 1.0), ("b", 9.0)):  # they differ in rows of ids from 60 on only
+        changed = [(i, k, [v * far if i >= 60 and j < 8 else v for j, v in enumerate(y)]) for i, k, y in rows]
+        spark.createDataFrame(changed, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    a, b = ({x.gid: x.chi_square for x in kq.pca_fit(spark, str(tmp_path / n)).collect()} for n in "ab")
+    assert len(a) == len(b) == 100 and sum(abs(a[i] - b[i]) > 1e-6 for i in range(60)) > 50
