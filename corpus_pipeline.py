@@ -71,7 +71,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmarks", benchmarks), ("mixture", mixture)]
 
-#: Centroids and signatures are beyond SQL; tests hold each stage against a plain version
+#: Centroids and signatures are beyond SQL; tests hold the rows of lines, near_copies and benchmarks against plain versions, not those of language and mixture
 ORACLE_SQL = None
 
 

@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+from test_text_ops import brute_components, brute_hits, brute_lines, text
 
 import corpus_pipeline
 from edgelight.llm import common
@@ -25,3 +27,26 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_give_the_rows_of_plain_versions(spark, docs, tmp_path):
+    r = random.Random(13)
+    sentences = lambda n: " ".join(text(r, 7).capitalize() + "." for _ in range(n))
+    shared, item = sentences(12), text(r, 30)
+    rows = [(i, sentences(r.randrange(3, 9)) + ("\n" + shared if i % 3 == 0 else "") + (f"\n{item}" if i % 7 == 0 else "")) for i in range(40)]
+    rows += [(100 + i, " ".join(w + "x" if j == 5 else w for j, w in enumerate(t.split()))) for i, t in rows[:12]] + [(200, rows[3][1]), (201, rows[4][1])]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def stage(name, own):
+        return {x.doc_id: x.text for x in stages[name](spark, docs(own), str(tmp_path)).collect()}
+
+    cut = brute_lines(rows)
+    after_lines = [(i, cut[i]) for i, t in rows if cut[i] != ""]
+    assert stage("lines", rows) == dict(after_lines) and len(after_lines) < len(rows) and after_lines != rows
+    groups = brute_components(after_lines, 5, 80, 100)
+    after_copies = [(i, t) for i, t in after_lines if groups[i][1] == i]
+    assert stage("near_copies", after_lines) == dict(after_copies) and len(after_copies) < len(after_lines)
+    hits = brute_hits(after_copies, [(1, item)])
+    clean = [(i, t) for i, t in after_copies if not hits[i][1]]
+    assert stage("benchmarks", after_copies) == dict(clean) and 0 < len(clean) < len(after_copies)
