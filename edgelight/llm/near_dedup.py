@@ -5,16 +5,17 @@ and only one document of a class goes on, so copies cost one row each. Banded si
 pair's signatures are compared in batches, and after each batch the pair is dropped if the posterior probability that its
 similarity reaches the threshold (uniform prior) is under the miss probability. Survivors are verified on full sets.
 
-No bucket emits all its pairs. First every member is paired with its bucket's smallest id. Later rounds look only at
-buckets that still hold several components: inside a task, batches (of one byte per hash, which can only overstate
-matches) prune the pairs between components, and each member puts forward its most similar partners, four times as many
-each round. A bucket is done when it has put forward all its surviving pairs or is one component, so no link that could
-join two components is lost, beyond the stated probabilities of bands and batches. A bucket of more than BLOCK members
-is compared in pairs of blocks, so a list holds at most two blocks. Components come from iterated joins on tables in the
-shared folder; links and labels never reach the driver.
+No bucket emits its pairs. First every member is paired with its bucket's smallest id, and links are verified. Buckets
+that still hold several components are then settled whole, one bucket to a task's memory at a time: batches (of one byte
+per hash, which can only overstate matches) prune the pairs between components, survivors are verified on full sets there
+and then, most similar first, and only a link that joins two components of the bucket is put out: fewer links than
+members. A pair is looked at in the first band in which it agrees. In a bucket of more than BLOCK members, or BLOCK_BYTES
+of sets, the largest component needs no pairs inside itself, so its blocks meet the blocks of all other members only: copies
+of members are in proportion to the bucket as long as those others fit in a block. Components come from iterated joins on
+tables in the shared folder; links and labels never reach the driver.
 
 Defined results: null or empty text and text without words have an empty set, linked with nothing; fewer than k words
-form one shingle; rows that share an id are one node; a null id is linked with nothing and its component is null.
+form one shingle; rows that share an id are one node, linked with what any of their texts is linked with; a null id is linked with nothing and its component is null.
 """
 
 from __future__ import annotations
@@ -36,10 +37,9 @@ EXTRA = 256
 ALL = PERMS + EXTRA
 STEP = 16
 BLOCK = 2048
+BLOCK_BYTES = 64 << 20
 MISS = 1e-9
 BAND_MISS = 1e-6
-#: Miss probability of pairs other than with a bucket's pivot, which mostly have several ways to be joined
-LATE_MISS = 1e-5
 BROADCAST_IDS = 2_000_000
 
 
@@ -96,30 +96,39 @@ def loaded(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return whole, np.hstack([whole.astype(np.uint8), raw[:, 4 * PERMS :]])
 
 
+def digest_of(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def part_of(digest: bytes | None) -> int | None:
+    """Tells apart the texts of one id."""
+    return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches):
         a, b = permutations(ALL)
         for batch in batches:
-            n, digest, sig = [], [], []
+            n, digest, part, sig = [], [], [], []
             for _, texts in wh.groups(batch.column(1)):
                 for s in sets_of(texts, k):
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digest.append(digest_of(s) if len(s) else None)
+                    part.append(part_of(digest[-1]))
                     sig.append(stored(signature(s, a, b)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "digest", "part", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, part long, sig binary")
 
 
 def survivors(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that no batch of their signatures rules out."""
+    """Pairs (a, part_a, b, part_b) that no batch of their signatures rules out."""
     least = least_matches(threshold)
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            alive = np.arange(len(a))
-            if len(a):
+            alive = np.arange(len(batch))
+            if len(batch):
                 x, y = (loaded(batch.column(c).to_pylist())[1] for c in ("sig_a", "sig_b"))
                 n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
                 alive = np.flatnonzero(np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
@@ -129,23 +138,25 @@ def survivors(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                     hits += (x[alive, cut] == y[alive, cut]).sum(axis=1)
                     keep = hits >= m
                     alive, hits = alive[keep], hits[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(a[alive]), pa.array(b[alive])], ["a", "b"])
+            yield batch.select(["a", "part_a", "b", "part_b"]).take(pa.array(alive))
 
     def side(c):
-        return reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+        return reps.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    both = pairs.join(side("a"), ["a", "part_a"]).join(side("b"), ["b", "part_b"])
+    return both.select("a", "part_a", "b", "part_b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, part_a long, b long, part_b long")
 
 
 class Sets:
-    """The full sets of documents in surviving pairs, computed once for each document and kept in the shared folder."""
+    """The full sets (id, part, members) of asked-for documents, computed once for each and kept in the shared folder."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int):
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.k, self.have = k, None
 
-    def add(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def add(self, nodes: DataFrame) -> DataFrame:
+        """The sets kept so far, with those of nodes (id)."""
+        ids = nodes.select("id").distinct()
         if self.have is not None:
             ids = ids.join(self.have.select("id"), "id", "left_anti")
         ids = materialize(ids, "set-ids")
@@ -153,10 +164,13 @@ class Sets:
 
         def run(batches):
             for batch in batches:
-                found = [s.tobytes() for _, texts in wh.groups(batch.column(1)) for s in sets_of(texts, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "members"])
+                found = [s for _, texts in wh.groups(batch.column(1)) for s in sets_of(texts, k)]
+                parts = [part_of(digest_of(s)) if len(s) else None for s in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "part", "members"])
 
-        new = materialize(self.docs.join(small_side(ids, ids.count(), BROADCAST_IDS), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, members binary"), "sets")
+        own = self.docs.join(small_side(ids, ids.count(), BROADCAST_IDS), "id", "left_semi").select("id", "text")
+        new = own.mapInArrow(run, "id long, part long, members binary").where("part is not null")
+        new = materialize(new, "sets")
         self.have = new if self.have is None else self.have.unionByName(new)
         return self.have
 
@@ -174,12 +188,12 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     def side(c):
-        return sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}"))
+        return sets.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"), F.col("members").alias(f"set_{c}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, ok boolean")
+    return pairs.join(side("a"), ["a", "part_a"]).join(side("b"), ["b", "part_b"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable over links (a, b), for ids that have links. Each pass takes the least label among neighbours, then the label's label."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label"))
@@ -195,66 +209,135 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def between_components(threshold: float, top: int, r: int):
-    """Kernel over buckets (or pairs of their blocks): of each member the `top` most similar members of other components.
+def settle(members: dict, threshold: float, num: int, den: int, r: int, band: int, one: bool) -> list[tuple[int, int]]:
+    """Links (indexes) that join components among the members of a bucket or of two blocks of one: verified, and no two join the same.
 
-    Yields (key, a, b), and (key, null, null) for a bucket of which a member had more than `top`.
+    members: arrays id, label, n, block, whole, sig and set (a function from an index to the sorted set).
     """
-    least = least_matches(threshold, miss=LATE_MISS)
-    first = 2 * STEP
-
-    def pairs_of(ids, labels, n, whole, sig, block, one, band):
-        for i in range(0, len(ids), 256):
-            rows = np.arange(i, min(i + 256, len(ids)))
-            fits = (labels[rows, None] != labels) & (np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n) - 1e-9)
-            if not one:
-                fits &= block[rows, None] != block
-            if not fits.any():
-                continue
-            hits = np.zeros(fits.shape, np.uint8)
-            for c in range(first):
-                hits += sig[rows, c, None] == sig[None, :, c]
-            x, y = np.nonzero(fits & (hits >= least[first // STEP - 1]))
-            h = hits[x, y].astype(np.int64)
-            x = rows[x]
-            for s in range(first // STEP, len(least)):
-                cut = slice(s * STEP, (s + 1) * STEP)
-                h += (sig[x, cut] == sig[y, cut]).sum(axis=1)
-                keep = h >= least[s]
-                x, y, h = x[keep], y[keep], h[keep]
-            # a pair belongs to the first band in which it agrees
-            agree = (whole[x, : r * (PERMS // r)] == whole[y, : r * (PERMS // r)]).reshape(len(x), PERMS // r, r).all(axis=2)
-            mine = agree.argmax(axis=1) == band
-            if mine.any():
-                yield x[mine], y[mine], h[mine]
+    labels, n, whole, sig, block = (members[c] for c in ("label", "n", "whole", "sig", "block"))
+    comp = np.unique(labels, return_inverse=True)[1]
+    exact, links, least, first = Overlap(members["set"], len(n)), [], least_matches(threshold), 2 * STEP
+    for i in range(0, len(n), 256):
+        rows = np.arange(i, min(i + 256, len(n)))
+        fits = (comp[rows, None] != comp) & (np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n) - 1e-9)
+        fits &= (rows[:, None] < np.arange(len(n))) if one else (block[rows, None] < block)
+        if not fits.any():
+            continue
+        hits = np.zeros(fits.shape, np.uint8)
+        for c in range(first):
+            hits += sig[rows, c, None] == sig[None, :, c]
+        x, y = np.nonzero(fits & (hits >= least[first // STEP - 1]))
+        h = hits[x, y].astype(np.int64)
+        x = rows[x]
+        for s in range(first // STEP, len(least)):
+            cut = slice(s * STEP, (s + 1) * STEP)
+            h += (sig[x, cut] == sig[y, cut]).sum(axis=1)
+            keep = h >= least[s]
+            x, y, h = x[keep], y[keep], h[keep]
+        # a pair belongs to the first band in which it agrees
+        agree = (whole[x, : r * (PERMS // r)] == whole[y, : r * (PERMS // r)]).reshape(len(x), PERMS // r, r).all(axis=2)
+        mine = agree.argmax(axis=1) == band
+        x, y, h = x[mine], y[mine], h[mine]
+        order = np.lexsort((y, -h, x))
+        x, y = x[order], y[order]
+        bounds = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else [0]
+        for begin, end in zip(bounds[:-1], bounds[1:]):
+            own, left, take = int(x[begin]), y[begin:end], 4
+            while len(left := left[comp[left] != comp[own]]):
+                now, left, take = left[:take], left[take:], take * 4
+                both = exact.with_(own, now)
+                for other in now[den * both >= num * (n[own] + n[now] - both)].tolist():
+                    if comp[other] != comp[own]:
+                        links.append((own, other))
+                        comp[comp == comp[other]] = comp[own]
+    return links
+
+
+class Overlap:
+    """Exact intersection sizes among some sets, whose values are numbered on the first call."""
+
+    def __init__(self, get, n: int):
+        self.get, self.n, self.local = get, n, None
+
+    def with_(self, one: int, others: np.ndarray) -> np.ndarray:
+        if self.local is None:
+            sets = [self.get(i) for i in range(self.n)]
+            self.at = np.cumsum([0, *map(len, sets)])
+            values, self.local = np.unique(np.concatenate(sets), return_inverse=True)
+            self.mark = np.zeros(len(values), bool)
+        own = self.local[self.at[one] : self.at[one + 1]]
+        self.mark[own] = True
+        parts = [self.local[self.at[i] : self.at[i + 1]] for i in others.tolist()]
+        found = np.add.reduceat(self.mark[np.concatenate(parts)].astype(np.int64), np.cumsum([0, *map(len, parts[:-1])]))
+        self.mark[own] = False
+        return found
+
+
+def settled(rows: DataFrame, num: int, den: int, r: int) -> DataFrame:
+    """Links (a, b) of rows (key, lo, hi, band, id, part, label, n, block, sig, members), a list for each (key, lo, hi)."""
+    group = ["key", "lo", "hi"]
+
+    def finish(parts):
+        t = pa.Table.from_batches(parts)
+        ids, labels = t.column("id").to_numpy(), t.column("label").to_numpy()
+        if labels.min() == labels.max():
+            return ids[:0], ids[:0]
+        whole, sig = loaded(t.column("sig").to_pylist())
+        sets = t.column("members").combine_chunks()
+        sets = sets if isinstance(sets, pa.Array) else sets.chunk(0)
+        own = {"label": labels, "n": t.column("n").to_numpy(), "block": t.column("block").to_numpy(), "whole": whole, "sig": sig, "set": lambda i: np.frombuffer(sets[i].as_buffer(), np.uint64)}
+        found = settle(own, num / den, num, den, r, t.column("band")[0].as_py(), t.column("lo")[0].as_py() == t.column("hi")[0].as_py())
+        return ids[[x for x, _ in found]], ids[[y for _, y in found]]
 
     def run(batches):
+        parts, now = [], None
         for batch in batches:
-            keys, out_a, out_b = [], [], []
-            for key, band, one, members in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "one")), batch.column("members")):
-                m = members.values
-                ids, labels, n, block = (m.field(f).to_numpy() for f in ("id", "label", "n", "block"))
-                if labels.min() == labels.max():
-                    continue
-                whole, sig = loaded(m.field("sig").to_pylist())
-                more = False
-                for x, y, h in pairs_of(ids, labels, n, whole, sig, block, one, band):
-                    order = np.lexsort((ids[y], -h, x))
-                    x, y = x[order], y[order]
-                    begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-                    place = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
-                    more |= bool((place >= top).any())
-                    x, y = ids[x[place < top]], ids[y[place < top]]
-                    keys += [key] * len(x)
-                    out_a += np.minimum(x, y).tolist()
-                    out_b += np.maximum(x, y).tolist()
-                if more:
-                    keys.append(key)
-                    out_a.append(None)
-                    out_b.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["key", "a", "b"])
-
-    return run
+            if not len(batch):
+                continue
+            keys = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in group])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if parts and tuple(keys[a]) != now:
+                    out.append(finish(parts))
+                    parts = []
+                now = tuple(keys[a])
+                parts.append(batch.slice(a, b - a))
+            if out:
+                yield links_batch(out)
+        if parts:
+            yield links_batch([finish(parts)])
+
+    def links_batch(out):
+        a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+
+
+def blocked(now: DataFrame) -> DataFrame:
+    """Member rows (key, band, id, part, label, n) of buckets with several components, with block, and a copy for each list (lo, hi) it takes part in."""
+    counts = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    facts = counts.groupBy("key").agg(F.max(F.struct("c", "w", "label")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("labels"))
+
+    def need(c, w):
+        return F.greatest(F.ceil(c / BLOCK), F.ceil(w * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    whole = need(F.col("c"), F.col("w"))
+    split = whole > 1
+    facts = facts.where("labels > 1").select(
+        "key",
+        F.when(split, F.col("top.label")).alias("main"),
+        F.when(split, need(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w"))).otherwise(F.lit(1)).alias("n_out"),
+        F.when(split, need(F.col("top.c"), F.col("top.w"))).otherwise(F.lit(0)).alias("n_main"),
+    )
+    rows = now.join(facts, "key")
+    place = F.xxhash64("id")
+    block = F.when(F.col("label") == F.col("main"), F.col("n_out") + F.pmod(place, F.col("n_main"))).otherwise(F.pmod(place, F.col("n_out"))).cast("int")
+    # blocks of the largest component meet only those of the others
+    others = F.sequence(F.lit(0), F.when(F.col("block") < F.col("n_out"), F.col("n_out") + F.col("n_main")).otherwise(F.col("n_out")) - 1)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
+    return rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "id", "part", "label", "n", "block")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -263,51 +346,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = materialize(features(docs, id_col, text_col, k), "features")
     full = feats.where("n > 0 and id is not null")
     classes = materialize(full.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = materialize(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sig"), "reps")
+    # a row for each text; texts of one id are told apart by part, and are one node in labels
+    reps = full.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "part", "n", "sig")
+    reps = materialize(reps.dropDuplicates(["id", "part"]), "reps")
     r = rows_per_band(t)
     keys = F.transform(F.sequence(F.lit(0), F.lit(PERMS // r - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * r) + 1, F.lit(4 * r))))
-    bands = reps.select("id", F.posexplode(keys).alias("band", "key"))
-    big = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("pivot < top").drop("top")
+    bands = reps.select("id", "part", F.posexplode(keys).alias("band", "key"))
+    node = F.struct("id", "part")
+    big = bands.groupBy("key").agg(F.min(node).alias("pivot"), F.max(node).alias("top")).where("pivot < top").drop("top")
     # written out, so that both sides are dealt by key and a hot bucket can be split
     members = materialize(bands.join(materialize(big, "buckets"), "key"), "members")
     # what shares no bucket needs no signature from here on
     near = materialize(reps.join(members.select("id").distinct(), "id", "left_semi"), "near")
-    pairs = materialize(survivors(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), near, t), "candidates")
-    store, links, tested, top = Sets(docs, id_col, text_col, k), None, None, 8
+    pairs = members.where(node > F.col("pivot")).select(F.col("pivot.id").alias("a"), F.col("pivot.part").alias("part_a"), F.col("id").alias("b"), F.col("part").alias("part_b"))
+    pairs = materialize(survivors(pairs.distinct(), near, t), "candidates")
+    store = Sets(docs, id_col, text_col, k)
     labels = near.select("id", F.col("id").alias("label")).distinct()
-    open_keys = None
-    while True:
-        if pairs.head(1):
-            judged = materialize(verified(pairs, store.add(pairs), num, den).distinct(), "judged")
-            tested = judged if tested is None else tested.unionByName(judged)
-            found = judged.where("ok")
-            if found.head(1):
-                links = found if links is None else links.unionByName(found)
-                labels = materialize(near.select("id").distinct().join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "node-labels")
-        elif open_keys is None:
-            break
-        # a bucket of one component is done, and so is one of which the last round has put forward all its pairs
-        now = members.select("key", "band", "id", "size").join(labels, "id")
-        if open_keys is not None:
-            if not open_keys.head(1):
-                break
-            now = now.join(open_keys, "key", "left_semi")
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rows = now.join(mixed, "key", "left_semi").join(near, "id")
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        # at most two blocks of members in a list
-        lists = rows.groupBy("key", "lo", "hi").agg(F.first("band").alias("band"), F.collect_list(F.struct("id", "label", "n", "sig", "block")).alias("members"))
-        lists = lists.select("key", "band", (F.col("lo") == F.col("hi")).alias("one"), "members")
-        new = materialize(lists.mapInArrow(between_components(t, top, r), "key long, a long, b long"), "put-forward")
-        open_keys = new.where("a is null").select("key").distinct()
-        pairs = new.where("a is not null").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "candidates")
-        top *= 4
+    if pairs.head(1):
+        links = verified(pairs, store.add(pairs.select(F.explode(F.array("a", "b")).alias("id"))), num, den).where("ok and a <> b").select("a", "b").distinct()
+        labels = relabelled(labels, components(links))
+    # buckets of several components; those of one are done
+    now = members.select("key", "band", "id", "part").join(labels, "id").join(near.select("id", "part", "n"), ["id", "part"])
+    now = materialize(blocked(now), "lists")
+    if now.head(1):
+        rows = now.join(near.select("id", "part", "sig"), ["id", "part"]).join(store.add(now.select("id")), ["id", "part"])
+        more = materialize(settled(rows, num, den, r), "links")
+        if more.head(1):
+            # components of components: only the new links, between labels
+            ends = more.join(labels.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+            labels = relabelled(labels, components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
     dup = full.select("id", "n", "digest").join(classes, "digest").select("id", "n", "rep")
     named = dup.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component"))
     out = named.union(feats.where("n = 0 or id is null").select("id", "n", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (id, label) with each label replaced by its component's in found (id, label), where it has one."""
+    new = found.select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return materialize(labels.join(new, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "node-labels")

@@ -2,13 +2,16 @@
 
 A word is a maximal run of bytes that a 256-entry table marks; every byte of a multi-byte character is a word
 byte. The hash of a word is a polynomial over its bytes modulo 2**64, taken from one running sum per segment:
-the powers of an odd base can be inverted, so each word's part of the sum is shifted back to exponent zero.
+the powers of an odd base can be inverted, so each word's part of the sum is shifted back to exponent zero. Words of
+LONG bytes and more, for which such polynomials have known collisions, get XXH64 instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+LONG = 512
 BASE = 0x9E3779B97F4A7C15 | 1
 SEGMENT = 1 << 19
 
@@ -68,7 +71,10 @@ def words(text: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(part)), out=total[1:])
         back = powers(pow(BASE, -1, 1 << 64), len(part) + 1)
-        hashes.append(mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)))
+        own = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64))
+        for i in np.flatnonzero(e - s >= LONG).tolist():
+            own[i] = xxhash.xxh64_intdigest(part[s[i] : e[i]])
+        hashes.append(own)
         starts.append(s + at)
         ends.append(e + at)
         at = stop
