@@ -21,6 +21,7 @@ form one shingle; rows that share an id are one node, linked with what any of th
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -53,6 +54,7 @@ def rows_per_band(threshold: float, perms: int = PERMS, miss: float = BAND_MISS)
     return max([r for r in range(1, 17) if (1 - threshold**r) ** (perms // r) <= miss], default=1)
 
 
+@cache
 def least_matches(threshold: float, perms: int = ALL, step: int = STEP, miss: float = MISS) -> list[int]:
     """For each batch, the fewest matches with P(similarity >= threshold | matches) >= miss under a uniform prior."""
     found = []
