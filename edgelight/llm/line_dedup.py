@@ -1,18 +1,23 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
-A text is cut into lines, at line feeds and after sentence ends ('.', '!' or '?' before a space); lines keep their ends,
-so joined lines are the text. Every line has a hash, and a rolling hash covers it and the line before. A chunk begins
-where the rolling hash is a local minimum (smaller than the one before, at most as large as the one after) and around each
-physical line of several sentences, so boundaries depend on nearby lines only and a passage is cut alike wherever it
-stands. Chunks of at least two lines and `min_words` words that occur more than once are repeats: the
-first occurrence (smallest id, then place) stays and all others are removed.
-
-Repeats are proposed by hash and decided on bytes: candidates are grouped by the chunk's text itself, pre-aggregated,
-so a chunk with a third of all occurrences costs one row per task. Only chunks whose hash repeats carry their text
-through a shuffle, where the set of these hashes is within BROADCAST_HASHES rows; beyond it a shuffle join does the same.
-
-Defined results: null text stays null, without lines; a text may become empty; rows that share an id count as one
-document and are cut alike; a null id comes after all others; lines without words are removed only inside a chunk.
+A text is cut into lines: at line feeds, after punctuation and some signs before a space, after full-width punctuation, and inside long
+sentences where the two letters before a space both belong to CLASS, so that a line has about five words also where
+nothing else ends it. Lines keep their separators, so joined lines are the text. Every line has a hash (of the line
+without its separator), and a rolling hash covers it and its neighbour. A chunk starts at a line where the rolling hash of
+the chunk's first two lines hits, and ends at the first place, MIN_LINES lines on or more, where another rolling hash of
+its last two lines hits (MAX_LINES at most); physical lines start and end chunks, too. So a chunk is told by its own lines
+alone: a passage is cut alike wherever it stands, from about half a line after its beginning to half a line before its
+end. Chunks overlap. A whole text of several lines is a chunk as well. Chunks of at least `min_words` words that occur
+more than once are repeats: the first occurrence (smallest id, then place) stays, and the lines of all others go. Every
+line that goes has an equal one at a smaller place, so the first of equal passages is whole.
+
+Repeats are proposed by hash and decided on bytes: candidates are grouped by the chunk's text itself, pre-aggregated, so a
+chunk with a third of all occurrences costs one row per task. Only documents with a repeated hash are cut again and carry
+chunk texts through a shuffle. Rows are told apart by a stored row number, so no id, null or repeated, gathers texts.
+
+Defined results: null text stays null, without lines; a text may become empty; rows that share an id are ordered by a
+digest of their texts, and rows that share both are the same place, cut alike; a null id comes after all others. A line's
+separator plays no part in a comparison at a chunk's end.
 """
 
 from __future__ import annotations
@@ -22,13 +27,16 @@ from pyspark.sql import functions as F
 
 from edgelight.llm.common import materialize, small_side
 
-#: The space after a sentence end; the literal first character keeps the search fast
-SENTENCE = r" (?<=[.!?] )"
+#: Every third letter or digit of some alphabets
+CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0x30, 0x3A), (0xE0, 0x180), (0x3B1, 0x3CA), (0x430, 0x460), (0x5D0, 0x5EB), (0x621, 0x64B)) for c in range(a, b, 3))
+WIDE = "。！？，；"
+#: Where a line ends; the first lookbehind only keeps the search fast
+SEPARATOR = rf"(?<=[\n {WIDE}])(?<=[\n{WIDE}]|[.!?;:,*#|)] |[{CLASS}][{CLASS}] )"
 MIN_WORDS = 10
-BROADCAST_HASHES = 1_000_000
+MIN_LINES, MAX_LINES = 3, 8
+BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
-NOTHING = "array<int>"
-NO_CHUNKS = "array<struct<pos:int,n_lines:int,body:string>>"
+RANGES = "array<struct<pos:int,n:int>>"
 
 
 def let(value: Column, body) -> Column:
@@ -37,47 +45,39 @@ def let(value: Column, body) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Physical lines, each cut after its sentence ends; separators stay with what they end."""
-    physical = F.split(text, "\n", -1)
+    return F.filter(F.split(text, SEPARATOR, -1), lambda x: x != "")
 
-    def cut(own: Column) -> Column:
-        def sentences(line: Column, i: Column) -> Column:
-            end = F.when(i < F.size(own) - 1, F.lit("\n")).otherwise(F.lit(""))
-            return let(F.split(line, SENTENCE, -1), lambda s: F.transform(s, lambda x, j: F.concat(x, F.when(j < F.size(s) - 1, F.lit(" ")).otherwise(end))))
-
-        return F.flatten(F.transform(own, sentences))
 
-    return F.filter(let(physical, cut), lambda x: x != "")
+def bare(line: Column) -> Column:
+    """A line, or lines, without the separator at the end."""
+    return F.rtrim(line, F.lit(" \n"))
 
 
 def chunks(text: Column) -> Column:
-    """The text's chunks in order: array of struct (pos, n_lines, body); pos is the first line's index."""
+    """Array of (pos, n, hash) of the text's chunks: first line, number of lines, hash. The last one is the whole text."""
 
     def cut(own: Column) -> Column:
-        hashes = F.transform(own, lambda x: F.conv(F.substring(F.md5(x), 1, 12), 16, 10).cast("long"))
-        return let(hashes, lambda h: with_rolling(own, h))
+        marks = F.transform(own, lambda x: F.struct(bare(x).alias("x"), x.endswith("\n").alias("e")))
+        hashes = lambda m: F.transform(m, lambda x: F.ascii(F.md5(x["x"])))
+        return let(marks, lambda m: let(hashes(m), lambda h: placed(own, m, h)))
 
-    def with_rolling(own: Column, h: Column) -> Column:
-        rolling = F.transform(h, lambda x, i: F.when(i == 0, x).otherwise((x * 31 + F.get(h, i - 1) * 17) % 1000000007))
-        ends = F.transform(own, lambda x: x.endswith("\n"))
-        return let(F.struct(rolling.alias("r"), ends.alias("e")), lambda s: assembled(own, s["r"], s["e"]))
-
-    def assembled(own: Column, r: Column, e: Column) -> Column:
+    def placed(own: Column, m: Column, h: Column) -> Column:
         n = F.size(own)
-
-        def begins(i: Column) -> Column:
-            before, here, after = F.get(r, i - 1), F.get(r, i), F.get(r, i + 1)
-            minimum = (i > 1) & (here < before) & (after.isNull() | (here <= after))
-            # the physical line that starts here, or the one that ends just before, has several sentences
-            starts_long = F.get(e, i - 1) & ~F.get(e, i) & (i < n - 1)
-            ends_long = F.get(e, i - 1) & (i > 1) & ~F.coalesce(F.get(e, i - 2), F.lit(True))
-            return (i == 0) | minimum | starts_long | ends_long
-
-        first = F.filter(F.sequence(F.lit(0), n - 1), begins)
-        return F.when(n > 0, let(first, lambda f: F.transform(f, lambda a, j: piece(own, a, F.coalesce(F.get(f, j + 1), n))))).otherwise(F.array().cast(NO_CHUNKS))
-
-    def piece(own: Column, a: Column, b: Column) -> Column:
-        return F.struct(a.cast("int").alias("pos"), (b - a).cast("int").alias("n_lines"), F.array_join(F.slice(own, a + 1, b - a), "").alias("body"))
+        every = F.sequence(F.lit(0), n - 1)
+        starts = F.filter(every, lambda i: (i == 0) | F.get(m, i - 1)["e"] | ((F.get(h, i) * 7 + F.get(h, i + 1) * 3) % 10 < 9))
+        # by the last line of a chunk: whether it may end there
+        ends = F.transform(every, lambda i: (i == n - 1) | F.get(m, i)["e"] | ((F.get(h, i - 1) * 3 + F.get(h, i) * 7) % 11 < 9))
+        return F.when(n > 1, let(ends, lambda e: F.concat(F.filter(F.transform(starts, lambda i: piece(m, n, e, i)), lambda c: c["n"] > 0), whole(n)))).otherwise(F.array().cast("array<struct<pos:int,n:int,hash:bigint>>"))
+
+    def piece(m: Column, n: Column, e: Column, i: Column) -> Column:
+        size = F.lit(MAX_LINES)
+        for k in range(MAX_LINES - 1, MIN_LINES - 1, -1):
+            size = F.when(F.coalesce(F.get(e, i + (k - 1)), F.lit(False)), F.lit(k)).otherwise(size)
+        size = F.when(i + MIN_LINES > n, F.lit(0)).otherwise(F.least(size, n - i))
+        return let(size, lambda k: F.struct(i.cast("int").alias("pos"), k.cast("int").alias("n"), F.xxhash64(F.transform(F.slice(m, i + 1, k), lambda x: x["x"])).alias("hash")))
+
+    def whole(n: Column) -> Column:
+        return F.array(F.struct(F.lit(0).alias("pos"), n.cast("int").alias("n"), F.xxhash64(bare(text)).alias("hash")))
 
     return let(lines(text), cut)
 
@@ -87,46 +87,47 @@ def n_words(text: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text_col cut, and n_removed (lines) and chars_removed (a column of docs with such a name gives way).
-
-    A whole text of several lines counts as a chunk too, so a copy of an earlier text becomes empty.
-    """
+    """docs with text_col cut. Two columns follow, n_removed (lines) and chars_removed; their names get underscores while docs has such a column."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key")
-    every = docs.select(key, F.explode(with_whole(F.col(text_col))).alias("c")).where("c.n_lines >= 2")
-    # n words and the spaces between them take 2 n - 1 characters; words are counted on candidates only
-    every = every.select("key", "c.pos", "c.body").where(F.length("body") >= 2 * min_words - 1).withColumn("hash", F.xxhash64("body"))
-    # hashes that occur more than once; (key, pos) of a repeated row is the same occurrence
-    twice = every.select("hash", "key", "pos").groupBy("hash").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min("pos").alias("p1"), F.max("pos").alias("p2"))
-    twice = materialize(twice.where("k1 < k2 or p1 < p2").select("hash"), "repeated")
-    bodies = every.join(small_side(twice, twice.count(), BROADCAST_HASHES), "hash", "left_semi").select("key", "pos", "body")
-    bodies = materialize(bodies.where(n_words(F.col("body")) >= min_words), "bodies")
-    place = F.struct("key", "pos")
+    text = F.col(text_col)
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("digest")
+    # once: the row number is stored with what it names
+    cut = docs.select(F.struct("*").alias("doc"), key, digest, text.alias("text"), F.coalesce(chunks(text), F.array()).alias("chunks")).withColumn("row", F.monotonically_increasing_id())
+    cut = materialize(cut.drop("text"), "cut")
+    text = F.col(f"doc.`{text_col}`")
+    every = cut.select("row", "key", "digest", F.explode("chunks").alias("c")).select("row", "key", "digest", "c.*")
+    most = [f(c).alias(f"{f.__name__}_{c}") for c in ("key", "digest", "pos") for f in (F.min, F.max)]
+    twice = every.groupBy("hash").agg(*most).where("min_key < max_key or min_digest < max_digest or min_pos < max_pos").select("hash")
+    twice = materialize(twice, "repeated")
+    hits = every.join(small_side(twice, twice.count(), BROADCAST_ROWS), "hash", "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("hits"))  # bounded by the document
+    hits = materialize(hits, "hits")
+    again = cut.select("row", "key", "digest", text.alias("text")).join(small_side(hits, hits.count(), BROADCAST_ROWS), "row")
+    bodies = again.select("row", "key", "digest", F.explode(let(lines(F.col("text")), lambda u: F.transform("hits", lambda c: with_body(u, c)))).alias("c"))
+    bodies = materialize(bodies.where(n_words(F.col("c.body")) >= min_words).select("row", "key", "digest", "c.*"), "bodies")
+    place = F.struct("key", "digest", "pos")
     groups = bodies.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("final"))
     groups = materialize(groups.where("first < final").select("body", "first"), "groups")
-    marks = bodies.join(groups, "body").where(place > F.col("first")).select("key", "pos")
-    gone = materialize(marks.groupBy("key").agg(F.collect_set("pos").alias("gone")), "gone")  # bounded by the document's own lines
-    own = docs.select(F.struct("*").alias("doc"), key).join(gone.hint("merge"), "key", "left")
-    own = own.withColumn("gone", F.coalesce("gone", F.array().cast(NOTHING)))
-    text = F.col(f"doc.`{text_col}`")
-
-    def kept(c: Column) -> Column:
-        stay = F.filter(c, lambda x: ~F.array_contains("gone", x["pos"]) & ~F.array_contains("gone", F.lit(-1)))
-        return F.struct((total_lines(c) - total_lines(stay)).alias("n_removed"), F.array_join(F.transform(stay, lambda x: x["body"]), "").alias("text"))
-
-    # texts without a mark are not cut again
-    own = own.withColumn("result", F.when(F.size("gone") > 0, let(F.coalesce(chunks(text), F.array().cast(NO_CHUNKS)), kept)))
-    own = own.withColumn("new_text", F.when(F.size("gone") > 0, F.col("result.text")).otherwise(text))
-    none = F.lit(0).cast("long")
-    added = {"n_removed": F.coalesce("result.n_removed", none), "chars_removed": F.coalesce((F.length(text) - F.length("new_text")).cast("long"), none)}
-    same = [F.col("new_text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in added]
-    return own.select(*same, *(v.alias(c) for c, v in added.items()))
-
-
-def total_lines(c: Column) -> Column:
-    return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["n_lines"])
-
-
-def with_whole(text: Column) -> Column:
-    """The chunks, and the whole text at place -1 if it is more than one chunk."""
-    whole = lambda c: F.when(F.size(c) > 1, F.concat(c, F.array(F.struct(F.lit(-1).alias("pos"), total_lines(c).cast("int").alias("n_lines"), text.alias("body"))))).otherwise(c)
-    return let(chunks(text), whole)
+    marks = bodies.join(groups, "body").where(place > F.col("first")).select("row", "pos", "n")
+    gone = materialize(marks.groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "gone")  # bounded by the document
+    n_gone = gone.count()
+    own = cut.drop("chunks").join(small_side(gone, n_gone, BROADCAST_ROWS) if n_gone <= BROADCAST_ROWS else gone.hint("merge"), "row", "left")
+    own = own.withColumn("result", F.when(F.col("gone").isNotNull(), let(lines(text), lambda u: without(u, F.col("gone").cast(RANGES)))))
+    names, added = [], {"n_removed": F.coalesce("result.n", F.lit(0)).cast("long"), "chars_removed": F.coalesce(F.length(text) - F.length("result.text"), F.lit(0)).cast("long")}
+    for name in added:
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    same = [F.coalesce("result.text", text).alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return own.select(*same, *(v.alias(c) for v, c in zip(added.values(), names)))
+
+
+def with_body(own: Column, c: Column) -> Column:
+    """A chunk (pos, n) with its bytes."""
+    return F.struct(c["pos"].alias("pos"), c["n"].alias("n"), bare(F.array_join(F.slice(own, c["pos"] + 1, c["n"]), "")).alias("body"))
+
+
+def without(own: Column, gone: Column) -> Column:
+    """(n, text): how many lines are in the ranges gone, and the text of the others."""
+    at = F.array_distinct(F.flatten(F.transform(gone, lambda g: F.sequence(g["pos"], g["pos"] + g["n"] - 1))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), at)
+    return let(stay, lambda s: F.struct((F.size(own) - F.size(s)).alias("n"), F.array_join(F.transform(s, lambda i: F.get(own, i)), "").alias("text")))

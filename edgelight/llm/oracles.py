@@ -37,26 +37,24 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
 """
 
 
-OP2 = r"""
-WITH d AS (SELECT row_number() OVER () rid, coalesce(doc_id, 9223372036854775807) key, doc_id, text,
-                  list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?] |\z)'), lambda x: x <> '') ls FROM documents),
-l AS (SELECT rid, key, i - 1 i, len(ls) n, ls[i] t, ('0x' || substr(md5(ls[i]), 1, 12))::BIGINT h, ends_with(ls[i], chr(10)) e
-      FROM (SELECT rid, key, ls, unnest(generate_series(1, len(ls))) i FROM d)),
-r AS (SELECT *, CASE WHEN i = 0 THEN h ELSE (h * 31 + lag(h) OVER w * 17) % 1000000007 END r,
-             lag(e) OVER w e1, lag(e, 2) OVER w e2 FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
-b AS (SELECT *, CASE WHEN i = 0 OR (i > 1 AND r < lag(r) OVER w AND (lead(r) OVER w IS NULL OR r <= lead(r) OVER w))
-                       OR (coalesce(e1, false) AND NOT e AND i < n - 1) OR (coalesce(e1, false) AND i > 1 AND NOT coalesce(e2, true))
-                     THEN 1 ELSE 0 END s FROM r WINDOW w AS (PARTITION BY rid ORDER BY i)),
-c AS (SELECT rid, key, min(i) pos, count(*) n, string_agg(t, '' ORDER BY i) body
-      FROM (SELECT *, sum(s) OVER (PARTITION BY rid ORDER BY i) c FROM b) GROUP BY rid, key, c),
-w AS (SELECT * FROM c UNION ALL
-      SELECT d.rid, d.key, -1, x.n, d.text FROM d JOIN (SELECT rid, sum(n) n FROM c GROUP BY rid HAVING count(*) > 1) x USING (rid)),
-e AS (SELECT * FROM w WHERE n >= 2 AND len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 10),
-f AS (SELECT body, min({k: key, p: pos}) f FROM e GROUP BY body),
-g AS (SELECT rid, list(pos) gone FROM e JOIN f USING (body) WHERE {k: key, p: pos} > f GROUP BY rid),
-k AS (SELECT c.rid, sum(c.n) n, sum(CASE WHEN list_contains(gone, -1) OR list_contains(gone, pos) THEN c.n ELSE 0 END) r,
-             string_agg(CASE WHEN list_contains(gone, -1) OR list_contains(gone, pos) THEN '' ELSE body END, '' ORDER BY pos) t
-      FROM c LEFT JOIN g USING (rid) GROUP BY c.rid)
+#: Every third letter or digit of some alphabets
+CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0x30, 0x3A), (0xE0, 0x180), (0x3B1, 0x3CA), (0x430, 0x460), (0x5D0, 0x5EB), (0x621, 0x64B)) for c in range(a, b, 3))
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () rid, coalesce(doc_id, 9223372036854775807) key, ('0x' || substr(md5(text), 1, 15))::BIGINT dig, doc_id, text,
+                  list_filter(regexp_extract_all(text, '(?s).*?(?:[\n。！？，；]|[.!?;:,*#|)] |[{CLASS}][{CLASS}] |\z)'), lambda x: x <> '') ls FROM documents),
+l AS (SELECT rid, i - 1 i, len(ls) n, ascii(md5(rtrim(ls[i], ' ' || chr(10)))) h, ends_with(ls[i], chr(10)) e
+      FROM (SELECT rid, ls, unnest(generate_series(1, len(ls))) i FROM d)),
+m AS (SELECT rid, i, n, i = 0 OR lag(e) OVER w OR coalesce((h * 7 + lead(h) OVER w * 3) % 10 < 9, false) s,
+             i = n - 1 OR e OR coalesce((lag(h) OVER w * 3 + h * 7) % 11 < 9, false) f FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
+p AS (SELECT s.rid, s.i pos, least(coalesce(min(f.i) - s.i + 1, 8), 8, any_value(s.n) - s.i) n
+      FROM m s LEFT JOIN m f ON f.rid = s.rid AND f.f AND f.i BETWEEN s.i + 2 AND s.i + 6 WHERE s.s AND s.i + 3 <= s.n GROUP BY s.rid, s.i),
+c AS (SELECT rid, key, dig, pos, n, rtrim(array_to_string(ls[pos + 1:pos + n], ''), ' ' || chr(10)) body FROM p JOIN d USING (rid)
+      UNION ALL SELECT rid, key, dig, 0, len(ls), rtrim(text, ' ' || chr(10)) FROM d WHERE len(ls) > 1),
+e AS (SELECT * FROM c WHERE len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 10),
+f AS (SELECT body, min({{k: key, d: dig, p: pos}}) f FROM e GROUP BY body),
+g AS (SELECT DISTINCT rid, unnest(generate_series(pos, pos + n - 1)) i FROM e JOIN f USING (body) WHERE {{k: key, d: dig, p: pos}} > f),
+k AS (SELECT rid, count(g.i) r, string_agg(CASE WHEN g.i IS NULL THEN d.ls[l.i + 1] ELSE '' END, '' ORDER BY l.i) t FROM l JOIN d USING (rid) LEFT JOIN g USING (rid, i) GROUP BY rid)
 SELECT doc_id, coalesce(k.r, 0)::BIGINT n_removed,
        coalesce(length(text) - length(coalesce(k.t, text)), 0)::BIGINT chars_removed, coalesce(k.t, text) "text"
 FROM d LEFT JOIN k USING (rid)

@@ -121,60 +121,115 @@ def test_posterior_bounds():
     assert (1 - 0.85 ** near_dedup.rows_per_band(0.85)) ** (128 // near_dedup.rows_per_band(0.85)) <= 1e-6
 
 
+def cut_lines(t):
+    out, now = [], ""
+    for ch in t:
+        now += ch
+        if ch in "\n" + line_dedup.WIDE or (ch == " " and (now[-2:-1] and now[-2] in ".!?;:,*#|)" or len(now) > 2 and now[-2] in line_dedup.CLASS and now[-3] in line_dedup.CLASS)):
+            out.append(now)
+            now = ""
+    return out + ([now] if now else [])
+
+
+def cut_chunks(own):
+    """(place, number of lines) of each chunk, the whole text last."""
+    n = len(own)
+    h = [ord(hashlib.md5(x.rstrip(" \n").encode()).hexdigest()[0]) for x in own]
+    feed = [x.endswith("\n") for x in own]
+    start = [i == 0 or feed[i - 1] or (i + 1 < n and (h[i] * 7 + h[i + 1] * 3) % 10 < 9) for i in range(n)]
+    end = [i == n - 1 or feed[i] or (i > 0 and (h[i - 1] * 3 + h[i] * 7) % 11 < 9) for i in range(n)]
+    found = []
+    for i in range(n - 2):
+        if start[i]:
+            found.append((i, next((k for k in range(3, 8) if i + k <= n and end[i + k - 1]), min(8, n - i))))
+    return found + ([(0, n)] if n > 1 else [])
+
+
 def brute_lines(rows, min_words=10):
-    def units(t):
-        out, now = [], ""
-        for i, ch in enumerate(t):
-            now += ch
-            if ch == "\n" or (ch == " " and i and t[i - 1] in ".!?"):
-                out.append(now)
-                now = ""
-        return out + ([now] if now else [])
-
-    def chunks(u):
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:12], 16) for x in u]
-        r = [h[0]] + [(h[i] * 31 + h[i - 1] * 17) % 1000000007 for i in range(1, len(h))] if h else []
-        e = [x.endswith("\n") for x in u]
-        start = [i for i in range(len(u)) if i == 0 or (i > 1 and r[i] < r[i - 1] and (i + 1 == len(u) or r[i] <= r[i + 1])) or (e[i - 1] and not e[i] and i < len(u) - 1) or (e[i - 1] and i > 1 and not e[i - 2])]
-        return [(a, "".join(u[a:b]), b - a) for a, b in zip(start, [*start[1:], len(u)])]
-
-    first, per = {}, {}
-    for i, t in sorted(rows):
-        c = chunks(units(t or ""))
-        per[i] = c
-        for pos, body, n in c + ([(-1, t, sum(x[2] for x in c))] if len(c) > 1 else []):
-            if n >= 2 and len(words_space(body)) >= min_words:
-                first[body] = min(first.get(body, (i, pos)), (i, pos))
-    out = {}
+    """The texts of (id, text) rows, in order."""
+    first, per = {}, []
     for i, t in rows:
-        gone = {pos for pos, body, n in [*per[i], (-1, t, sum(x[2] for x in per[i]))] if n >= 2 and len(words_space(body or "")) >= min_words and (pos >= 0 or len(per[i]) > 1) and first[body] < (i, pos)}
-        out[i] = t if t is None else "" if -1 in gone else "".join(b for p, b, _ in per[i] if p not in gone)
+        own = cut_lines(t or "")
+        key = ((1 << 63) - 1 if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16))
+        found = [(pos, n, "".join(own[pos : pos + n]).rstrip(" \n")) for pos, n in cut_chunks(own)]
+        found = [x for x in found if len(words_space(x[2])) >= min_words]
+        per.append((key, own, found))
+        for pos, _, body in found:
+            first[body] = min(first.get(body, (key, pos)), (key, pos))
+    out = []
+    for (i, t), (key, own, found) in zip(rows, per):
+        gone = {p for pos, n, body in found if (key, pos) > first[body] for p in range(pos, pos + n)}
+        out.append(t if t is None else "".join(x for p, x in enumerate(own) if p not in gone))
     return out
 
 
-def test_line_dedup(docs):
-    r = random.Random(3)
+def sentences(r, n):
+    return " ".join((text(r, r.randrange(4, 15)).capitalize() + r.choice(".!?")) for _ in range(n))
 
-    def sentence():
-        return text(r, r.randrange(3, 9)).capitalize() + r.choice(".!?")
 
-    passages = [" ".join(sentence() for _ in range(12)) for _ in range(3)]
+def test_line_dedup(docs):
+    r = random.Random(3)
+    passages = [sentences(r, 12) for _ in range(3)]
     rows = []
     for i in range(60):
-        own = [" ".join(sentence() for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(1, 8))]
+        own = [sentences(r, r.randrange(1, 6)) for _ in range(r.randrange(1, 8))]
         if i % 2:
             own.insert(r.randrange(len(own)), passages[i % 3])
         rows.append((i, "\n".join(own)))
-    rows += [(100, rows[4][1]), (101, rows[4][1]), (102, "\n\n\n"), (103, "A. B. " * 50), *ODD]
-    out = line_dedup.dedup_lines(docs(rows)).collect()
-    assert {x.doc_id: x.text for x in out} == brute_lines(rows)
-    assert all(x.extra == "x" for x in out)
-    # a passage of over 50 words stays once
-    kept = [x.text for x in out if x.text and passages[1] in x.text]
-    assert len(kept) == 1
+    rows += [(100, rows[4][1]), (101, rows[4][1]), (102, "\n\n\n"), (103, "A. B. " * 50), (104, "一二三。" * 40), *ODD]
+    # ids that repeat, with other texts and with the same, and null ids
+    rows += [(4, rows[6][1]), (4, rows[7][1]), (4, rows[7][1]), (None, rows[8][1]), (None, rows[8][1] + " " + sentences(r, 3)), (None, sentences(r, 9))]
+    got = line_dedup.dedup_lines(docs(rows)).collect()
+    assert sorted((x.doc_id or -1, x.text or "") for x in got) == sorted((i or -1, t or "") for (i, _), t in zip(rows, brute_lines(rows)))
+    assert all(x.extra == "x" for x in got)
+    # a passage of over 50 words stays once, and no text is lost: every line is still somewhere
+    assert len([x.text for x in got if x.text and passages[1] in x.text]) == 1
+    left = {u.rstrip(" \n") for x in got for u in cut_lines(x.text or "")}
+    assert all(u.rstrip(" \n") in left for _, t in rows for u in cut_lines(t or ""))
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
+def test_line_dedup_keeps_columns_that_clash(spark):
+    rows = [(i, "One two three four five. Six seven eight nine. Ten eleven twelve thirteen. Fourteen.", 7, "a", "b", "c", "d", "e") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, row string, hits string, gone string, key string, doc string")
+    out = {x.doc_id: x for x in line_dedup.dedup_lines(df).collect()}
+    assert out[1].text == "" and out[0].text == rows[0][1] and out[1].n_removed == 7 and out[1].n_removed_ > 1
+    assert {x[1:] for x in (tuple(out[i])[2:8] for i in (0, 1))} == {("a", "b", "c", "d", "e")}
+
+
+@pytest.mark.parametrize("place", ["own line", "inside", "end against middle", "one long line", "alone"])
+def test_line_dedup_cuts_planted_passages_anywhere(docs, place):
+    """Of passages of 60 words that two unlike documents share, most words go from the second, and nothing else does."""
+    r = random.Random(f"planted {place}")
+    rows, planted, alone = [], {}, {}
+    for i in range(40):
+        words = text(r, 60, 100_000)
+        p = words if place == "one long line" else " ".join(words.split()[0:17]).capitalize() + ". " + " ".join(words.split()[17:35]).capitalize() + "! " + " ".join(words.split()[35:]).capitalize() + "."
+        if place == "alone":
+            alone[i], alone[100 + i] = sentences(r, 12), sentences(r, 12)
+            continue
+        for j, d in ((0, i), (1, 100 + i)):
+            before, after = sentences(r, 6), sentences(r, 6)
+            text_ = f"{before}\n{p}\n{after}" if place == "own line" else f"{before} {p} {after}"
+            if place == "end against middle" and j:
+                text_ = f"{before} {p}"
+            rows.append((d, text_))
+            planted[d] = (p, before, after)
+    rows += list(alone.items())
+    out = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(rows)).collect()}
+    if place == "alone":
+        assert out == alone
+        return
+    assert all(out[i] == dict(rows)[i] for i in range(40))
+    gone = []
+    for i in range(40):
+        p, before, after = planted[100 + i]
+        left = words_space(out[100 + i])
+        gone.append(1 - sum(w in set(left) for w in words_space(p)) / len(words_space(p)))
+        assert left[: len(words_space(before)) - 8] == words_space(before)[:-8]
+    assert np.mean(gone) >= 0.8 and np.quantile(gone, 0.1) >= 0.5, (np.mean(gone), sorted(gone)[:5])
+
+
 def test_language_id(spark):
     r = random.Random(4)
     alphabets = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "éèàçùôîû"}
