@@ -1,6 +1,6 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
-A text is cut into lines: at line feeds, after punctuation and some signs before a space, after full-width punctuation, and inside long
+A text is cut into lines: at line feeds, after punctuation and some signs before a space, and inside long
 sentences where the two letters before a space both belong to CLASS, so that a line has about five words also where
 nothing else ends it. Lines keep their separators, so joined lines are the text. Every line has a hash (of the line
 without its separator), and a rolling hash covers it and its neighbour. A chunk starts at a line where the rolling hash of
@@ -11,13 +11,15 @@ end. Chunks overlap. A whole text of several lines is a chunk as well. Chunks of
 more than once are repeats: the first occurrence (smallest id, then place) stays, and the lines of all others go. Every
 line that goes has an equal one at a smaller place, so the first of equal passages is whole.
 
-Repeats are proposed by hash and decided on bytes: candidates are grouped by the chunk's text itself, pre-aggregated, so a
-chunk with a third of all occurrences costs one row per task. Only documents with a repeated hash are cut again and carry
-chunk texts through a shuffle. Rows are told apart by a stored row number, so no id, null or repeated, gathers texts.
+Repeats are proposed by hash and decided on bytes: of the chunks with one hash, the least and the greatest text are found,
+pre-aggregated, so a chunk with a third of all occurrences costs one row per task. If the two are the same bytes, all are;
+if not, the chunks of that hash are grouped by their texts. Only documents with a repeated hash are cut again, and only
+these aggregates carry texts through a shuffle. Rows are told apart by a stored row number, so no id, null or repeated,
+gathers texts.
 
 Defined results: null text stays null, without lines; a text may become empty; rows that share an id are ordered by a
-digest of their texts, and rows that share both are the same place, cut alike; a null id comes after all others. A line's
-separator plays no part in a comparison at a chunk's end.
+digest of their texts, and rows that share both are the same place, cut alike; a null id comes after all others. The
+separator of a chunk's last line plays no part in comparisons.
 """
 
 from __future__ import annotations
@@ -27,16 +29,16 @@ from pyspark.sql import functions as F
 
 from edgelight.llm.common import materialize, small_side
 
-#: Every third letter or digit of some alphabets
-CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0x30, 0x3A), (0xE0, 0x180), (0x3B1, 0x3CA), (0x430, 0x460), (0x5D0, 0x5EB), (0x621, 0x64B)) for c in range(a, b, 3))
-WIDE = "。！？，；"
+#: Every fourth letter of some alphabets, odd digits, and ranges of others: short, since the matcher tries them one by one
+CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0xE0, 0x100)) for c in range(a + 1, b, 4)) + "13579Ā-Šα-θа-иא-זا-خ"
 #: Where a line ends; the first lookbehind only keeps the search fast
-SEPARATOR = rf"(?<=[\n {WIDE}])(?<=[\n{WIDE}]|[.!?;:,*#|)] |[{CLASS}][{CLASS}] )"
+SEPARATOR = rf"(?<=[\n ])(?<=\n|[.!?;:,*#|)] |[{CLASS}][{CLASS}] )"
 MIN_WORDS = 10
 MIN_LINES, MAX_LINES = 3, 8
 BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
 RANGES = "array<struct<pos:int,n:int>>"
+CHUNKS = "array<struct<pos:int,n:int,hash:bigint>>"
 
 
 def let(value: Column, body) -> Column:
@@ -49,7 +51,7 @@ def lines(text: Column) -> Column:
 
 
 def bare(line: Column) -> Column:
-    """A line, or lines, without the separator at the end."""
+    """A line without its separator."""
     return F.rtrim(line, F.lit(" \n"))
 
 
@@ -57,27 +59,27 @@ def chunks(text: Column) -> Column:
     """Array of (pos, n, hash) of the text's chunks: first line, number of lines, hash. The last one is the whole text."""
 
     def cut(own: Column) -> Column:
-        marks = F.transform(own, lambda x: F.struct(bare(x).alias("x"), x.endswith("\n").alias("e")))
-        hashes = lambda m: F.transform(m, lambda x: F.ascii(F.md5(x["x"])))
-        return let(marks, lambda m: let(hashes(m), lambda h: placed(own, m, h)))
+        h, feeds = F.transform(own, lambda x: F.ascii(F.md5(bare(x)))), F.transform(own, lambda x: x.endswith("\n"))
+        return F.when(F.size(own) > 1, let(h, lambda h: let(feeds, lambda f: placed(own, h, f)))).otherwise(F.array().cast(CHUNKS))
 
-    def placed(own: Column, m: Column, h: Column) -> Column:
+    def placed(own: Column, h: Column, feed: Column) -> Column:
         n = F.size(own)
         every = F.sequence(F.lit(0), n - 1)
-        starts = F.filter(every, lambda i: (i == 0) | F.get(m, i - 1)["e"] | ((F.get(h, i) * 7 + F.get(h, i + 1) * 3) % 10 < 9))
+        starts = F.filter(F.sequence(F.lit(0), n - 2), lambda i: ((F.get(h, i) * 7 + F.get(h, i + 1) * 3) % 10 < 9) | (i == 0) | F.get(feed, i - 1))
         # by the last line of a chunk: whether it may end there
-        ends = F.transform(every, lambda i: (i == n - 1) | F.get(m, i)["e"] | ((F.get(h, i - 1) * 3 + F.get(h, i) * 7) % 11 < 9))
-        return F.when(n > 1, let(ends, lambda e: F.concat(F.filter(F.transform(starts, lambda i: piece(m, n, e, i)), lambda c: c["n"] > 0), whole(n)))).otherwise(F.array().cast("array<struct<pos:int,n:int,hash:bigint>>"))
+        ends = F.transform(every, lambda i: ((F.get(h, i - 1) * 3 + F.get(h, i) * 7) % 11 < 10) | (i == n - 1) | F.get(feed, i))
+        pieces = lambda e: F.transform(F.filter(starts, lambda i: i + MIN_LINES <= n), lambda i: piece(own, e, i, n))
+        return F.concat(let(ends, pieces), F.array(named(own, F.lit(0), n)))
 
-    def piece(m: Column, n: Column, e: Column, i: Column) -> Column:
-        size = F.lit(MAX_LINES)
-        for k in range(MAX_LINES - 1, MIN_LINES - 1, -1):
-            size = F.when(F.coalesce(F.get(e, i + (k - 1)), F.lit(False)), F.lit(k)).otherwise(size)
-        size = F.when(i + MIN_LINES > n, F.lit(0)).otherwise(F.least(size, n - i))
-        return let(size, lambda k: F.struct(i.cast("int").alias("pos"), k.cast("int").alias("n"), F.xxhash64(F.transform(F.slice(m, i + 1, k), lambda x: x["x"])).alias("hash")))
+    def piece(own: Column, e: Column, i: Column, n: Column) -> Column:
+        size = F.when(F.get(e, i + MIN_LINES - 1), F.lit(MIN_LINES))
+        for k in range(MIN_LINES + 1, MAX_LINES):
+            size = size.when(F.get(e, i + k - 1), F.lit(k))
+        return let(size.otherwise(F.least(F.lit(MAX_LINES), n - i)), lambda k: named(own, i, k))
 
-    def whole(n: Column) -> Column:
-        return F.array(F.struct(F.lit(0).alias("pos"), n.cast("int").alias("n"), F.xxhash64(bare(text)).alias("hash")))
+    def named(own: Column, i: Column, k: Column) -> Column:
+        body = F.xxhash64(F.slice(own, i + 1, k - 1), bare(F.get(own, i + k - 1)))
+        return F.struct(i.cast("int").alias("pos"), k.cast("int").alias("n"), body.alias("hash"))
 
     return let(lines(text), cut)
 
@@ -96,18 +98,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = materialize(cut.drop("text"), "cut")
     text = F.col(f"doc.`{text_col}`")
     every = cut.select("row", "key", "digest", F.explode("chunks").alias("c")).select("row", "key", "digest", "c.*")
-    most = [f(c).alias(f"{f.__name__}_{c}") for c in ("key", "digest", "pos") for f in (F.min, F.max)]
-    twice = every.groupBy("hash").agg(*most).where("min_key < max_key or min_digest < max_digest or min_pos < max_pos").select("hash")
-    twice = materialize(twice, "repeated")
-    hits = every.join(small_side(twice, twice.count(), BROADCAST_ROWS), "hash", "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("hits"))  # bounded by the document
-    hits = materialize(hits, "hits")
-    again = cut.select("row", "key", "digest", text.alias("text")).join(small_side(hits, hits.count(), BROADCAST_ROWS), "row")
-    bodies = again.select("row", "key", "digest", F.explode(let(lines(F.col("text")), lambda u: F.transform("hits", lambda c: with_body(u, c)))).alias("c"))
-    bodies = materialize(bodies.where(n_words(F.col("c.body")) >= min_words).select("row", "key", "digest", "c.*"), "bodies")
+    twice = materialize(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+    # written out, so that both sides of the joins are dealt by hash and a hot one can be split
+    hits = materialize(every.join(small_side(twice, twice.count(), BROADCAST_ROWS), "hash", "left_semi"), "hits")
+    own = hits.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "hash")).alias("hits"))  # bounded by the document
+    own = materialize(own, "hits")
+    again = cut.select("row", text.alias("text")).join(small_side(own, own.count(), BROADCAST_ROWS), "row")
+    bodies = again.select("row", F.explode(let(lines(F.col("text")), lambda u: F.transform("hits", lambda c: with_body(u, c)))).alias("c")).select("row", "c.*")
+    bounds = materialize(bodies.groupBy("hash").agg(F.min("body").alias("body"), F.max("body").alias("most")), "bounds")
     place = F.struct("key", "digest", "pos")
-    groups = bodies.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("final"))
-    groups = materialize(groups.where("first < final").select("body", "first"), "groups")
-    marks = bodies.join(groups, "body").where(place > F.col("first")).select("row", "pos", "n")
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        """The first place of each group that has more than one."""
+        every = rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("final"))
+        return materialize(every.where("first < final").select(*by, "first"), "first")
+
+    alike = bounds.where((F.col("body") == F.col("most")) & (n_words(F.col("body")) >= min_words)).select("hash")
+    alike = hits.join(materialize(alike, "alike"), "hash", "left_semi")
+    marks = alike.join(first(alike, "hash"), "hash").where(place > F.col("first")).select("row", "pos", "n")
+    other = materialize(bounds.where("body <> most").select("hash"), "collisions")
+    if other.head(1):
+        mixed = bodies.join(other, "hash", "left_semi").where(n_words(F.col("body")) >= min_words)
+        mixed = materialize(mixed.join(cut.select("row", "key", "digest"), "row").select("row", "key", "digest", "pos", "n", "body"), "mixed")
+        marks = marks.unionByName(mixed.join(first(mixed, "body"), "body").where(place > F.col("first")).select("row", "pos", "n"))
     gone = materialize(marks.groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "gone")  # bounded by the document
     n_gone = gone.count()
     own = cut.drop("chunks").join(small_side(gone, n_gone, BROADCAST_ROWS) if n_gone <= BROADCAST_ROWS else gone.hint("merge"), "row", "left")
@@ -122,8 +135,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_body(own: Column, c: Column) -> Column:
-    """A chunk (pos, n) with its bytes."""
-    return F.struct(c["pos"].alias("pos"), c["n"].alias("n"), bare(F.array_join(F.slice(own, c["pos"] + 1, c["n"]), "")).alias("body"))
+    """A chunk (pos, n, hash) with its bytes, the last line bare."""
+    body = F.concat(F.array_join(F.slice(own, c["pos"] + 1, c["n"] - 1), ""), bare(F.get(own, c["pos"] + c["n"] - 1)))
+    return F.struct(c["pos"].alias("pos"), c["n"].alias("n"), c["hash"].alias("hash"), body.alias("body"))
 
 
 def without(own: Column, gone: Column) -> Column:

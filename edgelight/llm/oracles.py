@@ -37,20 +37,19 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
 """
 
 
-#: Every third letter or digit of some alphabets
-CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0x30, 0x3A), (0xE0, 0x180), (0x3B1, 0x3CA), (0x430, 0x460), (0x5D0, 0x5EB), (0x621, 0x64B)) for c in range(a, b, 3))
+CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0xE0, 0x100)) for c in range(a + 1, b, 4)) + "13579Ā-Šα-θа-иא-זا-خ"
 
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () rid, coalesce(doc_id, 9223372036854775807) key, ('0x' || substr(md5(text), 1, 15))::BIGINT dig, doc_id, text,
-                  list_filter(regexp_extract_all(text, '(?s).*?(?:[\n。！？，；]|[.!?;:,*#|)] |[{CLASS}][{CLASS}] |\z)'), lambda x: x <> '') ls FROM documents),
+                  list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?;:,*#|)] |[{CLASS}][{CLASS}] |\z)'), lambda x: x <> '') ls FROM documents),
 l AS (SELECT rid, i - 1 i, len(ls) n, ascii(md5(rtrim(ls[i], ' ' || chr(10)))) h, ends_with(ls[i], chr(10)) e
       FROM (SELECT rid, ls, unnest(generate_series(1, len(ls))) i FROM d)),
 m AS (SELECT rid, i, n, i = 0 OR lag(e) OVER w OR coalesce((h * 7 + lead(h) OVER w * 3) % 10 < 9, false) s,
-             i = n - 1 OR e OR coalesce((lag(h) OVER w * 3 + h * 7) % 11 < 9, false) f FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
+             i = n - 1 OR e OR coalesce((lag(h) OVER w * 3 + h * 7) % 11 < 10, false) f FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
 p AS (SELECT s.rid, s.i pos, least(coalesce(min(f.i) - s.i + 1, 8), 8, any_value(s.n) - s.i) n
       FROM m s LEFT JOIN m f ON f.rid = s.rid AND f.f AND f.i BETWEEN s.i + 2 AND s.i + 6 WHERE s.s AND s.i + 3 <= s.n GROUP BY s.rid, s.i),
-c AS (SELECT rid, key, dig, pos, n, rtrim(array_to_string(ls[pos + 1:pos + n], ''), ' ' || chr(10)) body FROM p JOIN d USING (rid)
-      UNION ALL SELECT rid, key, dig, 0, len(ls), rtrim(text, ' ' || chr(10)) FROM d WHERE len(ls) > 1),
+c AS (SELECT rid, key, dig, pos, n, array_to_string(ls[pos + 1:pos + n - 1], '') || rtrim(ls[pos + n], ' ' || chr(10)) body FROM p JOIN d USING (rid)
+      UNION ALL SELECT rid, key, dig, 0, len(ls), array_to_string(ls[1:len(ls) - 1], '') || rtrim(ls[len(ls)], ' ' || chr(10)) FROM d WHERE len(ls) > 1),
 e AS (SELECT * FROM c WHERE len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 10),
 f AS (SELECT body, min({{k: key, d: dig, p: pos}}) f FROM e GROUP BY body),
 g AS (SELECT DISTINCT rid, unnest(generate_series(pos, pos + n - 1)) i FROM e JOIN f USING (body) WHERE {{k: key, d: dig, p: pos}} > f),

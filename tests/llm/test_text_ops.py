@@ -125,7 +125,7 @@ def cut_lines(t):
     out, now = [], ""
     for ch in t:
         now += ch
-        if ch in "\n" + line_dedup.WIDE or (ch == " " and (now[-2:-1] and now[-2] in ".!?;:,*#|)" or len(now) > 2 and now[-2] in line_dedup.CLASS and now[-3] in line_dedup.CLASS)):
+        if ch == "\n" or (ch == " " and (now[-2:-1] and now[-2] in ".!?;:,*#|)" or len(now) > 2 and re.fullmatch(f"[{line_dedup.CLASS}]" * 2, now[-3:-1]))):
             out.append(now)
             now = ""
     return out + ([now] if now else [])
@@ -137,7 +137,7 @@ def cut_chunks(own):
     h = [ord(hashlib.md5(x.rstrip(" \n").encode()).hexdigest()[0]) for x in own]
     feed = [x.endswith("\n") for x in own]
     start = [i == 0 or feed[i - 1] or (i + 1 < n and (h[i] * 7 + h[i + 1] * 3) % 10 < 9) for i in range(n)]
-    end = [i == n - 1 or feed[i] or (i > 0 and (h[i - 1] * 3 + h[i] * 7) % 11 < 9) for i in range(n)]
+    end = [i == n - 1 or feed[i] or (i > 0 and (h[i - 1] * 3 + h[i] * 7) % 11 < 10) for i in range(n)]
     found = []
     for i in range(n - 2):
         if start[i]:
@@ -151,7 +151,7 @@ def brute_lines(rows, min_words=10):
     for i, t in rows:
         own = cut_lines(t or "")
         key = ((1 << 63) - 1 if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16))
-        found = [(pos, n, "".join(own[pos : pos + n]).rstrip(" \n")) for pos, n in cut_chunks(own)]
+        found = [(pos, n, "".join(own[pos : pos + n - 1]) + own[pos + n - 1].rstrip(" \n")) for pos, n in cut_chunks(own)]
         found = [x for x in found if len(words_space(x[2])) >= min_words]
         per.append((key, own, found))
         for pos, _, body in found:
