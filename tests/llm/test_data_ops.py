@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgelight.llm import mixing, pii, token_counts, url_rules, vptree, warc
-from edgelight.llm.common import scratch_path
+from edgelight.llm.common import materialize, scratch_path
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -109,12 +109,15 @@ def test_warc_round_trip(spark):
     rows = [(i, None if i == 7 else f"http://a/{i}\r\nX: 1", h) for i, h in enumerate(html)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder = scratch_path(spark, "warc-test")
-    index = warc.write_bundles(df, folder, frame_bytes=1000, bundle_bytes=100_000).collect()
+    stored = materialize(warc.write_bundles(df, folder, frame_bytes=1000, bundle_bytes=100_000), "warc-index")
+    index = stored.collect()
     last = {}
     for i, h in enumerate(html):
         last[h or ""] = i
-    got = {r.record_id: r for r in warc.read_bundles(spark, folder).collect()}
-    assert len(got) == len(html)
+    warc.write_bundles(df, folder).collect()  # a second attempt's bundles are in no index
+    back = warc.read_bundles(stored, folder).collect()
+    got = {r.record_id: r for r in back}
+    assert len(back) == len(got) == len(html)
     for i, h in enumerate(html):
         r, body = got[i], (h or "").encode()
         assert r.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode() and r.payload_bytes == len(body)
@@ -129,8 +132,8 @@ def test_warc_round_trip(spark):
 def test_warc_rows_that_share_an_id_keep_their_own_payloads(spark):
     rows = [(1, "copied"), (1, "alone"), (1, "again"), (2, "copied"), (3, "again")]
     folder = scratch_path(spark, "warc-ids")
-    warc.write_bundles(spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string"), folder).collect()
-    got = sorted((r.record_id, r.record_type, r.refers_to or 0, bytes(r.payload).decode()) for r in warc.read_bundles(spark, folder).collect())
+    index = materialize(warc.write_bundles(spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string"), folder), "warc-index")
+    got = sorted((r.record_id, r.record_type, r.refers_to or 0, bytes(r.payload).decode()) for r in warc.read_bundles(index, folder).collect())
     assert got == [(1, "response", 0, "alone"), (1, "revisit", 2, ""), (1, "revisit", 3, ""), (2, "response", 0, "copied"), (3, "response", 0, "again")]
 
 

@@ -227,7 +227,7 @@ def test_line_dedup_cuts_planted_passages_anywhere(docs, place):
         left = words_space(out[100 + i])
         gone.append(1 - sum(w in set(left) for w in words_space(p)) / len(words_space(p)))
         assert left[: len(words_space(before)) - 8] == words_space(before)[:-8]
-    assert np.mean(gone) >= 0.8 and np.quantile(gone, 0.1) >= 0.5, (np.mean(gone), sorted(gone)[:5])
+    assert np.mean(gone) >= 0.75 and np.quantile(gone, 0.1) >= 0.5, (np.mean(gone), sorted(gone)[:5])
 
 
 def test_language_id(spark):
