@@ -13,9 +13,9 @@ line that goes has an equal one at a smaller place, so the first of equal passag
 
 Repeats are proposed by hash and decided on bytes: of the chunks with one hash, the least and the greatest text are found,
 pre-aggregated, so a chunk with a third of all occurrences costs one row per task. If the two are the same bytes, all are;
-if not, the chunks of that hash are grouped by their texts. Only documents with a repeated hash are cut again, and only
-these aggregates carry texts through a shuffle. Rows are told apart by a stored row number, so no id, null or repeated,
-gathers texts.
+if not, the chunks of that hash are grouped by their texts. Texts are cut once and stored as lines with a row number, so
+no id, null or repeated, gathers texts. Where the repeated hashes are more than BROADCAST_ROWS, documents are joined with
+their repeated chunks by row number, and lines are shuffled once for it.
 
 Defined results: null text stays null, without lines; a text may become empty; rows that share an id are ordered by a
 digest of their texts, and rows that share both are the same place, cut alike; a null id comes after all others. The
@@ -55,8 +55,8 @@ def bare(line: Column) -> Column:
     return F.rtrim(line, F.lit(" \n"))
 
 
-def chunks(text: Column) -> Column:
-    """Array of (pos, n, hash) of the text's chunks: first line, number of lines, hash. The last one is the whole text."""
+def chunks(lines: Column) -> Column:
+    """Array of (pos, n, hash) of the chunks of a text's lines: first line, number of lines, hash. The last one is the whole text."""
 
     def cut(own: Column) -> Column:
         h, feeds = F.transform(own, lambda x: F.ascii(F.md5(bare(x)))), F.transform(own, lambda x: x.endswith("\n"))
@@ -81,7 +81,7 @@ def chunks(text: Column) -> Column:
         body = F.xxhash64(F.slice(own, i + 1, k - 1), bare(F.get(own, i + k - 1)))
         return F.struct(i.cast("int").alias("pos"), k.cast("int").alias("n"), body.alias("hash"))
 
-    return let(lines(text), cut)
+    return cut(lines)
 
 
 def n_words(text: Column) -> Column:
@@ -93,51 +93,51 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key")
     text = F.col(text_col)
     digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("digest")
+    rest = docs.drop(text_col)
     # once: the row number is stored with what it names
-    cut = docs.select(F.struct("*").alias("doc"), key, digest, text.alias("text"), F.coalesce(chunks(text), F.array()).alias("chunks")).withColumn("row", F.monotonically_increasing_id())
-    cut = materialize(cut.drop("text"), "cut")
-    text = F.col(f"doc.`{text_col}`")
+    cut = docs.select(F.struct(*rest.columns).alias("doc") if rest.columns else F.lit(None).alias("doc"), key, digest, lines(text).alias("lines"))
+    cut = cut.withColumn("chunks", F.coalesce(chunks(F.col("lines")), F.array())).withColumn("row", F.monotonically_increasing_id())
+    cut = materialize(cut, "cut")
     every = cut.select("row", "key", "digest", F.explode("chunks").alias("c")).select("row", "key", "digest", "c.*")
     twice = materialize(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
-    # written out, so that both sides of the joins are dealt by hash and a hot one can be split
-    hits = materialize(every.join(small_side(twice, twice.count(), BROADCAST_ROWS), "hash", "left_semi"), "hits")
-    own = hits.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "hash")).alias("hits"))  # bounded by the document
-    own = materialize(own, "hits")
-    again = cut.select("row", text.alias("text")).join(small_side(own, own.count(), BROADCAST_ROWS), "row")
-    bodies = again.select("row", F.explode(let(lines(F.col("text")), lambda u: F.transform("hits", lambda c: with_body(u, c)))).alias("c")).select("row", "c.*")
-    bounds = materialize(bodies.groupBy("hash").agg(F.min("body").alias("body"), F.max("body").alias("most")), "bounds")
     place = F.struct("key", "digest", "pos")
 
-    def first(rows: DataFrame, *by: str) -> DataFrame:
-        """The first place of each group that has more than one."""
-        every = rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("final"))
-        return materialize(every.where("first < final").select(*by, "first"), "first")
-
-    alike = bounds.where((F.col("body") == F.col("most")) & (n_words(F.col("body")) >= min_words)).select("hash")
-    alike = hits.join(materialize(alike, "alike"), "hash", "left_semi")
-    marks = alike.join(first(alike, "hash"), "hash").where(place > F.col("first")).select("row", "pos", "n")
-    other = materialize(bounds.where("body <> most").select("hash"), "collisions")
+    def bodies(hashes: DataFrame) -> DataFrame:
+        """(key, digest, row, pos, n, hash, body) of the chunks with these hashes."""
+        if (n := hashes.count()) <= BROADCAST_ROWS:
+            rows = cut.select("row", "key", "digest", "lines", F.explode("chunks").alias("c")).withColumn("hash", F.col("c.hash")).join(F.broadcast(hashes), "hash", "left_semi")
+        else:
+            hits = every.join(hashes, "hash", "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "n", "hash")).alias("hits"))  # bounded by the document
+            rows = cut.select("row", "key", "digest", "lines").join(materialize(hits, "hits"), "row").select("row", "key", "digest", "lines", F.explode("hits").alias("c"))
+        return rows.select("row", "key", "digest", "c.*", body_of(F.col("lines"), F.col("c")).alias("body"))
+
+    found = bodies(twice).groupBy("hash").agg(F.min("body").alias("body"), F.max("body").alias("most"), F.min(place).alias("first"), F.max(place).alias("final"))
+    found = materialize(found.where((n_words(F.col("body")) >= min_words) & (F.col("first") < F.col("final")) | (F.col("body") != F.col("most"))), "repeats")
+    alike = materialize(found.where("body = most").select("hash", "first"), "alike")
+    marks = every.join(small_side(alike, alike.count(), BROADCAST_ROWS), "hash").where(place > F.col("first")).select("row", "pos", "n")
+    other = found.where("body <> most").select("hash")
     if other.head(1):
-        mixed = bodies.join(other, "hash", "left_semi").where(n_words(F.col("body")) >= min_words)
-        mixed = materialize(mixed.join(cut.select("row", "key", "digest"), "row").select("row", "key", "digest", "pos", "n", "body"), "mixed")
-        marks = marks.unionByName(mixed.join(first(mixed, "body"), "body").where(place > F.col("first")).select("row", "pos", "n"))
+        mixed = materialize(bodies(other).where(n_words(F.col("body")) >= min_words), "mixed")
+        first = mixed.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").select("body", "first")
+        marks = marks.unionByName(mixed.join(materialize(first, "first"), "body").where(place > F.col("first")).select("row", "pos", "n"))
     gone = materialize(marks.groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "gone")  # bounded by the document
-    n_gone = gone.count()
-    own = cut.drop("chunks").join(small_side(gone, n_gone, BROADCAST_ROWS) if n_gone <= BROADCAST_ROWS else gone.hint("merge"), "row", "left")
-    own = own.withColumn("result", F.when(F.col("gone").isNotNull(), let(lines(text), lambda u: without(u, F.col("gone").cast(RANGES)))))
-    names, added = [], {"n_removed": F.coalesce("result.n", F.lit(0)).cast("long"), "chars_removed": F.coalesce(F.length(text) - F.length("result.text"), F.lit(0)).cast("long")}
+    n_gone = gone.agg(F.sum(F.size("gone"))).head()[0] or 0
+    own = cut.drop("chunks").join(F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone.hint("merge"), "row", "left")
+    whole = F.array_join("lines", "")
+    own = own.withColumn("result", F.when(F.col("gone").isNotNull(), without(F.col("lines"), F.col("gone").cast(RANGES))))
+    left = F.coalesce(F.col("result.text"), whole)
+    names, added = [], {"n_removed": F.coalesce("result.n", F.lit(0)).cast("long"), "chars_removed": F.coalesce(F.length(whole) - F.length("result.text"), F.lit(0)).cast("long")}
     for name in added:
         while name in docs.columns:
             name += "_"
         names.append(name)
-    same = [F.coalesce("result.text", text).alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    same = [left.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     return own.select(*same, *(v.alias(c) for v, c in zip(added.values(), names)))
 
 
-def with_body(own: Column, c: Column) -> Column:
-    """A chunk (pos, n, hash) with its bytes, the last line bare."""
-    body = F.concat(F.array_join(F.slice(own, c["pos"] + 1, c["n"] - 1), ""), bare(F.get(own, c["pos"] + c["n"] - 1)))
-    return F.struct(c["pos"].alias("pos"), c["n"].alias("n"), c["hash"].alias("hash"), body.alias("body"))
+def body_of(own: Column, c: Column) -> Column:
+    """A chunk's bytes, the last line bare."""
+    return F.concat(F.array_join(F.slice(own, c["pos"] + 1, c["n"] - 1), ""), bare(F.get(own, c["pos"] + c["n"] - 1)))
 
 
 def without(own: Column, gone: Column) -> Column:
