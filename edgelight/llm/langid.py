@@ -9,7 +9,8 @@ input's size, and copies take no place from other texts. A text gets the languag
 its cosine is under that centroid's floor, `slack` times the sample rows' low quantile there (less for short texts).
 
 Defined results: null text and text without a letter are `und` with score 0 and are rejected; without any training row
-all are `und`; repeated rows count as often as they occur, but once in the sample; ties go to the first language by name.
+all are `und`; repeated rows count as often as they occur, but once in the sample; ties go to the first language by name; more than MAX_LANGS languages are an error, since all
+centroids go to every worker.
 """
 
 from __future__ import annotations
@@ -47,21 +48,20 @@ def grams(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     total, is_letter, seen = np.zeros(DIMS, np.int64), letters(), False
+    text, tail, before = text.lower(), np.zeros(0, np.uint32), np.zeros(1, bool)
     for at in range(0, len(text), PIECE):
-        piece = text[max(0, at - 2) : at + PIECE].lower()
-        c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         own = is_letter[c]
-        if not own.any():
-            continue
-        seen = True
-        c = np.where(own, c, np.uint32(32))
-        keep = own.copy()
-        keep[1:] |= own[:-1]
-        c = c[keep].astype(np.uint32)
+        # a run of other characters after a letter is one space
+        keep = own | np.concatenate((before, own[:-1]))
+        before, seen = own[-1:], seen or bool(own.any())
+        n = len(tail)
+        c = np.concatenate((tail, np.where(own, c, np.uint32(32))[keep].astype(np.uint32)))
+        tail = c[-2:]
         h1 = c * np.uint32(0x9E3779B1)
         h2 = (h1[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
         h3 = (h2[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1) if len(c) > 2 else h2[:0]
-        for h in (h1, h2, h3):
+        for h in (h1[n:], h2[max(n - 1, 0) :], h3[max(n - 2, 0) :]):
             total += np.bincount((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20), minlength=DIMS)
     return total if seen else None
 
