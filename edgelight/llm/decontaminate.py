@@ -6,14 +6,15 @@ rarest first. Exact containment (overlap 1.0) leaves a necessary prefix of one s
 window's rarest one. A document position with that shingle is a candidate; the shingle's offset and the window's
 length bound where the window must lie inside the document, and the words there are compared byte for byte.
 
-The benchmark is read in blocks of at most `block_windows` windows, each broadcast on its own, so what a worker holds
-does not grow with the benchmark; documents are never shuffled. Defined results: null text has no words; a null
+The benchmark is read in blocks of at most `block_windows` windows, each broadcast in packed form; a worker unpacks one
+block at a time, and all of a batch's texts meet it before the next; documents are never shuffled. Defined results: null text has no words; a null
 item_id marks words but is not listed; rows that repeat an item_id are one item; repeated documents are judged row by row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 
 import numpy as np
@@ -127,7 +128,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, q:
         if index.hashes:
             tokens = index.tokens()
             index.order(tokens, count_shingles(docs, text_col, tokens))
-            found.append(spark.sparkContext.broadcast(index))
+            found.append(spark.sparkContext.broadcast(pickle.dumps(index, protocol=5)))
 
     for row in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         index.add(row.item_id, row.text)
@@ -189,24 +190,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def judge(batches):
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("items", pa.list_(pa.string())), ("hit_words", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
         at = plain.index(text_col)
+        only = prepare(pickle.loads(indexes[0].value)) if len(indexes) == 1 else None
         for batch in batches:
-            out = []
+            out, groups = [], []
             for _, texts in wh.groups(batch.column(at)):
                 joined, starts, ends, h, first = wh.words_of(texts, wh.ALNUM)
-                doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
-                edge, listed = np.zeros(len(h) + 1, np.int64), defaultdict(set)
-                for shared in indexes:
-                    index = prepare(shared.value)
-                    s, n, w = matches(index, joined, starts, ends, h, first, doc_of)
+                groups.append((joined, starts, ends, h, first, np.repeat(np.arange(len(texts)), np.diff(first)), np.zeros(len(h) + 1, np.int64), defaultdict(set)))
+            for shared in indexes:
+                index = only or prepare(pickle.loads(shared.value))
+                for *words, doc_of, edge, listed in groups:
+                    s, n, w = matches(index, *words, doc_of)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + n, -1)
                     for i, j in zip(s.tolist(), w.tolist()):
                         listed[int(doc_of[i])] |= index.items[j]
-                    if len(indexes) > 1 and getattr(shared, "_path", None):
-                        del shared._value  # one block in memory at a time
+            for _, _, _, _, first, _, edge, listed in groups:
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.concatenate(([0], np.cumsum(hit)))
-                for d in range(len(texts)):
+                for d in range(len(first) - 1):
                     a, b = int(first[d]), int(first[d + 1])
                     n_hit, ids, spans = int(total[b] - total[a]), sorted(listed.get(d, ())), []
                     if n_hit and keep_spans:
