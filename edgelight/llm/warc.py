@@ -11,8 +11,8 @@ refer to it, without payload. Payloads of fewer than `min_dedup` bytes are alway
 (length, SHA-1, SHA-256) rows, which are small and pre-aggregated; payloads are then moved once, by record id and content, so a
 payload shared by a third of all records lands in no single task and rows that share an id only keep their own roles.
 
-Executors write a bundle under a temporary name and rename it when whole; names come from partition and sequence, so a
-task that runs again replaces its own bundles and no other's. Defined results: null payload is empty; null url gives
+Executors write bundles under names of their own attempt, and the index rows that Spark commits say which ones count: what
+a lost or repeated attempt has left is in no index. Readers go by the index, so store it before reading. Defined results: null payload is empty; null url gives
 no target URI; rows that repeat an id and a payload are all responses if the id is the largest.
 """
 
@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelight.llm.common import materialize, small_side
@@ -154,10 +154,9 @@ def write_bundles(records: DataFrame, folder: str, id_col: str = "page_id", url_
 
         def close():
             nonlocal writer, index, n
-            name = f"part-{part:06d}-{n:05d}.warc.zst"
-            with store.open_output_stream(f"{base}/.{name}.{attempt}") as f:
+            name = f"part-{part:06d}-{attempt}-{n:05d}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(writer.finish())
-            store.move(f"{base}/.{name}.{attempt}", f"{base}/{name}")
             columns = [pa.array([x[i] for x in index], kind) for i, kind in ((0, pa.int64()), (1, pa.int32()), (2, pa.int64()), (3, pa.int64()))]
             batch = pa.RecordBatch.from_arrays([columns[0], pa.array([name] * len(index), pa.string()), *columns[1:]], ["record_id", "bundle", "frame", "offset", "length"])
             writer, index, n = BundleWriter(frame_bytes), [], n + 1
@@ -167,7 +166,7 @@ def write_bundles(records: DataFrame, folder: str, id_col: str = "page_id", url_
             for i in range(len(batch)):
                 key, url, payload, last = (batch.column(c)[i].as_py() for c in range(4))
                 body = (payload or "").encode()
-                digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+                digest = base32_sha1(body)
                 kind = "revisit" if last is not None else "response"
                 record = warc_record(key, kind, last, url, date, b"" if last is not None else body, len(body), digest)
                 index.append((key, *writer.add(record)))
@@ -179,36 +178,74 @@ def write_bundles(records: DataFrame, folder: str, id_col: str = "page_id", url_
     return rows.mapInArrow(run, INDEX_SCHEMA)
 
 
-def read_bundles(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of every bundle in folder, frame by frame."""
+def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """The records of index rows, each from its place: footer, seek table, one frame at a time, the record at its offset.
+
+    Reading starts from index rows, so a bundle that a lost or repeated task left behind is never read. Length and digest
+    of a response are taken from its stored payload, and a payload that differs from its headers is an error; those of a revisit,
+    which has no payload, are its headers'.
+    """
+    place = ["bundle", "frame", "offset"]
 
     def run(batches):
+        store, base = pafs.FileSystem.from_uri(folder)
+        now, table, frame, data = None, [], None, b""
         for batch in batches:
-            for content in batch.column(0):
-                bundle = memoryview(content.as_buffer())
-                for frame in seek_table(bundle):
-                    data, at, rows = read_frame(bundle, frame), 0, []
-                    while at < len(data):
-                        head, body, at = parse_record(data, at)
-                        rows.append((number(head["WARC-Record-ID"]), head["WARC-Type"], number(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), body if payloads else None))
-                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["record_id", "record_type", "refers_to", "url", "payload_bytes", "payload_digest", "payload"])
+            rows, size = [], 0
+            for bundle, at, offset in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in place)):
+                if bundle != now:
+                    now, frame = bundle, None
+                    with store.open_input_file(f"{base}/{bundle}") as f:
+                        table = footer(f)
+                if at != frame:
+                    with store.open_input_file(f"{base}/{bundle}") as f:
+                        f.seek(table[at][0])
+                        data, frame = read_frame(f.read(table[at][1]), (0, *table[at][1:])), at
+                rows.append(as_row(data, offset, payloads))
+                size += len(rows[-1][-1] or b"")
+                if size >= FRAME_BYTES:
+                    yield record_batch(rows)
+                    rows, size = [], 0
+            yield record_batch(rows)
+
+    rows = index.select(*place)
+    # as many tasks as bundles, whose size is bounded
+    n = max(1, rows.select("bundle").distinct().count())
+    return rows.repartition(n, "bundle").sortWithinPartitions(*place).mapInArrow(run, RECORD_SCHEMA)
+
+
+def as_row(data: bytes, offset: int, payloads: bool) -> tuple:
+    head, body, _ = parse_record(data, offset)
+    size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
+    if head["WARC-Type"] == "response" and (len(body), base32_sha1(body)) != (size, digest):
+        raise ValueError(f"payload of {head['WARC-Record-ID']} differs from its headers")
+    return number(head["WARC-Record-ID"]), head["WARC-Type"], number(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), size, digest, body if payloads else None
+
+
+def record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["record_id", "record_type", "refers_to", "url", "payload_bytes", "payload_digest", "payload"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(run, RECORD_SCHEMA)
+
+def base32_sha1(body: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+
+def footer(f) -> list[tuple[int, int, int, int]]:
+    """The seek table at the end of an open bundle."""
+    size = f.size()
+    f.seek(size - 9)
+    n = struct.unpack("<IBI", f.read(9))[0]
+    f.seek(size - 9 - 12 * n)
+    return seek_table(f.read(12 * n + 9))
 
 
 def read_record(folder: str, bundle: str, frame: int, offset: int) -> tuple[dict, bytes]:
     """One record by its index entry: reads the footer and one frame, not the bundle."""
     store, base = pafs.FileSystem.from_uri(folder)
     with store.open_input_file(f"{base}/{bundle}") as f:
-        size = f.size()
-        f.seek(size - 9)
-        n = struct.unpack("<IBI", f.read(9))[0]
-        f.seek(size - 9 - 12 * n)
-        entries = seek_table(f.read(12 * n + 9))
+        entries = footer(f)
         f.seek(entries[frame][0])
         packed = f.read(entries[frame][1])
-    data = read_frame(packed, (0, *entries[frame][1:]))
-    head, body, _ = parse_record(data, offset)
+    head, body, _ = parse_record(read_frame(packed, (0, *entries[frame][1:])), offset)
     return head, body
