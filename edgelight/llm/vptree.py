@@ -6,8 +6,8 @@ shard (at most about `shard_rows` rows) is a tree whose nodes hold a vantage poi
 child; a child is skipped for a query if the triangle inequality puts all of it beyond `factor` times the query's
 present radius. Factor 1 is exact search; a smaller factor skips more. Leaves are compared in one matrix product.
 
-Queries come in blocks of bounded size, each block broadcast to all shards; every shard returns its best k per query and
-the bests are merged. The trees are built once and kept in the shared folder. Scores are products of the original
+Queries are written to the shared folder as files of bounded size; the task of a shard reads them one by one, so neither
+the driver nor a worker holds them all. Every shard returns its best k per query and the bests are merged. The trees are built once and kept in the shared folder. Scores are products of the original
 vectors in double precision. Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part; vectors meet only others of their length; rows with a query's own id are not its candidates; equal scores go by
 smaller id; fewer candidates than k give fewer rows; repeated rows are repeated candidates, but one query.
@@ -19,12 +19,17 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgelight.llm.common import materialize
+from edgelight.llm.common import materialize, scratch_path
 
 SHARD_ROWS = 16384
+#: Vectors of a shard take about so many bytes at most
+SHARD_BYTES = 64 << 20
 QUERY_BLOCK = 4096
 LEAF = 256
 FACTOR = 1.0
@@ -127,10 +132,11 @@ def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> Da
     """(dim, shard, tree) for usable rows (id, v), in the shared folder."""
     facts = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("limit"))
     facts = materialize(facts, "vector-facts")
-    shards = facts.agg(F.sum(F.ceil(F.col("n") / shard_rows))).head()[0] or 1
+    most = F.greatest(F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (F.col("dim") * 8 + 8))), F.lit(1))
+    shards = facts.agg(F.sum(F.ceil(F.col("n") / most))).head()[0] or 1
     # one row per vector length; joined, so a few lengths or many take the same way
     rows = rows.withColumn("dim", F.size("v")).join(facts, "dim")
-    n = F.ceil(F.col("n") / shard_rows).cast("int")
+    n = F.ceil(F.col("n") / most).cast("int")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), n).cast("int"))
     # as many tasks and files as shards, so trees are built and searched side by side
     rows = rows.repartition(int(shards), "dim", "shard")
@@ -145,39 +151,40 @@ def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> Da
     return materialize(rows.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, tree binary"), "vptree")
 
 
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> str:
+    """Usable queries (id, v) as files of at most about `block` rows in the shared folder; the folder's path."""
+    n = max(1, -(-queries.count() // block))
+    path = scratch_path(queries.sparkSession, "queries")
+    packed = queries.select("id", F.size("v").alias("dim"), "v")
+    packed.repartition(n).write.option("maxRecordsPerFile", block).parquet(path)
+    return path
+
+
 def search(trees: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of usable queries (id, v) against an index."""
-    spark = trees.sparkSession
-    n = max(1, -(-queries.count() // block))
-    parts = None
-    for b in range(n):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b) if n > 1 else queries
-        got = own.toArrow()
-        if not len(got):
-            continue
-        ids = got.column("id").to_numpy()
-        by_dim = {}
-        sizes = np.array([len(v) for v in got.column("v")])
-        flat = got.column("v").combine_chunks().flatten().to_numpy()
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        for dim in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == dim)
-            by_dim[dim] = ids[at], np.stack([flat[starts[i] : starts[i] + dim] for i in at])
-        shared = spark.sparkContext.broadcast(by_dim)  # at most about `block` vectors
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for dim, tree in zip(batch.column(0), batch.column(1)):
-                    if dim.as_py() in shared.value:
-                        q, v, s = Search(pickle.loads(tree.as_py()), *shared.value[dim.as_py()], k, factor).run()
+    folder = query_blocks(queries, block)
+
+    def blocks():
+        store, base = pafs.FileSystem.from_uri(folder)
+        for f in store.get_file_info(pafs.FileSelector(base)):
+            if f.base_name.endswith(".parquet") and f.size:
+                with store.open_input_file(f.path) as source:
+                    yield pq.read_table(source)
+
+    def run(batches):
+        for batch in batches:
+            for dim, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tree = pickle.loads(packed.as_py())
+                for got in blocks():
+                    own = got.filter(pa.compute.equal(got.column("dim"), dim))
+                    if len(own):
+                        vectors = own.column("v").combine_chunks().flatten().to_numpy().reshape(len(own), dim)
+                        q, v, s = Search(tree, own.column("id").to_numpy(), vectors, k, factor).run()
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        found = trees.select("dim", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = trees.select("dim", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, factor: float = FACTOR) -> DataFrame:
