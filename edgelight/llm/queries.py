@@ -42,8 +42,8 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    materialize(warc.write_bundles(pages, folder), "warc-index")
-    back = warc.read_bundles(spark, folder, payloads=False)
+    index = materialize(warc.write_bundles(pages, folder), "warc-index")
+    back = warc.read_bundles(index, folder, payloads=False)
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -74,7 +74,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = pii.detect(docs, model=pii.train(docs))
     counts = [n_of(k) for k in pii.KINDS]
-    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    spans = F.array_sort(F.concat("base", "added"))
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def n_of(kind: str):
