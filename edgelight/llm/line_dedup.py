@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
-A text is cut into lines: at line feeds, after punctuation and some signs before a space, and inside long
-sentences where the two letters before a space both belong to CLASS, so that a line has about five words also where
+A text is cut into lines: at line feeds, after sentence ends before a space, and inside long
+sentences where the two letters before a space both belong to CLASS, so that a line has about seven words also where
 nothing else ends it. Lines keep their separators, so joined lines are the text. Every line has a hash (of the line
 without its separator), and a rolling hash covers it and its neighbour. A chunk starts at a line where the rolling hash of
 the chunk's first two lines hits, and ends at the first place, MIN_LINES lines on or more, where another rolling hash of
@@ -32,7 +32,7 @@ from edgelight.llm.common import materialize, small_side
 #: Every fourth letter of some alphabets, odd digits, and ranges of others: short, since the matcher tries them one by one
 CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0xE0, 0x100)) for c in range(a + 1, b, 4)) + "13579Ā-Šα-θа-иא-זا-خ"
 #: Where a line ends; the first lookbehind only keeps the search fast
-SEPARATOR = rf"(?<=[\n ])(?<=\n|[.!?;:,*#|)] |[{CLASS}][{CLASS}] )"
+SEPARATOR = rf"(?<=[\n ])(?<=\n|[.!?] |[{CLASS}][{CLASS}] )"
 MIN_WORDS = 10
 MIN_LINES, MAX_LINES = 3, 8
 BROADCAST_ROWS = 1_000_000

@@ -41,7 +41,7 @@ CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0xE0, 0x100)) for c in range(
 
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () rid, coalesce(doc_id, 9223372036854775807) key, ('0x' || substr(md5(text), 1, 15))::BIGINT dig, doc_id, text,
-                  list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?;:,*#|)] |[{CLASS}][{CLASS}] |\z)'), lambda x: x <> '') ls FROM documents),
+                  list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?] |[{CLASS}][{CLASS}] |\z)'), lambda x: x <> '') ls FROM documents),
 l AS (SELECT rid, i - 1 i, len(ls) n, ascii(md5(rtrim(ls[i], ' ' || chr(10)))) h, ends_with(ls[i], chr(10)) e
       FROM (SELECT rid, ls, unnest(generate_series(1, len(ls))) i FROM d)),
 m AS (SELECT rid, i, n, i = 0 OR lag(e) OVER w OR coalesce((h * 7 + lead(h) OVER w * 3) % 10 < 9, false) s,

@@ -125,7 +125,7 @@ def cut_lines(t):
     out, now = [], ""
     for ch in t:
         now += ch
-        if ch == "\n" or (ch == " " and (now[-2:-1] and now[-2] in ".!?;:,*#|)" or len(now) > 2 and re.fullmatch(f"[{line_dedup.CLASS}]" * 2, now[-3:-1]))):
+        if ch == "\n" or (ch == " " and (now[-2:-1] and now[-2] in ".!?" or len(now) > 2 and re.fullmatch(f"[{line_dedup.CLASS}]" * 2, now[-3:-1]))):
             out.append(now)
             now = ""
     return out + ([now] if now else [])
