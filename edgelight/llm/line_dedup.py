@@ -37,7 +37,7 @@ MIN_WORDS = 10
 MIN_LINES, MAX_LINES = 3, 8
 BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
-RANGES = "array<struct<pos:int,n:int>>"
+RANGES = "array<struct<pos:int,end:int>>"
 CHUNKS = "array<struct<pos:int,n:int,hash:bigint>>"
 
 
@@ -97,7 +97,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # once: the row number is stored with what it names
     cut = docs.select(F.struct(*rest.columns).alias("doc") if rest.columns else F.lit(None).alias("doc"), key, digest, lines(text).alias("lines"))
     cut = cut.withColumn("chunks", F.coalesce(chunks(F.col("lines")), F.array())).withColumn("row", F.monotonically_increasing_id())
-    cut = materialize(cut, "cut")
+    cut = materialize(cut, "cut", compression="zstd")
     every = cut.select("row", "key", "digest", F.explode("chunks").alias("c")).select("row", "key", "digest", "c.*")
     twice = materialize(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     place = F.struct("key", "digest", "pos")
@@ -120,11 +120,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mixed = materialize(bodies(other).where(n_words(F.col("body")) >= min_words), "mixed")
         first = mixed.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").select("body", "first")
         marks = marks.unionByName(mixed.join(materialize(first, "first"), "body").where(place > F.col("first")).select("row", "pos", "n"))
-    gone = materialize(marks.groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "gone")  # bounded by the document
+    gone = marks.groupBy("row").agg(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n")).alias("end"))).alias("gone"))  # bounded by the document
+    gone = materialize(gone.select("row", merged(F.col("gone")).alias("gone")), "gone")
     n_gone = gone.agg(F.sum(F.size("gone"))).head()[0] or 0
     own = cut.drop("chunks").join(F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone.hint("merge"), "row", "left")
     whole = F.array_join("lines", "")
-    own = own.withColumn("result", F.when(F.col("gone").isNotNull(), without(F.col("lines"), F.col("gone").cast(RANGES))))
+    own = own.withColumn("result", F.when(F.col("gone").isNotNull(), without(F.col("lines"), F.col("gone"))))
     left = F.coalesce(F.col("result.text"), whole)
     names, added = [], {"n_removed": F.coalesce("result.n", F.lit(0)).cast("long"), "chars_removed": F.coalesce(F.length(whole) - F.length("result.text"), F.lit(0)).cast("long")}
     for name in added:
@@ -140,8 +141,19 @@ def body_of(own: Column, c: Column) -> Column:
     return F.concat(F.array_join(F.slice(own, c["pos"] + 1, c["n"] - 1), ""), bare(F.get(own, c["pos"] + c["n"] - 1)))
 
 
+def merged(ranges: Column) -> Column:
+    """Ranges (pos, end) as few disjoint ones."""
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.array(F.struct(last["pos"].alias("pos"), F.greatest(last["end"], r["end"]).alias("end")))
+        return F.when((F.size(done) > 0) & (r["pos"] <= last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(RANGES), step)
+
+
 def without(own: Column, gone: Column) -> Column:
-    """(n, text): how many lines are in the ranges gone, and the text of the others."""
-    at = F.array_distinct(F.flatten(F.transform(gone, lambda g: F.sequence(g["pos"], g["pos"] + g["n"] - 1))))
+    """(n, text): how many lines are in the disjoint ranges gone, and the text of the others."""
+    at = F.flatten(F.transform(gone, lambda g: F.sequence(g["pos"], g["end"] - 1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), at)
     return let(stay, lambda s: F.struct((F.size(own) - F.size(s)).alias("n"), F.array_join(F.transform(s, lambda i: F.get(own, i)), "").alias("text")))
