@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType, _parse_dataty
 from edgelight.kernels import analysis as an
 from edgelight.kernels import fourier as ft
 from edgelight.kernels import reduction as rd
+from edgelight.kernels import splines as sp
 
 
 def rowwise(df: DataFrame, inputs: list[str], kernel: Callable[..., dict], results: str) -> DataFrame:
@@ -147,7 +148,7 @@ def diffkk(df: DataFrame, **options) -> DataFrame:
 
 
 def cauchy(df: DataFrame, kmin: float = 2.0, kmax: float = 12.0, rmin: float = 0.5, rmax: float = 5.0, kweight: int = 2, kstep: float = 0.05) -> DataFrame:
-    """Magnitudes of the Cauchy wavelet, rows over R, as nested arrays."""
+    """Per R the largest magnitude of the Cauchy wavelet over k; cauchy_map() has all of them."""
 
     def run(k, chi):
         grid = kstep * np.arange(int(1.01 + k.max() / kstep))
@@ -157,6 +158,51 @@ def cauchy(df: DataFrame, kmin: float = 2.0, kmax: float = 12.0, rmin: float = 0
     return rowwise(df, ["k", "chi"], run, "mag array<double>")
 
 
+def cauchy_map(df: DataFrame, kmin: float = 2.0, kmax: float = 12.0, rmin: float = 0.5, rmax: float = 5.0, kweight: int = 2, kstep: float = 0.05) -> DataFrame:
+    """The whole Cauchy wavelet map: magnitude row by row over R (map), and its number of k points (columns)."""
+
+    def run(k, chi):
+        grid = kstep * np.arange(int(1.01 + k.max() / kstep))
+        win = ft.k_window(2048, kstep, "hanning", kmin, kmax, 1.0, None)
+        mag = np.abs(ft.cauchy(np.interp(grid, k, chi), kmin, kmax, rmin, rmax, kweight, win, kstep=kstep))
+        return {"map": mag.ravel(), "columns": mag.shape[1]}
+
+    return rowwise(df, ["k", "chi"], run, "map array<double>, columns int")
+
+
+def morlet_map(df: DataFrame, **options) -> DataFrame:
+    """The whole Morlet map: r, magnitude row by row over R (map), and its number of k points (columns); null beyond the Nyquist limit."""
+
+    def run(k, chi):
+        out = ft.morlet(k, chi, **options)
+        return {} if out is None else {"r": out["r"], "map": out["mag"].ravel(), "columns": out["mag"].shape[1]}
+
+    return rowwise(df, ["k", "chi"], run, "r array<double>, map array<double>, columns int")
+
+
+def on_first_grid(df: DataFrame) -> DataFrame:
+    """Every curve (gid, x array, y array) on the first one's native grid inside the shared range, by cubic splines: y_grid.
+
+    The first curve (smallest gid) and the range travel with the closure; no shared range gives skipped rows.
+    """
+    from pyspark.sql import functions as F
+
+    lo, hi = df.select(F.array_min("x").alias("a"), F.array_max("x").alias("b")).agg(F.max("a"), F.min("b")).head()
+    first = df.orderBy("gid").select("gid", "x").head()
+    grid = np.zeros(0)
+    if first is not None and lo is not None and lo < hi:
+        x0 = np.asarray(first.x, float)
+        grid = x0[rd.index_of(x0, lo) : rd.index_of(x0, hi) + 1]
+    own = None if first is None else first.gid
+
+    def run(gid, x, y):
+        if not len(grid):
+            return {}
+        return {"y_grid": y[rd.index_of(x, lo) : rd.index_of(x, hi) + 1] if gid == own else sp.interp_cubic(x, y, grid)}
+
+    return rowwise(df, ["gid", "x", "y"], run, "y_grid array<double>")
+
+
 def morlet(df: DataFrame, **options) -> DataFrame:
     """Per R the largest Morlet magnitude over k; None where the range passes the Nyquist limit."""
 

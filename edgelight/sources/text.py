@@ -65,24 +65,24 @@ def column_file(text: str, skip: int | None = None) -> dict:
     return {"header": header, "labels": labels_of(header, width), "columns": [list(c) for c in zip(*rows)]}
 
 
-#: Names that give a column its role: exact ones first, then parts of names
+#: Names that give a column its role, whole ones first, then parts of names
 ROLES = {
-    "energy": (("energy", "e", "ev", "en"), ("energy",)),
-    "i0": (("i0", "io", "monitor", "ic0"), ("i0", "monitor")),
-    "it": (("it", "i1", "itrans", "trans", "ic1"), ("trans", "i1")),
-    "iflu": (("if", "iflu", "ifluor", "fluor", "ff"), ("fluo", "iflu")),
-    "iref": (("ir", "iref", "i2", "irefer", "ic2"), ("iref", "refer")),
-    "mu": (("mu", "xmu", "mutrans", "mufluor", "norm"), ("xmu", "mutrans", "mufluor")),
+    "energy": (("energy", "e", "col1"), ("energy",)),
+    "i0": (("i0", "io"), ("i0",)),
+    "it": (("it", "itrans", "i1", "trans"), ("itrans", "trans")),
+    "iflu": (("if", "iflu", "ifluor"), ("fluor", "fluo", "iff")),
+    "iref": (("iref", "i2", "iref2"), ("iref",)),
+    "mu": (("mu", "xmu", "mutrans", "norm"), ("mutrans", "xmu")),
 }
 
 
 def roles_of(labels: list[str]) -> dict[str, int | None]:
     low = [x.lower() for x in labels]
     out = {}
-    for role, (exact, parts) in ROLES.items():
-        out[role] = next((low.index(n) for n in exact if n in low), None)
-        if out[role] is None:
-            out[role] = next((i for p in parts for i, x in enumerate(low) if p in x), None)
+    for role, (whole, parts) in ROLES.items():
+        named = [i for i, x in enumerate(low) if x in whole]
+        like = [i for i, x in enumerate(low) if any(p in x for p in parts)]
+        out[role] = (named or like or [None])[0]  # the first column in file order
     return out
 
 

@@ -10,8 +10,7 @@ from edgelight.sources import datasources
 
 
 def scans(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    datasources.register(spark)
-    return spark.readStream.format("xascol").option("pathglobfilter", pattern).load(folder)
+    return datasources.scan_files(spark, folder, pattern, stream=True)
 
 
 def reduced(spark: SparkSession, folder: str, mode: str = "raw", pattern: str = "*", **columns) -> DataFrame:

@@ -85,3 +85,64 @@ def test_lattice(spark):
     ops = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], s) for s in ([0.0, 0.0, 0.0], [0.0, 0.5, 0.5], [0.5, 0.0, 0.5], [0.5, 0.5, 0.0], [1.0, 0.5, 0.5])], "rotation array<double>, shift array<double>")
     one = spark.createDataFrame([("Cu", 0.0, 0.0, 0.0)], "element string, fx double, fy double, fz double")
     assert lattice.expand(one, ops).count() == 4
+
+
+def test_roles_come_from_the_fixed_names_in_file_order():
+    assert tx.roles_of(["col1", "col2"])["energy"] == 0
+    assert tx.roles_of(["trans", "it"])["it"] == 0
+    assert tx.roles_of(["myfluo", "x_trans"])["iflu"] == 0 and tx.roles_of(["myfluo", "x_trans"])["it"] == 1
+
+
+def test_stream_reads_late_files_and_bad_files_are_rows(spark, tmp_path):
+    datasources.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run(frame, name):
+        q = frame.select("path", "status").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-log")).trigger(availableNow=True).start(str(tmp_path / name))
+        assert q.awaitTermination(40)
+        return sorted((r.path.split("/")[-1], r.status) for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    (folder / "m.dat").write_text("1 2\n3 4\n")
+    (folder / "bad.dat").write_text("nothing")
+    for name, frame in (("own", lambda: spark.readStream.format("xascol").load(str(folder))), ("files", lambda: datasources.scan_files(spark, str(folder), stream=True))):
+        (folder / "a_late.dat").unlink(missing_ok=True)
+        assert run(frame(), name) == [("bad.dat", "failed"), ("m.dat", "ok")]
+        (folder / "a_late.dat").write_text("5 6\n7 8\n")
+        assert ("a_late.dat", "ok") in run(frame(), name)
+    counts = datasources.load_counts(datasources.scan_files(spark, str(folder))).head()
+    assert (counts.loaded, counts.failed) == (2, 1)
+
+
+def test_written_names_are_unique_and_files_are_not_overwritten(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.dat", "1"), ("b/x.dat", "2")], "name string, content string")
+    with pytest.raises(ValueError, match="x.dat"):
+        writers.write_files(rows, str(tmp_path / "o"))
+    one = spark.createDataFrame([("x.dat", "1")], "name string, content string")
+    writers.write_files(one, str(tmp_path / "o"))
+    with pytest.raises(Exception, match="FileExistsError"):
+        writers.write_files(one, str(tmp_path / "o"))
+    writers.write_files(one, f"file://{tmp_path}/o", overwrite=True)
+    assert (tmp_path / "o" / "x.dat").read_text() == "1"
+    assert writers.safe_name("a/b c?.dat") == "b_c_.dat" and writers.safe_name("///") == "unnamed"
+
+
+def test_fit_outputs_have_a_model_only_if_there_is_one():
+    one = {"k": ([0.0, 0.1], [1.0, 2.0]), "r": ([0.0], [1.0], [0.0]), "q": ([0.0], [0.5], [0.5])}
+    assert [n for n, _ in writers.fit_outputs("cu", ["# h"], one)] == ["cuk.dat", "cur.dat", "cuq.dat"]
+    names = dict(writers.fit_outputs("cu", ["# h"], one, one))
+    assert len(names) == 6 and names["cuk.fit"] == names["cuk.dat"]
+
+
+def test_wavelet_maps_and_first_grid(spark):
+    k = [0.05 * i for i in range(241)]
+    chi = [math.sin(2 * 2.2 * v) * math.exp(-0.01 * v * v) for v in k]
+    df = spark.createDataFrame([(1, k, chi)], "gid long, k array<double>, chi array<double>")
+    for whole, largest in ((spectra.cauchy_map(df), spectra.cauchy(df)), (spectra.morlet_map(df), spectra.morlet(df))):
+        m, top = whole.head(), largest.head().mag
+        rows = [m["map"][i : i + m["columns"]] for i in range(0, len(m["map"]), m["columns"])]
+        assert [max(r) for r in rows] == pytest.approx(top)
+    x1, x2 = [float(i) for i in range(10)], [0.5 + 0.7 * i for i in range(12)]
+    curves = spark.createDataFrame([(1, x1, [v**2 for v in x1]), (2, x2, [v**2 for v in x2])], "gid long, x array<double>, y array<double>")
+    got = {r.gid: r.y_grid for r in spectra.on_first_grid(curves).collect()}
+    assert got[1] == [float(i * i) for i in range(9)] and got[2][1:] == pytest.approx([float(i * i) for i in range(1, 9)], abs=1e-6)
