@@ -130,16 +130,19 @@ def pca_mean(df: DataFrame) -> DataFrame:
     return df.groupBy("idx").agg(F.avg("y").alias("mean"))
 
 
-def pca_gram(df: DataFrame, other: DataFrame | None = None) -> DataFrame:
+def pca_gram(df: DataFrame, most: int = 2000) -> DataFrame:
     """Inner products of standardised curves over a common grid (population deviation): sum z_i z_j / n, i <= j.
 
-    Curves come as one array each, and the second side is a bounded set of curves, broadcast.
+    For a training set of at most `most` curves, whose number is checked: more are an error, not a sample. Curves come as
+    one array each, and the second side of the pairs is broadcast.
     """
+    if (n := df.select("gid").distinct().limit(most + 1).count()) > most:
+        raise ValueError(f"over {n - 1} curves; a training set has {most} at most")
     z = df.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("idx", "y"))).getField("y").alias("y"))
     mean = F.aggregate("y", F.lit(0.0), lambda s, v: s + v) / F.size("y")
     z = z.withColumn("m", mean).withColumn("z", F.transform("y", lambda v: v - F.col("m")))
     z = z.withColumn("s", F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v) / F.size("z"))).withColumn("z", F.transform("z", lambda v: ratio(v, F.col("s")))).select("gid", "z")
     a = z.select(F.col("gid").alias("i"), F.col("z").alias("zi"))
     b = z.select(F.col("gid").alias("j"), F.col("z").alias("zj"))
-    pairs = a.join(F.broadcast(b), F.col("i") <= F.col("j"))
+    pairs = a.join(F.broadcast(b), F.col("i") <= F.col("j"))  # `most` curves at most
     return pairs.select("i", "j", (F.aggregate(F.zip_with("zi", "zj", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v) / F.size("zi")).alias("g"))

@@ -71,6 +71,13 @@ def kk_sum(df: DataFrame, step: float) -> DataFrame:
 
 def stack(df: DataFrame, offset: float) -> DataFrame:
     """Curves above each other by rank of gid. The ranks come from the distinct ids, not from the points."""
-    ids = df.select("gid").distinct()
-    ranked = ids.withColumn("rank", F.row_number().over(Window.orderBy("gid")) - 1)
-    return df.join(F.broadcast(ranked), "gid").withColumn("ys", F.col("y") + F.col("rank") * offset)
+    return df.join(ordinal(df), "gid").withColumn("ys", F.col("y") + F.col("ordinal") * offset)
+
+
+def ordinal(df: DataFrame) -> DataFrame:
+    """(gid, ordinal) in order of gid, from 0. Distinct ids are counted in runs, then numbered inside their run."""
+    ids = df.select("gid").distinct().withColumn("run", F.floor(F.col("gid") / 4096))
+    before = ids.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.orderBy("run")) - F.col("n"))  # a row per 4096 ids
+    inside = F.row_number().over(Window.partitionBy("run").orderBy("gid")) - 1
+    return ids.withColumn("inside", inside).join(before, "run").select("gid", (F.col("inside") + F.col("before")).alias("ordinal"))

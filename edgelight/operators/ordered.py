@@ -130,7 +130,7 @@ def convolve_full(df: DataFrame, kernel: list[float]) -> DataFrame:
 
 
 def savitzky_golay(df: DataFrame, weights: list[float]) -> DataFrame:
-    """Weighted sum over a fixed odd window; the ends are reflected about the end points."""
+    """Weighted sum over a fixed odd window by position; null within half a window of the ends (views.savitzky_golay() reflects them)."""
     half, w = len(weights) // 2, by_curve()
     n = F.count(F.lit(1)).over(Window.partitionBy("gid"))
     df = df.withColumn("n", n)

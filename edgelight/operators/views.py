@@ -13,15 +13,6 @@ from edgelight.operators import grids
 from edgelight.operators import ordered as od
 
 
-def ordinal(df: DataFrame) -> DataFrame:
-    """(gid, ordinal) in order of gid, from 0. Ranks come from the distinct ids: runs of ids are counted, then numbered inside."""
-    ids = df.select("gid").distinct().withColumn("run", F.floor(F.col("gid") / 4096))
-    before = ids.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.orderBy("run")) - F.col("n"))  # a row per 4096 ids
-    inside = F.row_number().over(Window.partitionBy("run").orderBy("gid")) - 1
-    return ids.withColumn("inside", inside).join(before, "run").select("gid", (F.col("inside") + F.col("before")).alias("ordinal"))
-
-
 def run_target(df: DataFrame, checked: Column, current: Column) -> DataFrame:
     """The checked spectra, or the current one if none is checked."""
     any_checked = df.agg(F.coalesce(F.max(checked.cast("int")), F.lit(0)).alias("any_checked"))

@@ -420,11 +420,14 @@ def pca_mean(spark, sf):
     return out(ag.pca_mean(curves.vector_curves(spark, sf)), ["idx"], "mean")
 
 
-@query(f"""WITH {VECTORS}, s AS (SELECT gid, idx, (y - avg(y) OVER (PARTITION BY gid)) / stddev_pop(y) OVER (PARTITION BY gid) z FROM c WHERE gid < 60)
+@query(f"""WITH {VECTORS}, m AS (SELECT label gid, idx, avg(y) y FROM c JOIN embeddings e ON e.vec_id = c.gid GROUP BY 1, 2),
+s AS (SELECT gid, idx, (y - avg(y) OVER (PARTITION BY gid)) / stddev_pop(y) OVER (PARTITION BY gid) z FROM m)
 SELECT a.gid i, b.gid j, round(sum(a.z * b.z) / 64, 6) + 0.0 g FROM s a JOIN s b ON a.idx = b.idx AND a.gid <= b.gid GROUP BY 1, 2""")
 def pca_gram(spark, sf):
-    """The Gram matrix of a training set; PCA trains on a chosen set of spectra, here those with the first 60 ids."""
-    return out(ag.pca_gram(curves.vector_curves(spark, sf).where("gid < 60")), ["i", "j"], "g")
+    """The Gram matrix of a training set: the mean curve of each label over all rows."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.posexplode("embedding").alias("idx", "v"))
+    means = rows.groupBy(F.col("label").alias("gid"), "idx").agg(F.avg(F.col("v").cast("double")).alias("y"))
+    return out(ag.pca_gram(means), ["i", "j"], "g")
 
 
 @query(f"""WITH {VECTORS}, s AS (SELECT gid, y, cos(3 * x) a, sin(2 * x) b FROM c), m AS (SELECT gid, sum((y - b) * (a - b)) n, sum((a - b) * (a - b)) d, sum(y * y) yy, sum((y - b) * (y - b)) rr FROM s GROUP BY gid)

@@ -10,7 +10,7 @@ from edgelight import curves
 from edgelight.functions import ftwindow as fw
 from edgelight.functions import pointwise as p
 from edgelight.operators import aggregates as ag
-from edgelight.operators import lattice, views
+from edgelight.operators import grids, lattice, views
 from edgelight.plans.native_queries import EVENTS, VECTORS, W, out
 
 QUERIES: dict = {}
@@ -96,7 +96,7 @@ def half_max_rising(spark, sf):
 
 @query("WITH n AS (SELECT DISTINCT user_id gid FROM events) SELECT gid, row_number() OVER (ORDER BY gid) - 1 ordinal FROM n")
 def ordinal(spark, sf):
-    return views.ordinal(curves.event_curves(spark, sf))
+    return grids.ordinal(curves.event_curves(spark, sf))
 
 
 @query("SELECT c_custkey FROM customer WHERE CASE WHEN (SELECT bool_or(c_acctbal > 9000) FROM customer) THEN c_acctbal > 9000 ELSE c_custkey = 1 END")
