@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgelight.llm import decontaminate as dc
 from edgelight.llm import langid, line_dedup, near_dedup, wordhash
@@ -265,3 +266,33 @@ def test_kmeans_centroids_are_unit():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c, own = langid.kmeans(x, 3)
     assert np.allclose(np.linalg.norm(c, axis=1), 1) and len(own) == 40
+
+
+def test_near_duplicates_of_ids_that_repeat_or_are_null(docs):
+    r = random.Random(21)
+    a, b, c = (text(r, 60) for _ in range(3))
+    near = lambda t: t + " tail"
+    rows = [(1, a), (1, b), (2, near(b)), (3, near(a)), (4, c), (None, a), (None, c), (7, c), (7, c)]
+    got = sorted((x.doc_id or -1, x.n_shingles, x.component_id or -1, x.kept) for x in near_dedup.near_duplicates(docs(rows), k=3, num=85, den=100).collect())
+    n = lambda t: len({tuple(words_space(t)[i : i + 3]) for i in range(len(words_space(t)) - 2)})
+    comp = {1: 1, 2: 1, 3: 1, 4: 4, 7: 4, None: None}
+    assert got == sorted((i or -1, n(t), comp[i] or -1, i == comp[i]) for i, t in rows)
+
+
+def test_long_words_with_equal_polynomials_differ():
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    one, two = bytes(97 + b for b in bits), bytes(98 - b for b in bits)
+    _, _, h = wordhash.words(one + b" " + two + b" " + one, wordhash.NON_SPACE)
+    assert h[0] == h[2] != h[1]
+
+
+def test_held_out_accuracy(spark):
+    """Over the labelled documents that the model has not seen."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    try:
+        df = spark.read.parquet(path).select("doc_id", "text", "lang")
+    except Exception:  # the tables are absent
+        pytest.skip("test tables are absent")
+    rows = langid.identify(df).where(langid.held_out() & F.col("lang").isNotNull()).collect()
+    known = [x for x in rows if x.lang_pred != "und"]
+    assert len(known) > 100 and np.mean([x.lang_pred == x.lang for x in known]) >= 0.98
