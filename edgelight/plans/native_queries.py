@@ -359,22 +359,22 @@ WINDOW_GRID = [i * 0.05 for i in range(241)]
 
 
 def _window_sql(kind: str) -> str:
-    c = fw.corners(WINDOW_GRID, kind, 2.0, 10.0, 1.0 if kind != "fha" else 0.3)
-    flat = f"CASE WHEN i >= {c.i2} AND i < {c.i3} THEN 1.0 ELSE 0.0 END"
-    up, down = f"((x - {c.x1!r}) / {c.x2 - c.x1!r})", f"((x - {c.x3!r}) / {c.x4 - c.x3!r})"
+    c = fw.shape(WINDOW_GRID, kind, 2.0, 10.0, 1.0 if kind != "fha" else 0.3)
+    flat = f"CASE WHEN i >= {c.up.last} AND i < {c.down.first} THEN 1.0 ELSE 0.0 END"
+    up, down = f"((x - {c.up.lo!r}) / {c.up.hi - c.up.lo!r})", f"((x - {c.down.lo!r}) / {c.down.hi - c.down.lo!r})"
     if kind == "gaussian":
-        w = f"exp(-power(x - {(c.x4 + c.x1) / 2!r}, 2) / {2 * c.width * c.width!r})"
+        w = f"exp(-power(x - {c.middle!r}, 2) / {2 * c.width * c.width!r})"
     elif kind == "sine":
-        w = f"CASE WHEN i BETWEEN {c.i1} AND {c.i4} THEN sin(pi() * ({c.x4!r} - x) / {c.x4 - c.x1!r}) ELSE {flat} END"
+        w = f"CASE WHEN i BETWEEN {c.up.first} AND {c.down.last} THEN sin(pi() * ({c.down.hi!r} - x) / {c.down.hi - c.up.lo!r}) ELSE {flat} END"
     else:
-        rise, fall = {"parzen": (up, f"1 - {down}"), "welch": (f"1 - power((x - {c.x2!r}) / {c.x2 - c.x1!r}, 2)", f"1 - power({down}, 2)")}.get(kind, (f"power(sin(pi() / 2 * {up}), 2)", f"power(cos(pi() / 2 * {down}), 2)"))
-        w = f"CASE WHEN i BETWEEN {c.i3} AND {c.i4} THEN {fall} WHEN i BETWEEN {c.i1} AND {c.i2} THEN {rise} ELSE {flat} END"
+        rise, fall = {"parzen": (up, f"1 - {down}"), "welch": (f"1 - power((x - {c.up.hi!r}) / {c.up.hi - c.up.lo!r}, 2)", f"1 - power({down}, 2)")}.get(kind, (f"power(sin(pi() / 2 * {up}), 2)", f"power(cos(pi() / 2 * {down}), 2)"))
+        w = f"CASE WHEN i BETWEEN {c.down.first} AND {c.down.last} THEN {fall} WHEN i BETWEEN {c.up.first} AND {c.up.last} THEN {rise} ELSE {flat} END"
     return f"SELECT i idx, round({w}, 6) + 0.0 w FROM (SELECT i, i * 0.05::DOUBLE x FROM generate_series(0, 240) t(i))"
 
 
 def _register_window(kind: str) -> None:
     def run(spark, sf):
-        c = fw.corners(WINDOW_GRID, kind, 2.0, 10.0, 1.0 if kind != "fha" else 0.3)
+        c = fw.shape(WINDOW_GRID, kind, 2.0, 10.0, 1.0 if kind != "fha" else 0.3)
         df = spark.range(241, numPartitions=1).select(F.col("id").alias("idx"), (F.col("id") * F.lit(0.05)).alias("x"))
         return df.select("idx", r6(fw.weight(F.col("idx"), F.col("x"), kind, c)).alias("w"))
 

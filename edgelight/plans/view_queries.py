@@ -216,10 +216,10 @@ def _bessel(x: str) -> str:
 
 def _window(kind: str):
     grid = [i * 0.05 for i in range(241)]
-    c = fw.corners(grid, kind, 3.0, 10.0, 2.0)
-    u = f"2 * (x - {(c.x4 + c.x1) / 2!r}::DOUBLE) / {c.x4 - c.x1!r}::DOUBLE"
+    c = fw.shape(grid, kind, 3.0, 10.0, 2.0)
+    u = f"2 * (x - {c.middle!r}::DOUBLE) / {c.down.hi - c.up.lo!r}::DOUBLE"
     bell, top = _bessel(f"{c.width!r} * sqrt(greatest(0, 1 - ({u}) * ({u})))"), fw._i0(c.width)
-    value = f"({bell} - 1) / {top - 1!r}::DOUBLE" if kind == "kaiser" else f"CASE WHEN x <= {c.x1!r} OR x >= {c.x4!r} THEN 0 ELSE {bell} / {top!r}::DOUBLE END"
+    value = f"({bell} - 1) / {top - 1!r}::DOUBLE" if kind == "kaiser" else f"CASE WHEN x <= {c.up.lo!r} OR x >= {c.down.hi!r} THEN 0 ELSE {bell} / {top!r}::DOUBLE END"
     sql = f"SELECT i idx, round({value}, 6) + 0.0 w FROM (SELECT i, i * 0.05::DOUBLE x FROM generate_series(0, 240) t(i))"
 
     def run(spark, sf):
