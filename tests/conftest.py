@@ -1,3 +1,9 @@
+import os
+
+# one thread each: small matrices gain nothing from more, and threads do not mix well with forks
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
