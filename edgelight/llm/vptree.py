@@ -9,7 +9,7 @@ present radius. Factor 1 is exact search; a smaller factor skips more. Leaves ar
 Queries are written to the shared folder as files of bounded size; the task of a shard reads them one by one, so neither
 the driver nor a worker holds them all. Every shard returns its best k per query and the bests are merged. The trees are built once and kept in the shared folder. Scores are products of the original
 vectors in double precision. Defined results: vectors that are null, zero, or hold null or non-finite components take no
-part; vectors meet only others of their length; rows with a query's own id are not its candidates; equal scores go by
+part, and neither do vectors longer than 1e150; vectors meet only others of their length; rows with a query's own id are not its candidates; equal scores go by
 smaller id; fewer candidates than k give fewer rows; repeated rows are repeated candidates, but one query.
 """
 
@@ -31,6 +31,7 @@ SHARD_ROWS = 16384
 #: Vectors of a shard take about so many bytes at most
 SHARD_BYTES = 64 << 20
 QUERY_BLOCK = 4096
+LONGEST = 1e150
 LEAF = 256
 FACTOR = 1.0
 
@@ -39,7 +40,9 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.where(fine & F.exists("v", lambda x: x != 0))
+    # beyond this, sums of squares could overflow
+    fits = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) < LONGEST**2
+    return rows.where(fine & F.exists("v", lambda x: x != 0) & fits)
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, limit: float, leaf: int) -> dict:

@@ -82,8 +82,8 @@ def test_nearest_is_exact_at_factor_one_and_good_below(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(900, 8)).astype(np.float32)
     v[100:160] = v[100]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(900)] + [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [1.0, 2.0]), (2001, [3.0, 1.0]), (2080, [None] * 8), (2100, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, [float(x) for x in v[i]]) for i in range(900)] + [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [1.0, 2.0]), (2001, [3.0, 1.0]), (2080, [None] * 8), (2100, []), (2120, [1e160] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     fine = vptree.usable(df, "vec_id", "embedding")
     trees = vptree.index(fine, shard_rows=300, leaf=20)
     queries = fine.where(F.col("id") % 20 == 0)
