@@ -7,7 +7,7 @@ window's rarest one. A document position with that shingle is a candidate; the s
 length bound where the window must lie inside the document, and the words there are compared byte for byte.
 
 The benchmark is read in blocks of at most `block_windows` windows, each broadcast in packed form; a worker unpacks one
-block at a time, and all of a batch's texts meet it before the next; documents are never shuffled. Defined results: null text has no words; a null
+block at a time, and HELD bytes of text meet it before the next; documents are never shuffled. Defined results: null text has no words; a null
 item_id marks words but is not listed; rows that repeat an item_id are one item; repeated documents are judged row by row.
 """
 
@@ -28,6 +28,8 @@ from edgelight.llm import wordhash as wh
 WINDOW = 10
 SHINGLE = 3
 BLOCK_WINDOWS = 1 << 17
+#: Bytes of text that meet a block at once where there are several
+HELD = 4 << 20
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, hit_words array<struct<first:long,last:long>>"
 
 
@@ -192,19 +194,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         at = plain.index(text_col)
         only = prepare(pickle.loads(indexes[0].value)) if len(indexes) == 1 else None
         for batch in batches:
-            out, groups = [], []
-            for _, texts in wh.groups(batch.column(at)):
+            out = []
+            # several blocks: more texts at once, so that each is unpacked less often
+            for texts in (texts for _, texts in wh.groups(batch.column(at), wh.SEGMENT if only or not indexes else HELD)):
                 joined, starts, ends, h, first = wh.words_of(texts, wh.ALNUM)
-                groups.append((joined, starts, ends, h, first, np.repeat(np.arange(len(texts)), np.diff(first)), np.zeros(len(h) + 1, np.int64), defaultdict(set)))
-            for shared in indexes:
-                index = only or prepare(pickle.loads(shared.value))
-                for *words, doc_of, edge, listed in groups:
-                    s, n, w = matches(index, *words, doc_of)
+                doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
+                edge, listed = np.zeros(len(h) + 1, np.int64), defaultdict(set)
+                for shared in indexes:
+                    index = only or prepare(pickle.loads(shared.value))
+                    s, n, w = matches(index, joined, starts, ends, h, first, doc_of)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + n, -1)
                     for i, j in zip(s.tolist(), w.tolist()):
                         listed[int(doc_of[i])] |= index.items[j]
-            for _, _, _, _, first, _, edge, listed in groups:
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.concatenate(([0], np.cumsum(hit)))
                 for d in range(len(first) - 1):

@@ -111,14 +111,15 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches):
         a, b = permutations(ALL)
         for batch in batches:
-            n, digest, part, sig = [], [], [], []
-            for _, texts in wh.groups(batch.column(1)):
+            for first, texts in wh.groups(batch.column(1)):
+                n, digest, part, sig = [], [], [], []
                 for s in sets_of(texts, k):
                     n.append(len(s))
                     digest.append(digest_of(s) if len(s) else None)
                     part.append(part_of(digest[-1]))
                     sig.append(stored(signature(s, a, b)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "digest", "part", "sig"])
+                ids = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "digest", "part", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, part long, sig binary")
 
@@ -166,9 +167,11 @@ class Sets:
 
         def run(batches):
             for batch in batches:
-                found = [s for _, texts in wh.groups(batch.column(1)) for s in sets_of(texts, k)]
-                parts = [part_of(digest_of(s)) if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "part", "members"])
+                for first, texts in wh.groups(batch.column(1)):
+                    found = sets_of(texts, k)
+                    parts = [part_of(digest_of(s)) if len(s) else None for s in found]
+                    ids = batch.column(0).slice(first, len(texts))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(parts, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "part", "members"])
 
         own = self.docs.join(small_side(ids, ids.count(), BROADCAST_IDS), "id", "left_semi").select("id", "text")
         new = own.mapInArrow(run, "id long, part long, members binary").where("part is not null")
