@@ -52,7 +52,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # a folder in edgelight.token.cache keeps counts between runs
     cache = spark.conf.get("edgelight.token.cache", None)
-    counts = count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), cache=cache)
+    counts = count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, cache=cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 

@@ -27,7 +27,7 @@ def test_token_counts_are_the_librarys(spark, docs, tmp_path):
     df = docs(list(enumerate(texts)))
     cache = "file://" + str(tmp_path / "cache")
     for _ in range(2):  # the second run finds all in the cache
-        got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, path, cache=cache).collect()}
+        got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, path, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, cache=cache).collect()}
         assert got == {i: (len((t or "").encode()), len(own.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
     assert spark.read.parquet(cache).count() == len({t or "" for t in texts})
     other = spark.read.parquet(cache).selectExpr("content", "'another' tokenizer", "n_tokens + 1 n_tokens")
@@ -36,6 +36,31 @@ def test_token_counts_are_the_librarys(spark, docs, tmp_path):
     assert token_counts.count_tokens(df.limit(0), path).count() == 0
 
 
+def test_fast_and_slow_encoders_agree():
+    """On random strings of every stable character, of words, numbers, signs and white space, and on whole documents."""
+    r = random.Random(0)
+    fast = token_counts.encoder(tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    slow = token_counts.encoder(tokenizers.path("byte_bpe_50k.json"), None, None)
+    plain = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
+    parts = ["the", "The", " token", "'s", "'LL", "don't", "\n", "\r\n", "\t", "   ", "  \n ", "\x85", "\xa0", "42", "3.14", "<|endoftext|>", "<|endof", "é", "ß", "ǅ", "“", "–", "...", "==", "#!", "_", "\x00", "\x1c", "²", "½", "ª"]
+    for _ in range(1500):
+        t = "".join(r.choice(plain) for _ in range(r.randrange(60)))
+        assert fast(t) == slow(t), repr(t)
+        t = "".join(r.choice(parts) for _ in range(r.randrange(40)))
+        assert fast(t) == slow(t), repr(t)
+    for n in (998, 999, 1000, 1001, 5000):
+        for run in (" ", "\n", "\n ", "a", "é", "#", "7", "a ", "\xa0"):
+            t = "x" + run * n + "y"
+            assert fast(t) == slow(t), (n, run)
+    try:
+        import pyarrow.parquet as pq
+
+        texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    except OSError:
+        pytest.skip("test tables are absent")
+    assert all(fast(t) == slow(t) for t in texts if t)
+
+
 def test_url_rules(spark):
     urls = ["https://www.example.com/en/x", "http://m.example.com/en/y?q#f", "http://EXAMPLE.com/fr", "http://a.net/es/1", "http://net/fr/", "http://a.org/en", None, "nothing", "x://", "http://b.org?x://y/", "http://notexample.com/en/", "ftp://com#/en/"]
     urls += [f"http://{'casino' if i % 2 else 'news'}.site{i % 7}.org/p/{i}" for i in range(80)]
