@@ -104,4 +104,24 @@ t AS (SELECT x.*, greatest(least(rest - before, words), 0) part,
 SELECT doc_id, size, source_size, target, (whole * size + greatest(least(part - seen, size), 0))::BIGINT taken FROM t
 """
 
-SQL = {"op2_line_dedup": OP2, "op4_nearest": OP4, "op5_warc": OP5, "op7_mix": OP7, "op8_decontaminate": OP8, "op9_near_duplicates": OP9}
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
+g AS (SELECT t, min(doc_id) low FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) good, bool_or(coalesce(toxic = 1, false)) toxic FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, part, t, low, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w FROM d JOIN g USING (t)),
+f AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > low THEN 'E' ELSE '' END fails,
+             coalesce(good, false) good, coalesce(toxic, false) toxic FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) n, count(*) FILTER (good) good, count(*) FILTER (toxic) toxic FROM f GROUP BY ALL),
+p AS (SELECT '' o UNION ALL SELECT o || x FROM p, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE strpos(o, x) = 0),
+s AS (SELECT o, i step, o[i] x, o[1:i - 1] before FROM p, generate_series(1, 5) g(i) WHERE length(o) = 5),
+m AS (SELECT s.*, c.*, strpos(fails, x) > 0 own, translate(before, fails, '') = before reached FROM s, c),
+r AS (SELECT part, o filter_order, step::INT step, any_value(x) x, coalesce(sum(n) FILTER (NOT own AND reached), 0)::BIGINT kept,
+             coalesce(sum(n) FILTER (own AND reached), 0)::BIGINT removed, coalesce(sum(n) FILTER (own AND NOT reached), 0)::BIGINT redundant,
+             coalesce(sum(n) FILTER (fails = x), 0)::BIGINT unique_fails, coalesce(sum(good) FILTER (own AND reached), 0)::BIGINT good_lost,
+             coalesce(sum(toxic) FILTER (own AND reached), 0)::BIGINT toxic_lost FROM m GROUP BY ALL)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT shapley FROM r
+"""
+
+SQL = {"op2_line_dedup": OP2, "op4_nearest": OP4, "op5_warc": OP5, "op7_mix": OP7, "op8_decontaminate": OP8, "op9_near_duplicates": OP9, "op11_filter_audit": OP11}

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelight.llm import oracles
-from edgelight.llm import pii, url_rules, warc
+from edgelight.llm import pii, simhash, url_rules, warc
+from edgelight.llm.alignment import align
 from edgelight.llm.common import materialize, scratch_path, table
 from edgelight.llm.decontaminate import decontaminate
+from edgelight.llm.filter_audit import audit
 from edgelight.llm.langid import held_out, identify
 from edgelight.llm.line_dedup import dedup_lines
 from edgelight.llm.mixing import mix
@@ -78,12 +80,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def n_of(kind: str):
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def queries() -> dict:
     own = (op1_language_id, op2_line_dedup, op3_url_rules, op4_nearest, op5_warc, op6_token_counts, op7_mix, op8_decontaminate, op9_near_duplicates, op10_pii)
+    own += (op11_filter_audit, op12_token_alignment, op13_simhash)
     return {f.__name__: f for f in own}
 
 
