@@ -35,7 +35,9 @@ from edgelight.llm.common import materialize
 
 STRIPE_IDS = 128
 #: Text bytes of a block; a longer text is a block of its own
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Units a library encodes at once: what it returns takes far more memory than ids
+AT_ONCE = 4096
 #: Packed links of a part of a stripe
 PART_BYTES = 32 << 20
 
@@ -73,22 +75,32 @@ class Pair:
         self.names = [[x + end for x in names[0]] for end in (",", "|", ";")]
 
 
+def encoded(encode, texts: list[str], front: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, how many each has)."""
+    ids, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(texts), AT_ONCE):
+        own = texts[i : i + AT_ONCE]
+        lists = encode([front + t for t in own] if front else own)
+        n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(n[-1].sum())))
+    return np.concatenate(ids), np.concatenate(n)
+
+
 class Aligned:
     """Units of a block, aligned in one pass: token numbers, groups, links and group texts by unit."""
 
     def __init__(self, pair: Pair, found: list[str]):
         self.units = found
-        lists_a, lists_b = pair.encode_a([" " + u for u in found]), pair.encode_b(found)
+        (a, self.n_a), (b, self.n_b) = encoded(pair.encode_a, found, " "), encoded(pair.encode_b, found)
         raw = [b" " + u.encode() for u in found]
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (lists_a, lists_b))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (lists_a, lists_b))
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.fits = np.ones(len(found), bool)
-        for ids, n, sizes, of, lists in ((a, self.n_a, pair.size_a, pair.bytes_a, lists_a), (b, self.n_b, pair.size_b, pair.bytes_b, lists_b)):
-            own = np.add.reduceat(np.append(sizes[ids], 0), np.cumsum(n) - n) if len(n) else n
-            own = np.where(n > 0, own, 0)
-            if (own != size).any() or b"".join(map(of.__getitem__, ids.tolist())) != b"".join(raw):
-                self.fits &= [b"".join(map(of.__getitem__, x)) == r for x, r in zip(lists, raw)]
+        for ids, n, sizes, of in ((a, self.n_a, pair.size_a, pair.bytes_a), (b, self.n_b, pair.size_b, pair.bytes_b)):
+            at = np.cumsum(n) - n
+            own = np.where(n > 0, np.add.reduceat(np.append(sizes[ids], 0), at) if len(n) else n, 0)
+            joined = list(map(of.__getitem__, ids.tolist()))
+            if (own != size).any() or b"".join(joined) != b"".join(raw):
+                self.fits &= [b"".join(joined[x : x + y]) == r for x, y, r in zip(at.tolist(), n.tolist(), raw)]
         # what does not fit takes no part in the common stream of bytes
         self.a, self.unit_a = a[np.repeat(self.fits, self.n_a)], np.repeat(np.arange(len(found)), self.n_a * self.fits)
         self.b, unit_b = b[np.repeat(self.fits, self.n_b)], np.repeat(np.arange(len(found)), self.n_b * self.fits)
