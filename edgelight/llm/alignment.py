@@ -20,7 +20,6 @@ empty string; rows that share an id are documents of their own; ids may be null;
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,6 @@ from edgelight.llm.common import materialize
 STRIPE_IDS = 128
 #: Text bytes of a block; a longer text is a block of its own
 BLOCK_BYTES = 8 << 20
-#: Units a library encodes at once: what it returns takes far more memory than ids
-AT_ONCE = 4096
 #: Packed links of a part of a stripe
 PART_BYTES = 32 << 20
 
@@ -75,23 +72,12 @@ class Pair:
         self.names = [[x + end for x in names[0]] for end in (",", "|", ";")]
 
 
-def encoded(encode, texts: list[str], front: str = "") -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts one after another, how many each has)."""
-    ids, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(texts), AT_ONCE):
-        own = texts[i : i + AT_ONCE]
-        lists = encode([front + t for t in own] if front else own)
-        n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-        ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(n[-1].sum())))
-    return np.concatenate(ids), np.concatenate(n)
-
-
 class Aligned:
     """Units of a block, aligned in one pass: token numbers, groups, links and group texts by unit."""
 
     def __init__(self, pair: Pair, found: list[str]):
         self.units = found
-        (a, self.n_a), (b, self.n_b) = encoded(pair.encode_a, found, " "), encoded(pair.encode_b, found)
+        (a, self.n_a), (b, self.n_b) = encoders.encoded(pair.encode_a, found, " "), encoders.encoded(pair.encode_b, found)
         raw = [b" " + u.encode() for u in found]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.fits = np.ones(len(found), bool)
@@ -133,12 +119,7 @@ class Aligned:
 def block_rows(pair: Pair, number: int, ids: list, texts: list[str | None], stripes: int):
     """Rows of PACKED for one block of documents."""
 
-    class Numbers(dict):
-        def __missing__(self, key):
-            self[key] = n = len(self)
-            return n
-
-    numbers = Numbers()
+    numbers = encoders.Numbers()
     own = [np.fromiter(map(numbers.__getitem__, encoders.units(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
     known = Aligned(pair, list(numbers))
     if not known.fits.all():

@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else a local one (local mode, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of this process (local mode, tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="edgelight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = own_folder()
     return folder.rstrip("/")
 
 
+@cache
+def own_folder() -> str:
+    """One local folder of this process."""
+    return "file://" + tempfile.mkdtemp(prefix="edgelight-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, remembered until release_scratch()."""
     path = f"{shared_dir(spark)}/edgelight-scratch/{label}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ piece or in pieces of white space alone, and whose only look ahead is for white
 space, and no piece before or after depends on what is beyond. The piece model merges neighbours only to pieces of its
 vocabulary, and none of these has a space after another character (piece_bpe() checks this and refuses others); it adds
 one space in front of what it encodes, which is the very space a unit starts with. Characters that any version of Unicode counts as white space, and invisible ones next to them, are no places to cut, nor is the
-sign that the piece model writes for a space, nor are spaces at a text's end.
+sign that the piece model writes for a space, nor are spaces at a text's end. A special string without spaces lies in one unit, with the white space before it.
 """
 
 from __future__ import annotations
@@ -16,9 +16,14 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
+from itertools import chain
+
+import numpy as np
 
 #: White space of every Unicode version, zero-width characters, and the sign for a space in piece models
 NEVER = r"\s\u180e\u200b-\u200d\u2060\ufeff\u2581"
+#: Units a library encodes at once: what it returns takes far more memory than ids
+AT_ONCE = 4096
 ODD = re.compile(rf"[{NEVER}] | \Z")
 CUT = re.compile(rf"(?<=[^{NEVER}]) (?= *[^ ])")
 
@@ -28,16 +33,35 @@ def units(text: str) -> list[str]:
     return CUT.split(text) if text[:1] == " " or ODD.search(text) else text.split(" ")
 
 
+class Numbers(dict):
+    """Numbers keys in the order they are asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def encoded(encode, texts: list[str], front: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, how many each has)."""
+    ids, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(texts), AT_ONCE):
+        own = texts[i : i + AT_ONCE]
+        lists = encode([front + t for t in own] if front else own)
+        n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(n[-1].sum())))
+    return np.concatenate(ids), np.concatenate(n)
+
+
 @cache
-def byte_bpe(path: str):
-    """A function from texts to lists of ids, without special tokens; their strings are plain text."""
+def byte_bpe(path: str, plain: bool = True):
+    """A function from texts to lists of ids, without special tokens around them; special strings inside are plain text, or their tokens if not plain."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.no_padding()
     own.no_truncation()
-    own.encode_special_tokens = True
+    own.encode_special_tokens = plain
     return lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
 

@@ -4,11 +4,8 @@ A text's key is the SHA-256 of its normalised content (null becomes empty, text
 the tokenizer file. Keys are joined to the stored counts; of the keys that miss, one text each is encoded, and the new
 counts are appended to the cache as Parquet. So copies cost one encoding and a second run encodes nothing.
 
-Counts are those of the `tokenizers` library for the given .json file. The rank file of the same vocabulary encodes
-about seven times as fast, so texts made only of characters whose letter, number and space classes have not changed
-between Unicode versions (Basic Latin to Latin Extended-B, General Punctuation quotes and dashes) go that way, where
-both give the same tokens; all other texts, and those with a run of LONG_SPACE white space characters, over which the
-second encoder's matcher backtracks, go through the library itself. Without a rank file all texts do.
+Counts are those of the `tokenizers` library for the given .json file, for all texts. A batch's texts are cut into units
+over which no token reaches (encoders.py says why that is exact), and each distinct unit is encoded once.
 
 Defined results: null and empty text count 0; special strings inside texts are special tokens, as is the library's
 default; repeated rows share one encoding; extra columns are kept out of the way.
@@ -16,63 +13,40 @@ default; repeated rows share one encoding; extra columns are kept out of the way
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import os
-import re
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgelight.llm import encoders
+from edgelight.llm import wordhash as wh
 from edgelight.llm.common import materialize, scratch_path
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
-#: Characters whose classes are stable: up to U+024F, and U+2010 to U+2027
-PLAIN = re.compile("[\x00-ɏ‐-‧]*")
-
-LONG_SPACE = re.compile(r"\s{1000}")
-
-_encoders: dict = {}
+#: Texts are cut and encoded in pieces of about so many bytes
+PIECE_BYTES = 8 << 20
 
 
 def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
-def encoder(path: str, rank_path: str | None, pattern: str | None):
-    """A function from text to its number of tokens; loaded once in each worker."""
-    if (path, rank_path) in _encoders:
-        return _encoders[path, rank_path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.no_padding()
-    own.no_truncation()
-
-    def slow(text: str) -> int:
-        return len(own.encode(text, add_special_tokens=False).ids)
-
-    count = slow
-    if rank_path:
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(rank_path).read_bytes().splitlines())}
-        special = {t.content: i for i, t in own.get_added_tokens_decoder().items()}
-        fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-
-        def count(text: str) -> int:
-            if PLAIN.fullmatch(text) and not LONG_SPACE.search(text):
-                return len(fast.encode(text, allowed_special="all"))
-            return slow(text)
-
-    _encoders[path, rank_path] = count
-    return count
+def counts_of(path: str, texts: list[str]) -> np.ndarray:
+    """The number of tokens of each text."""
+    numbers, encode = encoders.Numbers(), encoders.byte_bpe(path, plain=False)
+    # a first unit has no space in front of it
+    own = [[first, *(" " + u for u in rest)] for first, *rest in (encoders.units(t) or [""] for t in texts)]
+    places = np.fromiter(map(numbers.__getitem__, chain.from_iterable(own)), np.int64)
+    n = np.append(encoders.encoded(encode, list(numbers))[1][places], 0)
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    return np.add.reduceat(n, np.cumsum(size) - size)
 
 
-def cached_counts(docs: DataFrame, path: str, rank_path: str | None = None, pattern: str | None = None, text_col: str = "text", cache: str | None = None) -> tuple[DataFrame, DataFrame]:
+def cached_counts(docs: DataFrame, path: str, text_col: str = "text", cache: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(content keys of docs joined with what is needed, counts): docs with `content` and `n_bytes`, and (content, n_tokens).
 
     cache: a folder of Parquet files that grows by the misses of each call; by default a new one in the shared folder.
@@ -92,10 +66,10 @@ def cached_counts(docs: DataFrame, path: str, rank_path: str | None = None, patt
     misses = misses.groupBy("content").agg(F.first("text").alias("text"))
 
     def run(batches):
-        count = encoder(path, rank_path, pattern)
         for batch in batches:
-            n = [count(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
+            for first, texts in wh.groups(batch.column(1), PIECE_BYTES):
+                n = counts_of(path, [t.decode() for t in texts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
@@ -103,7 +77,7 @@ def cached_counts(docs: DataFrame, path: str, rank_path: str | None = None, patt
     return keyed, materialize(counts.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
 
 
-def count_tokens(docs: DataFrame, path: str, rank_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache: str | None = None) -> DataFrame:
     """One row per document: id_col, n_bytes, n_tokens."""
-    keyed, counts = cached_counts(docs.select(id_col, text_col), path, rank_path, pattern, text_col, cache)
+    keyed, counts = cached_counts(docs.select(id_col, text_col), path, text_col, cache)
     return keyed.select(id_col, "content", "n_bytes").join(counts, "content").select(id_col, "n_bytes", "n_tokens")

@@ -8,9 +8,11 @@ present radius. Factor 1 is exact search; a smaller factor skips more. Leaves ar
 
 Queries are written to the shared folder as files of bounded size; the task of a shard reads them one by one, so neither
 the driver nor a worker holds them all. Every shard returns its best k per query and the bests are merged. The trees are built once and kept in the shared folder. Scores are products of the original
-vectors in double precision. Defined results: vectors that are null, zero, or hold null or non-finite components take no
-part, and neither do vectors longer than 1e150; vectors meet only others of their length; rows with a query's own id are not its candidates; equal scores go by
-smaller id; fewer candidates than k give fewer rows; repeated rows are repeated candidates, but one query.
+vectors in double precision. Trees and radii are made of vectors divided by a power of two, so that no square overflows; where a product's
+sum overflows on the way, it is taken from the divided vectors. Defined results: vectors that are null, zero, or hold null
+or non-finite components take no part, and all others do; vectors meet only others of their length; rows with a query's own id are not its candidates; equal scores go by
+smaller id; products beyond the largest double are infinite and equal; fewer candidates than k give fewer rows; repeated
+rows are repeated candidates, but one query: of rows that share an id, the one with the least vector asks.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgelight.llm.common import materialize, scratch_path
@@ -31,8 +33,8 @@ SHARD_ROWS = 16384
 #: Vectors of a shard take about so many bytes at most
 SHARD_BYTES = 64 << 20
 QUERY_BLOCK = 4096
-LONGEST = 1e150
 LEAF = 256
+LARGEST = np.finfo(np.float64).max
 FACTOR = 1.0
 
 
@@ -40,15 +42,21 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    # beyond this, sums of squares could overflow
-    fits = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) < LONGEST**2
-    return rows.where(fine & F.exists("v", lambda x: x != 0) & fits)
+    return rows.where(fine & F.exists("v", lambda x: x != 0))
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, limit: float, leaf: int) -> dict:
-    """The tree over one shard: rows in leaf order, nodes as nested tuples."""
-    more = np.sqrt(np.maximum(limit * limit - (vectors * vectors).sum(axis=1), 0))
-    points = np.hstack([vectors, more[:, None]])
+def log_norm() -> Column:
+    """Binary logarithm of the norm of v, without squares of anything above one."""
+    top = F.array_max(F.transform("v", F.abs))
+    return F.log2(top) + F.log2(F.aggregate(F.transform("v", lambda x: x / top), F.lit(0.0), lambda s, x: s + x * x)) / 2
+
+
+def build(ids: np.ndarray, vectors: np.ndarray, log_limit: float, leaf: int) -> dict:
+    """The tree over one shard: rows in leaf order, nodes as nested tuples. log_limit: binary logarithm of the largest norm."""
+    power = int(np.ceil(log_limit))
+    limit, small = 2.0 ** (log_limit - power) * (1 + 1e-9), np.ldexp(vectors, -power)
+    more = np.sqrt(np.maximum(limit * limit - (small * small).sum(axis=1), 0))
+    points = np.hstack([small, more[:, None]])
     order = np.argsort(ids, kind="stable")
     out = []
 
@@ -66,7 +74,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, limit: float, leaf: int) -> dict
         return (points[vantage], bounds, node(rows[near]), node(rows[far]))
 
     root = node(order)
-    return {"ids": ids, "vectors": vectors, "leaves": out, "root": root, "limit": limit}
+    return {"ids": ids, "vectors": vectors, "leaves": out, "root": root, "limit": limit, "power": power}
 
 
 class Search:
@@ -74,8 +82,10 @@ class Search:
 
     def __init__(self, tree: dict, ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
         self.t, self.qid, self.q, self.k, self.factor = tree, ids, queries, k, factor
-        self.points = np.hstack([queries, np.zeros((len(queries), 1))])
-        self.base = (queries * queries).sum(axis=1) + tree["limit"] ** 2
+        self.power = np.frexp(np.abs(queries).max(axis=1))[1]
+        small = np.ldexp(queries, -self.power[:, None])
+        self.points = np.hstack([small, np.zeros((len(queries), 1))])
+        self.base = (small * small).sum(axis=1) + tree["limit"] ** 2
         self.score = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.at = np.zeros((len(queries), k), np.int64)
@@ -83,14 +93,24 @@ class Search:
 
     def radius(self, rows: np.ndarray) -> np.ndarray:
         worst = self.score[rows, -1]
-        return np.where(np.isinf(worst), np.inf, np.sqrt(np.maximum(self.base[rows] - 2 * worst, 0)))
+        small = np.ldexp(np.where(np.isinf(worst), 0, worst), -(self.power[rows] + self.t["power"]))
+        return np.where(worst <= -LARGEST, np.inf, np.sqrt(np.maximum(self.base[rows] - 2 * small, 0)))
+
+    def finite(self, s: np.ndarray, q: np.ndarray, v: np.ndarray, pairs: bool = False) -> np.ndarray:
+        """Products s of queries (indexes) q and vectors v; where their sums overflowed, from divided vectors."""
+        if not np.isfinite(s).all():
+            left, right = self.points[q, :-1], np.ldexp(self.t["vectors"][v], -self.t["power"])
+            power = self.power[q] + self.t["power"]
+            small = (left * right).sum(axis=1) if pairs else left @ right.T
+            s = np.where(np.isfinite(s), s, np.ldexp(small, power if pairs else power[:, None]))
+        return s
 
     def leaf(self, at: int, rows: np.ndarray) -> None:
         own = self.t["leaves"][at]
         ids = self.t["ids"][own]
         for i in range(0, len(rows), 1024):
             r = rows[i : i + 1024]
-            s = self.q[r] @ self.t["vectors"][own].T
+            s = self.finite(self.q[r] @ self.t["vectors"][own].T, r, own).clip(-LARGEST, LARGEST)
             self.compared += s.size
             s[self.qid[r][:, None] == ids[None, :]] = -np.inf
             better = np.flatnonzero((s >= self.score[r, -1][:, None]).any(axis=1))
@@ -121,6 +141,7 @@ class Search:
                 if len(r):
                     self.visit(child, r)
 
+    @np.errstate(over="ignore", invalid="ignore", under="ignore")
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.visit(self.t["root"], np.arange(len(self.q)))
         row, col = np.nonzero(~np.isinf(self.score))
@@ -128,12 +149,12 @@ class Search:
         exact = np.zeros(len(row))
         for j in range(left.shape[1]):  # summed in the order of the components, as SQL does
             exact += left[:, j] * right[:, j]
-        return self.qid[row], self.found[row, col], exact
+        return self.qid[row], self.found[row, col], self.finite(exact, row, self.at[row, col], pairs=True)
 
 
 def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
     """(dim, shard, tree) for usable rows (id, v), in the shared folder."""
-    facts = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("limit"))
+    facts = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(log_norm()).alias("limit"))
     facts = materialize(facts, "vector-facts")
     most = F.greatest(F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (F.col("dim") * 8 + 8))), F.lit(1))
     shards = facts.agg(F.sum(F.ceil(F.col("n") / most))).head()[0] or 1
@@ -148,7 +169,7 @@ def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> Da
         import pandas as pd
 
         vectors = np.array(pdf["v"].tolist(), np.float64)
-        tree = build(pdf["id"].to_numpy(), vectors, float(pdf["limit"].iat[0]) * (1 + 1e-12), leaf)
+        tree = build(pdf["id"].to_numpy(), vectors, float(pdf["limit"].iat[0]), leaf)
         return pd.DataFrame({"dim": [int(pdf["dim"].iat[0])], "shard": [int(pdf["shard"].iat[0])], "tree": [pickle.dumps(tree, protocol=5)]})
 
     return materialize(rows.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, tree binary"), "vptree")
@@ -193,4 +214,4 @@ def search(trees: DataFrame, queries: DataFrame, k: int = 20, factor: float = FA
 def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, factor: float = FACTOR) -> DataFrame:
     """The k nearest of every row whose id is divisible by `every`."""
     fine = usable(rows, id_col, vector_col)
-    return search(index(fine), fine.where(F.col("id") % every == 0).dropDuplicates(["id"]), k, factor)
+    return search(index(fine), fine.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), k, factor)
