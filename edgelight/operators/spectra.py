@@ -19,6 +19,7 @@ from edgelight.kernels import analysis as an
 from edgelight.kernels import fourier as ft
 from edgelight.kernels import reduction as rd
 from edgelight.kernels import splines as sp
+from edgelight.operators import components
 
 
 def rowwise(df: DataFrame, inputs: list[str], kernel: Callable[..., dict], results: str) -> DataFrame:
@@ -219,12 +220,9 @@ def lincombo(df: DataFrame, components: list, sum_to_one: bool = True) -> DataFr
     return rowwise(df, ["y"], lambda y: an.lincombo(y, comps, sum_to_one), "weights array<double>, stderr array<double>, yfit array<double>, chisqr double, redchi double, rfactor double")
 
 
-def pca_train(df: DataFrame, most: int = 2000) -> dict:
-    """A model of the training spectra in df (gid, y). Training sets are chosen by hand; more than `most` is an error, not a sample."""
-    rows = df.select("gid", "y").orderBy("gid").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} training spectra")
-    return an.pca_train(np.array([r.y for r in rows]))
+def pca_train(df: DataFrame) -> dict:
+    """A model of the training spectra in df (y), however many: see operators.components."""
+    return components.train(df)
 
 
 def pca_fit(df: DataFrame, model: dict, ncomps: int | None = None, rescale: bool = True) -> DataFrame:

@@ -153,12 +153,19 @@ def label_means(df: DataFrame) -> DataFrame:
 
 @query
 def pca_fit(spark, sf):
-    """Every spectrum by a model of all of them, trained on the mean curve of each label."""
+    """Every spectrum by a model of the mean curves of all labels."""
     df = _rows(spark, sf)
     model = sx.pca_train(label_means(df))
     return sums(sx.pca_fit(df, model), "yfit", scalars=("scale", "chi_square"))
 
 
+@query
+def pca_fit_all(spark, sf):
+    """Every spectrum by a model of all spectra."""
+    df = _rows(spark, sf)
+    return sums(sx.pca_fit(df, sx.pca_train(df)), "yfit", scalars=("scale", "chi_square"))
+
+
 def demo_path(reff: float, degen: float) -> dict:
     """A smooth made-up path: enough to exercise a fit without instrument files."""
     k = np.concatenate([np.arange(0, 2, 0.1), np.arange(2, 20.1, 0.5)])
