@@ -155,7 +155,7 @@ def test_nearest_of_a_repeated_id_asks_with_the_least_vector(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
 def test_recall_on_embeddings_below_factor_one(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    found = [{(r.query_id, r.vec_id) for r in vptree.nearest(df, factor=f).collect()} for f in (1.0, 0.7)]
+    found = [{(r.query_id, r.vec_id) for r in vptree.nearest(df, factor=f).collect()} for f in (1.0, 0.8)]
     assert len(found[0] & found[1]) / len(found[0]) >= 0.9
 
 
