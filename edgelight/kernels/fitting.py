@@ -218,13 +218,13 @@ def fit(params: ex.Parameters, sets: list[DataSet]) -> dict:
     }
 
 
-def outputs(ds: DataSet, chi: np.ndarray, rmax_out: float = 10.0) -> dict:
-    """chi(R) and chi(q) of a chi(k) on the transform's grid, with unwrapped phases."""
-    t = ds.transform
+def outputs(t: Transform, chi: np.ndarray, rmax_out: float = 10.0) -> dict:
+    """chi(R) up to rmax_out and chi(q) up to 2 beyond kmax of a chi(k) on the transform's grid, with unwrapped phases."""
     chir = t.forward(chi, t.kweight[0])
     n = int(min(t.nfft / 2, 1.01 + rmax_out / t.rstep))
-    chiq = t.backward(chir)[: len(chi)]
-    out = {"k": t.kstep * np.arange(len(chi)), "r": t.rstep * np.arange(n), "q": t.kstep * np.arange(len(chiq))}
+    q = np.linspace(0.0, t.kmax + 2, int(1.05 + (t.kmax + 2) / t.kstep))
+    chiq = t.backward(chir)[: len(q)]
+    out = {"r": t.rstep * np.arange(n), "q": q[: len(chiq)]}
     for name, c in (("chir", chir[:n]), ("chiq", chiq)):
         out |= {f"{name}_re": c.real, f"{name}_im": c.imag, f"{name}_mag": np.abs(c), f"{name}_pha": ft.unwrapped_phase(c)}
     return out

@@ -118,7 +118,7 @@ def stack_offset(spark, sf):
     return out(grids.stack(curves.event_curves(spark, sf), 100.0), ["gid", "idx"], "ys")
 
 
-@query(f"WITH {VECTORS} SELECT a.gid, a.idx, round(sqrt(a.y * a.y + b.y * b.y), 6) + 0.0 mag, round(atan2(b.y, a.y), 6) + 0.0 pha FROM c a JOIN c b ON a.gid = b.gid AND b.idx = a.idx + 32")
+@query("WITH p AS (SELECT vec_id gid, i idx, embedding[i + 1]::DOUBLE re, embedding[i + 33]::DOUBLE im FROM embeddings, generate_series(0, 31) g(i)) SELECT gid, idx, round(sqrt(re * re + im * im), 6) + 0.0 mag, round(atan2(im, re), 6) + 0.0 pha FROM p")
 def complex_polar(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.posexplode(F.arrays_zip(F.slice("embedding", 1, 32).alias("re"), F.slice("embedding", 33, 32).alias("im"))).alias("idx", "v"))
     mag, pha = p.polar(F.col("v.re").cast("double"), F.col("v.im").cast("double"))

@@ -147,7 +147,7 @@ def graph_views(spark, sf):
     return out(views.graph_views(curves.vector_curves(spark, sf)), ["view", "gid", "idx"], "x", "y")
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT a.gid, a.idx, a.y dr, b.y di, m.y mr, n.y mi FROM c a JOIN c b ON b.gid = a.gid AND b.idx = a.idx + 16 JOIN c m ON m.gid = a.gid AND m.idx = a.idx + 32 JOIN c n ON n.gid = a.gid AND n.idx = a.idx + 48 WHERE a.idx < 16),
+@query("""WITH q AS (SELECT vec_id gid, i idx, embedding[i + 1]::DOUBLE dr, embedding[i + 17]::DOUBLE di, embedding[i + 33]::DOUBLE mr, embedding[i + 49]::DOUBLE mi FROM embeddings, generate_series(0, 15) g(i)),
 v AS (SELECT gid, idx, unnest(['data', 'data', 'data', 'data', 'model', 'model', 'model', 'model']) series, unnest(['mag', 're', 'im', 'phase', 'mag', 're', 'im', 'phase']) part,
 unnest([sqrt(dr * dr + di * di), dr, di, atan2(di, dr), sqrt(mr * mr + mi * mi), mr, mi, atan2(mi, mr)]) value FROM q)
 SELECT gid, idx, series, part, round(value, 6) + 0.0 value FROM v""")
