@@ -75,6 +75,25 @@ def autobk(df: DataFrame, p: rd.AutobkParams = rd.AutobkParams(), err_sigma: flo
     return rowwise(df, ["energy", "mu"], run, "ek0 double, edge_step double, bkg array<double>, k array<double>, chi array<double>, delta_chi array<double>, delta_bkg array<double>, redchi double")
 
 
+def autobk_standard(df: DataFrame, standard: DataFrame, p: rd.AutobkParams = rd.AutobkParams()) -> DataFrame:
+    """autobk() with a standard chi(k) as constraint: standard has k and chi arrays, and gid if spectra have standards of their own.
+
+    Without gid it has one row for all (more are an error). A spectrum without a standard is 'skipped'.
+    """
+    own = standard.select(*(["gid"] if "gid" in standard.columns else []), F.col("k").alias("k_std"), F.col("chi").alias("chi_std"))
+    if "gid" in standard.columns:
+        rows = df.drop("k_std", "chi_std").join(own, "gid", "left")
+    else:
+        one = own.agg(F.count(F.lit(1)).alias("n"), F.first("k_std").alias("k_std"), F.first("chi_std").alias("chi_std"))
+        one = one.select(F.when(F.col("n") > 1, F.raise_error(F.lit("one standard is expected")).cast("array<double>")).otherwise(F.col("k_std")).alias("k_std"), "chi_std")
+        rows = df.drop("k_std", "chi_std").join(F.broadcast(one))
+
+    def run(e, m, k, chi):
+        return rd.autobk(e, m, replace(p, k_std=tuple(k), chi_std=tuple(chi)))
+
+    return rowwise(rows, ["energy", "mu", "k_std", "chi_std"], run, "ek0 double, edge_step double, bkg array<double>, k array<double>, chi array<double>").drop("k_std", "chi_std")
+
+
 CHIR = "r array<double>, chir_re array<double>, chir_im array<double>, chir_mag array<double>"
 CHIQ = "q array<double>, chiq_re array<double>, chiq_im array<double>, chiq_mag array<double>"
 
