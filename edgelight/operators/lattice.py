@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +84,55 @@ def expand(sites: DataFrame, operations: DataFrame) -> DataFrame:
     rows = rows.select("element", image(0).alias("fx"), image(1).alias("fy"), image(2).alias("fz"))
     keys = [F.round(f"f{n}", 4).alias(f"k{n}") for n in "xyz"]
     return rows.groupBy("element", *keys).agg(*(F.min(f"f{n}").alias(f"f{n}") for n in "xyz")).select("element", "fx", "fy", "fz")
+
+
+def expand_within(sites: DataFrame, operations: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """Images (element, fx, fy, fz) of sites (site_id, element, fx, fy, fz) under operations (op, rotation 9, shift 3) without repeats within a tolerance.
+
+    Images are taken by site_id, then op; one whose element and coordinates, up to whole cells, are those of an image taken before
+    is left out, wherever it lies. Images fall in cells of the tolerance's size and meet only those of the 27 cells around, so there is no
+    rounding border. Sites without an element are left out. Whether an image stays can hang on another one; for
+    that, the pairs of near but unequal images of an element, of which crystals have few, are settled in order, in one group.
+    """
+    def image(i):
+        f = F.col("shift")[i]
+        for j, n in enumerate("xyz"):
+            f = f + F.col("rotation")[3 * i + j] * F.col(f"f{n}")
+        return f - F.floor(f)
+
+    rows = sites.join(F.broadcast(operations))  # a space group has at most 192 operations
+    rows = rows.select("element", F.struct("site_id", "op").alias("turn"), image(0).alias("fx"), image(1).alias("fy"), image(2).alias("fz"))
+    # the same image many times is one row from here on
+    rows = rows.groupBy("element", "fx", "fy", "fz").agg(F.min("turn").alias("turn"))
+    cells = max(1, int(1 / tolerance + 1e-9))
+    at = [F.least(F.floor(F.col(f"f{n}") * cells), F.lit(cells - 1)) for n in "xyz"]
+    rows = rows.select("*", *(c.alias(f"c{n}") for c, n in zip(at, "xyz")))
+    around = rows
+    for n in "xyz":
+        around = around.withColumn(f"c{n}", F.explode(F.array_distinct(F.array(*(F.pmod(F.col(f"c{n}") + d, F.lit(cells)) for d in (-1, 0, 1))))))
+    a, b = around.alias("a"), rows.alias("b")
+    near = [F.abs(d - F.round(d)) < tolerance for d in (F.col(f"a.f{n}") - F.col(f"b.f{n}") for n in "xyz")]
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("element", "cx", "cy", "cz")]
+    met = F.col("b.turn") < F.col("a.turn")
+    for c in [*same, *near]:
+        met = met & c
+    turn = ["site_id", "op"]
+    pairs = a.join(b, met).select(F.col("a.element").alias("element"), *(F.col(f"{side}.turn.{c}").alias(f"{side}_{c}") for side in "ab" for c in turn))
+
+    def settle(pdf):
+        """An image goes if an earlier one near it stays; earlier ones are settled first."""
+        own = pdf.sort_values(["a_site_id", "a_op"])
+        gone, near = [], {}
+        for now, before in zip(zip(own["a_site_id"], own["a_op"]), zip(own["b_site_id"], own["b_op"])):
+            near.setdefault(now, []).append(before)
+        lost = set()
+        for now, before in near.items():
+            if any(t not in lost for t in before):
+                lost.add(now)
+                gone.append((pdf["element"].iat[0], *now))
+        return pd.DataFrame(gone, columns=["element", *turn])
+
+    kinds = {c: rows.schema["turn"].dataType[c].dataType.simpleString() for c in turn}
+    gone = pairs.groupBy("element").applyInPandas(settle, ", ".join(f"{c} {k}" for c, k in {"element": rows.schema["element"].dataType.simpleString(), **kinds}.items()))
+    gone = gone.select("element", F.struct(*turn).alias("turn"))
+    return rows.where("element is not null").join(gone, ["element", "turn"], "left_anti").select("element", "fx", "fy", "fz")

@@ -141,3 +141,25 @@ def savitzky_golay(df: DataFrame, weights: list[float]) -> DataFrame:
         near = F.col("y") if d == 0 else near
         total = total + F.lit(c) * F.coalesce(near, F.lit(0.0))
     return df.withColumn("ys", F.when(F.col("idx").between(half, F.col("n") - 1 - half), total)).drop("n")
+
+
+def iir(df: DataFrame, b: list[float], a: list[float]) -> DataFrame:
+    """Linear recursive filter of curves (gid, y array) from rest: a0 z[i] = sum b_j y[i-j] - sum a_j z[i-j], j > 0 in the second sum.
+
+    Without a recursive part it is a weighted sum. A null in y makes all that follows null. One fold per curve; a curve is one row.
+    """
+    if not a or a[0] == 0:
+        raise ValueError("the first coefficient of the recursive part must not be zero")
+    ahead, behind = [v / a[0] for v in b], [v / a[0] for v in a[1:]]
+
+    def step(z: Column, i: Column) -> Column:
+        own = F.lit(0.0)
+        for j, v in enumerate(ahead):
+            own = own + v * F.when(i >= j, F.get("y", i - j)).otherwise(0.0)
+        for j, v in enumerate(behind, 1):
+            own = own - v * F.when(i >= j, F.get(z, i - j)).otherwise(0.0)
+        return F.array_append(z, own)
+
+    none = F.array().cast("array<double>")
+    z = F.when(F.size("y") == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size("y") - 1), none, step))
+    return df.withColumn("z", z)
