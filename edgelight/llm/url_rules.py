@@ -5,13 +5,18 @@ keys, fragment) plus a token for a bad label; Spark's FP-growth finds frequent t
 is the bad token. Rules are kept from a least support and confidence, and a rule is dropped if a shorter one that it
 contains is at least as confident. Every token with enough bad pages is mined (no rule can hold another), so support alone
 bounds the work: at most (tokens of a URL) / min_support tokens. Tokens on exactly the same rows go in as one, told by
-two hashes over the distinct token sets, and rules are written out for each of them afterwards. A token of all rows
+two hashes over the distinct token sets, and stay one class in the rules: a rule needs one token of each of its classes, which is what all its
+spellings together say, so it is never written out by them. A token of all rows
 changes no confidence, so it makes a rule of its own at most. The result is that of all token sets.
 
-Matching: each rule is listed under its rarest token in an inverted index; a URL looks up its tokens, and the listed
-rules are checked for their other tokens. The index is bounded by support and goes to the workers as a closure.
+Matching: each rule is listed under its rarest class in an inverted index; a URL looks up its tokens' classes, and the listed
+rules are checked for their other classes. The index is bounded by support, its size is counted, and it goes to the workers as a closure; over
+MOST_TOKENS names in rules are an error (raise min_support), never rules left out.
 Defined results: a null URL, or one without "://", has empty host and path and no tokens of either; labels are joined by
-the page's id, and several labels of one page count as bad if one is; without labels nothing is mined and all is allowed.
+the page's id, and several labels of one page count as bad if one is; pages that share an id or a URL are judged one by one, and count one by one in mining; without labels
+nothing is mined and all is allowed. Of several rules that fit, the most confident speaks, then that of most support, then the last in the order of its
+names. A host gives suffixes of HOST_LABELS labels at most, so the tokens of a URL take no more than a fixed multiple of its length. All columns of pages keep their names and values;
+added columns get underscores where pages has their name. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,12 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgelight.llm.common import materialize
+from edgelight.llm.common import materialize, set_aside
 
 BAD = "#bad"
 MIN_SUPPORT = 0.002
 MIN_PAGES = 5
 MIN_CONFIDENCE = 0.6
+HOST_LABELS = 16
+MOST_TOKENS = 1_000_000
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
@@ -62,7 +69,7 @@ def url_tokens(url: str | None) -> set[str]:
     main, _, query = main.partition("?")
     host, _, path = main.partition("/")
     labels = [x for x in host.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).split(".") if x]
-    found = {f"scheme={scheme.lower()}"} | {f"label={x}" for x in labels} | {"suffix=" + ".".join(labels[i:]) for i in range(len(labels))}
+    found = {f"scheme={scheme.lower()}"} | {f"label={x}" for x in labels} | {"suffix=" + ".".join(labels[i:]) for i in range(max(0, len(labels) - HOST_LABELS), len(labels))}
     parts = [x for x in path.split("/") if x]
     found |= {f"part={'0' if x.isdigit() else x}" for x in parts} | {f"depth={min(len(parts), 5)}"}
     if parts and (m := re.search(r"\.(\w+)$", parts[-1])):
@@ -79,7 +86,7 @@ def tokens_udf(url: pd.Series) -> pd.Series:
 
 
 def mine(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, vocabulary: int | None = None, min_pages: int = MIN_PAGES) -> list[dict]:
-    """Pruned rules: tokens (frozenset), support, confidence. `vocabulary` is an error bound: more tokens to mine than that are refused, never left out."""
+    """Pruned rules: classes (frozensets of tokens that stand for each other), support, confidence, key (the rarest class). `vocabulary` is an error bound: more tokens to mine than that are refused, never left out."""
     from pyspark.ml.fpm import FPGrowth
 
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
@@ -123,38 +130,52 @@ def mine(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
         if confidence < min_confidence or any(k < own and c >= confidence for t in own for k, c in index.get(t, ())):
             continue
         index.setdefault(min(own), []).append((own, confidence))
-        for names in product(*(classes[t] for t in sorted(own))):
-            rules.append({"tokens": frozenset(names), "confidence": confidence, "support": right_n / n, "key": min(names, key=lambda t: (freq[t], t))})
+        rules.append({"classes": frozenset(frozenset(classes[t]) for t in own), "confidence": confidence, "support": right_n / n, "key": frozenset(classes[min(own, key=lambda t: (freq[t], t))])})
     return rules
 
 
-def inverted(rules: list[dict]) -> dict[str, list]:
-    index: dict[str, list] = {}
+def written(rules: list[dict]) -> dict[frozenset, float]:
+    """Rules by every one of their spellings, with confidences; for tests and small sets of rules."""
+    return {frozenset(names): r["confidence"] for r in rules for names in product(*r["classes"])}
+
+
+def inverted(rules: list[dict]) -> tuple[dict[str, int], dict[int, list]]:
+    """(number of each token's class, rules (classes, confidence, support) by the number of their rarest class)."""
+    size = sum(len(c) for r in rules for c in r["classes"])
+    if size > MOST_TOKENS:
+        raise ValueError(f"rules hold {size} names; {MOST_TOKENS} are allowed: raise min_support")
+    numbers = {c: i for i, c in enumerate(sorted({c for r in rules for c in r["classes"]}, key=sorted))}
+    index: dict[int, list] = {}
     for r in rules:
-        index.setdefault(r["key"], []).append((r["tokens"], r["confidence"], r["support"]))
-    return index
+        index.setdefault(numbers[r["key"]], []).append((frozenset(numbers[c] for c in r["classes"]), r["confidence"], r["support"]))
+    return {t: i for c, i in numbers.items() for t in c}, index
 
 
 def judge(pages: DataFrame, rules: list[dict], url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule, verdict, mined_rule and confidence."""
-    index = inverted(rules)
+    """pages, then host, path, rule, verdict, mined_rule and confidence."""
+    class_of, index = inverted(rules)
 
     @F.pandas_udf("tokens string, confidence double")
     def matched(url: pd.Series) -> pd.DataFrame:
         names, scores = [], []
         for u in url:
-            own = url_tokens(u)
-            hits = [(c, s, sorted(t)) for token in own for t, c, s in index.get(token, ()) if t <= own]
-            best = max(hits, key=lambda h: (h[0], h[1], h[2]), default=None)
+            own: dict[int, str] = {}  # of tokens that stand for each other the last by name speaks
+            for t in url_tokens(u):
+                if (i := class_of.get(t)) is not None:
+                    own[i] = max(t, own.get(i, t))
+            hits = [(c, s, sorted(own[i] for i in rule)) for i in own for rule, c, s in index.get(i, ()) if rule <= own.keys()]
+            best = max(hits, default=None)
             names.append(" ".join(best[2]) if best else None)
             scores.append(best[0] if best else None)
         return pd.DataFrame({"tokens": names, "confidence": pd.Series(scores, dtype="float64")})
 
+    plain, back = set_aside(pages, url_col)
     url = F.col(url_col)
-    out = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("mined", matched(url))
-    rule, verdict = best_rule(F.col("host"), F.col("path"))
-    method = F.when(F.col("mined.tokens").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method)).withColumn("mined_rule", F.col("mined.tokens")).withColumn("confidence", F.col("mined.confidence")).drop("mined")
+    rule, verdict = best_rule(F.col("host_"), F.col("path_"))
+    out = plain.withColumn("host_", host_of(url)).withColumn("path_", path_of(url)).withColumn("mined_", matched(url))
+    method = F.when(F.col("mined_.tokens").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    added = {"host": F.col("host_"), "path": F.col("path_"), "rule": rule, "verdict": F.coalesce(verdict, method), "mined_rule": F.col("mined_.tokens"), "confidence": F.col("mined_.confidence")}
+    return back(out.select(*plain.columns, *(v.alias(c) for c, v in added.items())))
 
 
 def all_rules(baskets: list[tuple[set, bool]], min_support: float, min_confidence: float) -> dict[frozenset, float]:
