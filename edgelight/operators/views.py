@@ -165,3 +165,22 @@ def data_rows(content: Column) -> Column:
 
 def header_lines(content: Column) -> Column:
     return F.transform(F.filter(F.split(content, "\r?\n"), lambda x: x.startswith("#")), lambda x: F.trim(F.regexp_replace(x, "^#+", "")))
+
+
+def wide_lines(df: DataFrame) -> DataFrame:
+    """Lines (line, text) of a wide table of curves (gid, label, idx, x, y), in order of gid; line -1 is the head.
+
+    If all curves have the same x, one x column and a y column for each; else a pair of columns for each, blank where a curve has ended. Tabs,
+    six decimals, a tab after the head. Any number of curves: a line holds one value of each, as its text does; the labels are one row.
+    """
+    heads = df.groupBy("gid").agg(F.first("label").alias("label"), F.sum(F.xxhash64("idx", "x").cast("decimal(20,0)")).alias("grid"), F.count(F.lit(1)).alias("n"))
+    facts = heads.agg(F.sort_array(F.collect_list(F.struct("gid", "label"))).alias("curves"), ((F.min("grid") == F.max("grid")) & (F.min("n") == F.max("n"))).alias("same"))
+    number = lambda v: F.format_string("%.6f", v)
+    rows = df.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("gid", F.struct(number(F.col("x")).alias("x"), number(F.col("y")).alias("y"))))).alias("own"), F.min(number(F.col("x"))).alias("x"))
+    rows = rows.join(F.broadcast(facts))  # one row
+    at = lambda c: F.try_element_at("own", c["gid"])
+    alone = F.concat_ws("\t", F.col("x"), F.array_join(F.transform("curves", lambda c: at(c)["y"]), "\t"))
+    pairs = F.array_join(F.transform("curves", lambda c: F.concat_ws("\t", F.coalesce(at(c)["x"], F.lit("")), F.coalesce(at(c)["y"], F.lit("")))), "\t")
+    head = F.when(F.col("same"), F.concat(F.lit("x\t"), F.array_join("curves.label", "\t"))).otherwise(F.array_join(F.transform("curves", lambda c: F.concat(c["label"], F.lit("_x\t"), c["label"])), "\t"))
+    lines = rows.select(F.col("idx").cast("int").alias("line"), F.when(F.col("same"), alone).otherwise(pairs).alias("text"))
+    return facts.where("size(curves) > 0").select(F.lit(-1).alias("line"), F.concat(head, F.lit("\t")).alias("text")).union(lines)

@@ -355,7 +355,9 @@ def rebin_centroid(spark, sf):
     return out(ag.rebin(curves.event_curves(spark, sf), 2e5, "centroid"), ["gid", "n"], "x", "y", "dy")
 
 
-WINDOW_GRID = [i * 0.05 for i in range(241)]
+#: The vectors' points at steps of 0.2, so that all window edges lie inside
+WINDOW_GRID = [i * 0.2 for i in range(64)]
+WINDOWED = "(SELECT gid, idx i, idx * 0.2::DOUBLE x, y FROM c)"
 
 
 def _window_sql(kind: str) -> str:
@@ -369,14 +371,14 @@ def _window_sql(kind: str) -> str:
     else:
         rise, fall = {"parzen": (up, f"1 - {down}"), "welch": (f"1 - power((x - {c.up.hi!r}) / {c.up.hi - c.up.lo!r}, 2)", f"1 - power({down}, 2)")}.get(kind, (f"power(sin(pi() / 2 * {up}), 2)", f"power(cos(pi() / 2 * {down}), 2)"))
         w = f"CASE WHEN i BETWEEN {c.down.first} AND {c.down.last} THEN {fall} WHEN i BETWEEN {c.up.first} AND {c.up.last} THEN {rise} ELSE {flat} END"
-    return f"SELECT i idx, round({w}, 6) + 0.0 w FROM (SELECT i, i * 0.05::DOUBLE x FROM generate_series(0, 240) t(i))"
+    return f"WITH {VECTORS} SELECT gid, i idx, round(y * ({w}), 6) + 0.0 w FROM {WINDOWED}"
 
 
 def _register_window(kind: str) -> None:
     def run(spark, sf):
         c = fw.shape(WINDOW_GRID, kind, 2.0, 10.0, 1.0 if kind != "fha" else 0.3)
-        df = spark.range(241, numPartitions=1).select(F.col("id").alias("idx"), (F.col("id") * F.lit(0.05)).alias("x"))
-        return df.select("idx", r6(fw.weight(F.col("idx"), F.col("x"), kind, c)).alias("w"))
+        df = curves.vector_curves(spark, sf).withColumn("x", F.col("idx") * F.lit(0.2))
+        return df.select("gid", "idx", r6(F.col("y") * fw.weight(F.col("idx"), F.col("x"), kind, c)).alias("w"))
 
     QUERIES[f"window_{kind}"], SQL[f"window_{kind}"] = run, _window_sql(kind)
 
@@ -470,21 +472,30 @@ def powder_mass(spark, sf):
 
 FCC = [("Cu", 0.0, 0.0, 0.0), ("Cu", 0.0, 0.5, 0.5), ("Cu", 0.5, 0.0, 0.5), ("Cu", 0.5, 0.5, 0.0)]
 CELL = (3.61, 3.61, 3.61, 90.0, 90.0, 90.0)
-FCC_SQL = "s AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 0.5, 0.5), (2, 0.5, 0, 0.5), (3, 0.5, 0.5, 0)) t(site_id, fx, fy, fz)), a AS (SELECT site_id, (fx + i) * 3.61 x, (fy + j) * 3.61 y, (fz + k) * 3.61 z FROM s, generate_series(-4, 4) p(i), generate_series(-4, 4) q(j), generate_series(-4, 4) u(k)), b AS (SELECT *, sqrt(x * x + y * y + z * z) r FROM a)"
+#: A cell whose sites are the suppliers, at coordinates that follow from their keys
+BOX = (16.0, 16.0, 16.0, 90.0, 90.0, 90.0)
+SITES_SQL = "s AS (SELECT s_suppkey site_id, (s_suppkey * 0.37::DOUBLE) % 1 fx, (s_suppkey * 0.61::DOUBLE) % 1 fy, (s_suppkey * 0.83::DOUBLE) % 1 fz FROM supplier), h AS (SELECT fx hx, fy hy, fz hz FROM s WHERE site_id = 7), a AS (SELECT site_id, (fx + i - hx) * 16 x, (fy + j - hy) * 16 y, (fz + k - hz) * 16 z FROM s, h, generate_series(-2, 2) p(i), generate_series(-2, 2) q(j), generate_series(-2, 2) u(k)), b AS (SELECT *, sqrt(x * x + y * y + z * z) r FROM a)"
 
 
 def fcc(spark):
     return spark.createDataFrame([(i, *s) for i, s in enumerate(FCC)], "site_id int, element string, fx double, fy double, fz double")
 
 
-@query(f"WITH {FCC_SQL} SELECT site_id, round(x, 6) + 0.0 x, round(y, 6) + 0.0 y, round(z, 6) + 0.0 z, round(r, 6) + 0.0 r FROM b WHERE r <= 6.00000001")
+def supplier_sites(spark, sf):
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("site_id"), F.lit("Cu").alias("element"), *((k * F.lit(v) % 1).alias(f"f{n}") for n, v in zip("xyz", (0.37, 0.61, 0.83))))
+
+
+@query(f"WITH {SITES_SQL} SELECT site_id, round(x, 6) + 0.0 x, round(y, 6) + 0.0 y, round(z, 6) + 0.0 z, round(r, 6) + 0.0 r FROM b WHERE r <= 9.00000001")
 def cluster(spark, sf):
-    return out(lattice.cluster(fcc(spark), CELL, 0, 6.0), ["site_id"], "x", "y", "z", "r")
+    return out(lattice.cluster(supplier_sites(spark, sf), BOX, 7, 9.0), ["site_id"], "x", "y", "z", "r")
 
 
-@query(f"WITH {FCC_SQL} SELECT (dense_rank() OVER (ORDER BY round(r, 3)))::INT shell, round(min(r), 6) + 0.0 r, count(*) n FROM b WHERE r <= 6.00000001 AND r > 1e-8 GROUP BY round(r, 3)")
+@query(f"""WITH RECURSIVE {SITES_SQL}, n AS (SELECT r, row_number() OVER (ORDER BY r) n FROM b WHERE r <= 9.00000001 AND r > 1e-8),
+w AS (SELECT n, r, r head, 1 shell FROM n WHERE n = 1 UNION ALL SELECT n.n, n.r, CASE WHEN n.r - head <= 0.05 THEN head ELSE n.r END, shell + CASE WHEN n.r - head <= 0.05 THEN 0 ELSE 1 END FROM w JOIN n ON n.n = w.n + 1)
+SELECT shell::INT shell, round(min(r), 6) + 0.0 r, count(*) n FROM w WHERE shell <= 10 GROUP BY shell""")
 def shell_counts(spark, sf):
-    return out(lattice.shells(lattice.cluster(fcc(spark), CELL, 0, 6.0)), ["shell", "n"], "r")
+    return out(lattice.shells(lattice.cluster(supplier_sites(spark, sf), BOX, 7, 9.0)), ["shell", "n"], "r")
 
 
 @query(f"WITH {EVENTS} SELECT idx, round(max(CASE WHEN gid % 3 = 0 THEN y END), 6) + 0.0 g0, round(max(CASE WHEN gid % 3 = 1 THEN y END), 6) + 0.0 g1, round(max(CASE WHEN gid % 3 = 2 THEN y END), 6) + 0.0 g2 FROM c GROUP BY idx")
@@ -493,10 +504,17 @@ def wide_table(spark, sf):
     return out(df.groupBy("idx").pivot("label", ["g0", "g1", "g2"]).agg(F.max("y")), ["idx"], "g0", "g1", "g2")
 
 
-@query("SELECT l_returnflag, " + ", ".join(f"coalesce(round(avg(CASE WHEN l_linenumber = {i} THEN l_quantity END), 6), 0) + 0.0 p{i}" for i in range(1, 8)) + " FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_orderkey fit_id, " + ", ".join(f"coalesce(round({sign}max(CASE WHEN l_linenumber = {i} THEN {v} END), 6), 0) + 0.0 {n}{i}{e}" for n, own in (("deltar", ""), ("sigma2", "-")) for i in range(1, 8) for sign, v, e in ((own, "l_quantity", ""), ("", "l_discount", "_err"))) + " FROM lineitem GROUP BY l_orderkey")
 def save_items(spark, sf):
-    rows = items(spark, sf).groupBy("l_returnflag").pivot("l_linenumber", list(range(1, 8))).agg(F.avg("l_quantity"))
-    return rows.select("l_returnflag", *(r6(F.coalesce(F.col(str(i)), F.lit(0.0))).alias(f"p{i}") for i in range(1, 8)))
+    """Path values of fits by columns: an order is a fit, its lines are paths."""
+    from edgelight.operators import fits
+
+    value = lambda name, v: F.struct(F.concat(F.lit("0/"), (F.col("l_linenumber") - 1).cast("string"), F.lit(f"/{name}")).alias("name"), v.cast("double").alias("value"), F.col("l_discount").cast("double").alias("stderr"))
+    lines = items(spark, sf).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount"))
+    results = lines.select(F.col("l_orderkey").alias("fit_id"), F.lit("path").alias("kind"), F.explode(F.array(value("deltar", it()), value("sigma2", -it()))).alias("v")).select("fit_id", "kind", "v.*")
+    wide = fits.save_items(results, ["deltar", "sigma2"], 1, 7)
+    names = {f"0_{i - 1}_{n}{e}": f"{n}{i}{e}" for n in ("deltar", "sigma2") for i in range(1, 8) for e in ("", "_err")}
+    return wide.select("fit_id", *(r6(F.col(c)).alias(n) for c, n in names.items()))
 
 
 @query("SELECT label, idx, line, intensity FROM (SELECT label, idx, round(i, 6) + 0.0 intensity, row_number() OVER (PARTITION BY label ORDER BY i DESC, idx) AS line FROM (SELECT label, vec_id idx, abs(embedding[1]::DOUBLE) i FROM embeddings) WHERE i >= 0.01) WHERE line <= 8")

@@ -10,7 +10,7 @@ from edgelight.functions import pointwise as p
 from edgelight.operators import aggregates as ag
 from edgelight.operators import grids, lattice
 from edgelight.operators import ordered as od
-from edgelight.plans.native_queries import CELL, EVENTS, FCC_SQL, GRAD, VECTORS, W, fcc, out, r6
+from edgelight.plans.native_queries import BOX, CELL, EVENTS, GRAD, SITES_SQL, VECTORS, W, out, r6, supplier_sites
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,9 +71,9 @@ def lattice_cart(spark, sf):
     return out(lattice.cartesian(df, CELL), ["p_partkey"], "x", "y", "z")
 
 
-@query(f"WITH {FCC_SQL} SELECT site_id, count(*) n, round(min(r), 6) + 0.0 nearest FROM b WHERE r <= 5.00000001 AND r > 1e-8 GROUP BY site_id")
+@query(f"WITH {SITES_SQL} SELECT site_id, count(*) n, round(min(r), 6) + 0.0 nearest FROM b WHERE r <= 12.00000001 AND r > 1e-8 GROUP BY site_id")
 def site_counts(spark, sf):
-    df = lattice.cluster(fcc(spark), CELL, 0, 5.0).where("r > 1e-8").groupBy("site_id").agg(F.count("*").alias("n"), F.min("r").alias("nearest"))
+    df = lattice.cluster(supplier_sites(spark, sf), BOX, 7, 12.0).where("r > 1e-8").groupBy("site_id").agg(F.count("*").alias("n"), F.min("r").alias("nearest"))
     return out(df, ["site_id", "n"], "nearest")
 
 

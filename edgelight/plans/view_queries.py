@@ -10,8 +10,8 @@ from edgelight import curves
 from edgelight.functions import ftwindow as fw
 from edgelight.functions import pointwise as p
 from edgelight.operators import aggregates as ag
-from edgelight.operators import grids, lattice, views
-from edgelight.plans.native_queries import EVENTS, VECTORS, W, out
+from edgelight.operators import grids, lattice, spectra, views
+from edgelight.plans.native_queries import EVENTS, VECTORS, W, WINDOW_GRID, WINDOWED, out
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -215,16 +215,15 @@ def _bessel(x: str) -> str:
 
 
 def _window(kind: str):
-    grid = [i * 0.05 for i in range(241)]
-    c = fw.shape(grid, kind, 3.0, 10.0, 2.0)
+    c = fw.shape(WINDOW_GRID, kind, 3.0, 10.0, 2.0)
     u = f"2 * (x - {c.middle!r}::DOUBLE) / {c.down.hi - c.up.lo!r}::DOUBLE"
     bell, top = _bessel(f"{c.width!r} * sqrt(greatest(0, 1 - ({u}) * ({u})))"), fw._i0(c.width)
     value = f"({bell} - 1) / {top - 1!r}::DOUBLE" if kind == "kaiser" else f"CASE WHEN x <= {c.up.lo!r} OR x >= {c.down.hi!r} THEN 0 ELSE {bell} / {top!r}::DOUBLE END"
-    sql = f"SELECT i idx, round({value}, 6) + 0.0 w FROM (SELECT i, i * 0.05::DOUBLE x FROM generate_series(0, 240) t(i))"
+    sql = f"WITH {VECTORS} SELECT gid, i idx, round(y * ({value}), 6) + 0.0 w FROM {WINDOWED}"
 
     def run(spark, sf):
-        rows = spark.range(241).select(F.col("id").alias("idx"), (F.col("id") * F.lit(0.05)).alias("x"))
-        return out(rows.select("idx", fw.weight(F.col("idx"), F.col("x"), kind, c).alias("w")), ["idx"], "w")
+        rows = curves.vector_curves(spark, sf).withColumn("x", F.col("idx") * F.lit(0.2))
+        return out(rows.select("gid", "idx", (F.col("y") * fw.weight(F.col("idx"), F.col("x"), kind, c)).alias("w")), ["gid", "idx"], "w")
 
     run.__name__ = f"window_{kind}"
     return query(sql)(run)
@@ -234,14 +233,33 @@ for _kind in ("kaiser", "bes"):
     _window(_kind)
 
 
-@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 k, [l_extendedprice, l_quantity, l_discount + 1, l_tax + 1] c FROM lineitem)
-SELECT l_orderkey, l_linenumber, round(CASE k WHEN 0 THEN ln(c[1] / c[2]) WHEN 1 THEN c[3] WHEN 2 THEN (c[3] + c[4]) / c[1] END, 6) + 0.0 mu, CASE WHEN k = 3 THEN 'BadColumn(9)' END error FROM m""")
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 idx, l_orderkey % 4 k FROM lineitem)
+SELECT l_orderkey file, idx, round(l_extendedprice, 6) + 0.0 energy, round(CASE k WHEN 0 THEN ln(l_quantity / (l_discount + 1)) WHEN 1 THEN l_tax + 1 ELSE (l_discount + 1 + l_tax + 1) / l_quantity END, 6) + 0.0 mu, NULL error FROM m WHERE k < 3
+UNION ALL SELECT DISTINCT l_orderkey, NULL, NULL, NULL, 'BadColumn(9)' FROM m WHERE k = 3""")
 def build_mu(spark, sf):
-    df = table(spark, sf, "lineitem")
-    columns = F.array("l_extendedprice", "l_quantity", F.col("l_discount") + 1, F.col("l_tax") + 1)
-    at = lambda i: F.get("c", F.lit(i))
-    k = F.col("l_linenumber") % 4
-    bad = lambda i: F.when(F.size("c") <= i, F.lit(f"BadColumn({i})"))
-    mu = F.when(k == 0, p.mu_transmission(at(0), at(1))).when(k == 1, at(2)).when(k == 2, p.mu_fluorescence(at(0), at(2), at(3)))
-    rows = df.withColumn("c", columns).select("l_orderkey", "l_linenumber", mu.alias("mu"), F.when(k == 3, bad(9)).alias("error"))
-    return out(rows, ["l_orderkey", "l_linenumber", "error"], "mu")
+    """Orders as column files (energy, i0 and two signals, a row per line), each quarter of them in another mode, the last one with a column that is not there."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("c0"), F.col("l_quantity").alias("c1"), (F.col("l_discount") + 1).alias("c2"), (F.col("l_tax") + 1).alias("c3"))
+    files = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    files = files.select(F.concat(F.lit("/in/"), F.col("l_orderkey").cast("string"), F.lit(".dat")).alias("path"), (F.col("l_orderkey") % 4).alias("k"), F.array(*(F.col(f"l.c{i}").cast("array<double>") for i in range(4))).alias("columns"), F.lit(None).cast("string").alias("error"))
+    specs = [("transmission", {"energy": 0, "i0": 1, "it": 2}), ("raw", {"energy": 0, "mu": 3}), ("fluorescence", {"energy": 0, "i0": 1, "channels": (2, 3)}), ("raw", {"energy": 0, "mu": 9})]
+    done = [spectra.build_mu(files.where(F.col("k") == k), mode, **spec) for k, (mode, spec) in enumerate(specs)]
+    rows = done[0].union(done[1]).union(done[2]).union(done[3])
+    rows = rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("file"), F.posexplode_outer(F.arrays_zip("energy", "mu")).alias("idx", "p"), "error")
+    return out(rows.select("file", F.col("idx").cast("long").alias("idx"), "p.energy", "p.mu", "error"), ["file", "idx", "error"], "energy", "mu")
+
+
+@query(f"""WITH {VECTORS}, l AS (SELECT list_sort(list(DISTINCT gid)) ids FROM c)
+SELECT -1 line, 'x' || chr(9) || array_to_string(list_transform(ids, lambda i: 'v' || i), chr(9)) || chr(9) "text" FROM l
+UNION ALL SELECT idx, printf('%.6f', any_value(x)) || chr(9) || string_agg(printf('%.6f', y), chr(9) ORDER BY gid) FROM c GROUP BY idx""")
+def wide_lines(spark, sf):
+    """All vectors side by side over their common grid, as the lines of a text table."""
+    return views.wide_lines(curves.vector_curves(spark, sf).withColumn("label", F.concat(F.lit("v"), F.col("gid").cast("string"))))
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT list_sort(list(DISTINCT gid)) ids, max(idx) top FROM c),
+n AS (SELECT i gid, t.idx FROM (SELECT unnest(ids) i FROM l), (SELECT unnest(generate_series(0, top)) idx FROM l) t)
+SELECT -1 line, array_to_string(list_transform(ids, lambda i: 'u' || i || '_x' || chr(9) || 'u' || i), chr(9)) || chr(9) "text" FROM l
+UNION ALL SELECT n.idx, string_agg(coalesce(printf('%.6f', x), '') || chr(9) || coalesce(printf('%.6f', y), ''), chr(9) ORDER BY n.gid) FROM n LEFT JOIN c ON c.gid = n.gid AND c.idx = n.idx GROUP BY n.idx""")
+def wide_lines_pairs(spark, sf):
+    """All event curves side by side, each with its own x, as the lines of a text table."""
+    return views.wide_lines(curves.event_curves(spark, sf).withColumn("label", F.concat(F.lit("u"), F.col("gid").cast("string"))))
