@@ -1,14 +1,17 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
-A text is cut into words: after each space and line feed, and after each character of a script that puts no spaces between
-words. A line ends at a line feed, and after every word whose hash (of its first two characters and its length) hits, 3 of 8: so lines have
-about three words in any script, wherever a passage stands. Lines keep their separators, so joined lines are the text. Every line has a
-24-bit hash (of the line without its separator), and rolling hashes cover it and its neighbour. A chunk starts at a line where the rolling
-hash of the chunk's first two lines hits, one in two, and ends at the first place, MIN_LINES lines on or more, where another rolling
-hash of its last two lines hits (MAX_LINES at most); physical lines start and end chunks, too. So a chunk is told by its own lines
-alone: a passage is cut alike wherever it stands. Chunks overlap. A whole text of several lines is a chunk as well. Chunks of at
-least `min_words` words that occur more than once are repeats: the first occurrence (smallest id, then place) stays, and the lines of all
-others go. Every line that goes has an equal one at a smaller place, so the first of equal passages is whole.
+A text is cut into lines: at line feeds, after sentence ends before a space, and inside long
+sentences where the two letters before a space both belong to CLASS, so that a line has about seven words also where
+nothing else ends it. CLASS is of Latin, Greek, Cyrillic, Hebrew and Arabic letters; after a word of any other script (OTHER), and
+after every character of scripts without spaces (UNSPACED), a line ends where a hash of what stands between two such places hits, one in
+four: about four words or characters. Lines keep their separators, so joined lines are the text. Every line has a hash (of the line
+without its separator), and a rolling hash covers it and its neighbour. A chunk starts at a line where the rolling hash of
+the chunk's first two lines hits, and ends at the first place, MIN_LINES lines on or more, where another rolling hash of
+its last two lines hits (MAX_LINES at most); physical lines start and end chunks, too. So a chunk is told by its own lines
+alone: a passage is cut alike wherever it stands, from about half a line after its beginning to half a line before its
+end. Chunks overlap. A whole text of several lines is a chunk as well. Chunks of at least `min_words` words that occur
+more than once are repeats: the first occurrence (smallest id, then place) stays, and the lines of all others go. Every
+line that goes has an equal one at a smaller place, so the first of equal passages is whole.
 
 Repeats are proposed by hash and decided on bytes: of the chunks with one hash, the least and the greatest text are found,
 pre-aggregated, so a chunk with a third of all occurrences costs one row per task. If the two are the same bytes, all are;
@@ -28,12 +31,17 @@ from pyspark.sql import functions as F
 
 from edgelight.llm.common import materialize, small_side
 
-#: Thai and Lao, Burmese, Khmer, Chinese and Japanese with their signs and wide forms
+#: Every fourth letter of some alphabets, odd digits, and ranges of others: short, since the matcher tries them one by one
+CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0xE0, 0x100)) for c in range(a + 1, b, 4)) + "13579Ā-Šα-θа-иא-זا-خ"
+#: Characters of all other scripts than those of CLASS; and of scripts that put no spaces between words: Thai and Lao, Burmese, Khmer, Chinese and Japanese with signs and wide forms
+OTHER = "\u0530-\u058F\u0700-\u1DFF\u2C00-\U0010FFFF"
 UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\uFE30-\uFE4F\uFF00-\uFFEF\U00020000-\U0003FFFD"
-WORD_END = f"(?<=[ \n{UNSPACED}])"
+ENDS = rf"\n|[.!?] |[{CLASS}][{CLASS}] "
+#: Where a line ends or may end; the first lookbehind only keeps the search fast
+SEPARATOR = rf"(?<=[\n {UNSPACED}])(?<={ENDS}|[{OTHER}] |[{UNSPACED}])"
 WORD = rf"[^\x20\x09-\x0D{UNSPACED}]+|[{UNSPACED}]"
 MIN_WORDS = 10
-MIN_LINES, MAX_LINES = 8, 32
+MIN_LINES, MAX_LINES = 3, 8
 BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
 RANGES = "array<struct<pos:int,end:int>>"
@@ -46,19 +54,17 @@ def let(value: Column, body) -> Column:
 
 
 def lines(text: Column) -> Column:
-    def last(w: Column) -> Column:
-        """Places of the words that end lines."""
-        n = F.size(w)
-        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: let(F.get(w, i), hits) | (i == n - 1))
+    pieces = F.filter(F.split(text, SEPARATOR, -1), lambda x: x != "")
 
-    def hits(word: Column) -> Column:
-        return ((F.ascii(word) * 7 + F.ascii(F.substring(word, 2, 1)) * 3 + F.length(word) * 5) % 8 < 3) | word.endswith("\n")
-
-    def joined(w: Column) -> Column:
-        cut = lambda e: F.transform(e, lambda at, k: let(F.when(k > 0, F.get(e, k - 1) + 1).otherwise(0), lambda first: F.array_join(F.slice(w, first + 1, at - first + 1), "")))
-        return F.when(F.size(w) > 0, let(last(w), cut)).otherwise(F.array().cast("array<string>"))
+    def joined(own: Column) -> Column:
+        n = F.size(own)
+        hit = lambda x: (F.ascii(x) * 7 + F.ascii(F.substring(x, 2, 1)) * 3 + F.length(x) * 5) % 4 < 1
+        ends = F.array_compact(F.transform(own, lambda x, i: F.when((i == n - 1) | x.rlike(f"({ENDS})$") | hit(x), i)))
+        piece = lambda e: F.transform(e, lambda at, k: let(F.when(k > 0, F.get(e, k - 1) + 1).otherwise(0), lambda first: F.array_join(F.slice(own, first + 1, at - first + 1), "")))
+        return let(ends, piece)
 
-    return F.when(text.isNotNull(), let(F.array_remove(F.split(text, WORD_END, -1), ""), joined))
+    # where no such character is, every piece is a line
+    return F.when(text.rlike(f"[{OTHER}]"), let(pieces, joined)).otherwise(pieces)
 
 
 def bare(line: Column) -> Column:
@@ -70,15 +76,15 @@ def chunks(lines: Column) -> Column:
     """Array of (pos, n, hash) of the chunks of a text's lines: first line, number of lines, hash. The last one is the whole text."""
 
     def cut(own: Column) -> Column:
-        h, feeds = F.transform(own, lambda x: F.conv(F.substring(F.md5(bare(x)), 1, 6), 16, 10).cast("int")), F.transform(own, lambda x: x.endswith("\n"))
+        h, feeds = F.transform(own, lambda x: F.ascii(F.md5(bare(x)))), F.transform(own, lambda x: x.endswith("\n"))
         return F.when(F.size(own) > 1, let(h, lambda h: let(feeds, lambda f: placed(own, h, f)))).otherwise(F.array().cast(CHUNKS))
 
     def placed(own: Column, h: Column, feed: Column) -> Column:
         n = F.size(own)
         every = F.sequence(F.lit(0), n - 1)
-        starts = F.filter(F.sequence(F.lit(0), n - 2), lambda i: ((F.get(h, i) * 7 + F.get(h, i + 1) * 3) % 16 < 8) | (i == 0) | F.get(feed, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), n - 2), lambda i: ((F.get(h, i) * 7 + F.get(h, i + 1) * 3) % 10 < 9) | (i == 0) | F.get(feed, i - 1))
         # by the last line of a chunk: whether it may end there
-        ends = F.transform(every, lambda i: ((F.get(h, i - 1) * 3 + F.get(h, i) * 7) % 18 < 9) | (i == n - 1) | F.get(feed, i))
+        ends = F.transform(every, lambda i: ((F.get(h, i - 1) * 3 + F.get(h, i) * 7) % 11 < 10) | (i == n - 1) | F.get(feed, i))
         pieces = lambda e: F.transform(F.filter(starts, lambda i: i + MIN_LINES <= n), lambda i: piece(own, e, i, n))
         return F.concat(let(ends, pieces), F.array(named(own, F.lit(0), n)))
 

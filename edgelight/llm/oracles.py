@@ -37,24 +37,27 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
 """
 
 
+CLASS = "".join(chr(c) for a, b in ((0x61, 0x7B), (0xE0, 0x100)) for c in range(a + 1, b, 4)) + "13579Ā-Šα-θа-иא-זا-خ"
+
 #: As in line_dedup
+OTHER = "\u0530-\u058F\u0700-\u1DFF\u2C00-\U0010FFFF"
 UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\uFE30-\uFE4F\uFF00-\uFFEF\U00020000-\U0003FFFD"
 
 OP2 = rf"""
 WITH d0 AS (SELECT row_number() OVER () rid, coalesce(doc_id, 9223372036854775807) key, ('0x' || substr(md5(text), 1, 15))::BIGINT dig, doc_id, text,
-                   list_filter(regexp_extract_all(text, '(?s)[^ \n{UNSPACED}]*(?:[ \n{UNSPACED}]|\z)'), lambda x: x <> '') ws FROM documents),
-u AS (SELECT rid, i, ws[i] w FROM (SELECT rid, ws, unnest(generate_series(1, len(ws))) i FROM d0)),
-v AS (SELECT *, CASE WHEN (ascii(w) * 7 + ascii(substr(w, 2, 1)) * 3 + length(w) * 5) % 8 < 3 OR ends_with(w, chr(10)) THEN 1 ELSE 0 END e FROM u),
-x AS (SELECT rid, i, w, sum(e) OVER (PARTITION BY rid ORDER BY i) - e ln FROM v),
-y AS (SELECT rid, ln, string_agg(w, '' ORDER BY i) l FROM x GROUP BY rid, ln),
-z AS (SELECT rid, list(l ORDER BY ln) ls FROM y GROUP BY rid),
-d AS (SELECT d0.rid, key, dig, doc_id, text, CASE WHEN text IS NOT NULL THEN coalesce(ls, []) END ls FROM d0 LEFT JOIN z USING (rid)),
-l AS (SELECT rid, i - 1 i, len(ls) n, ('0x' || substr(md5(rtrim(ls[i], ' ' || chr(10))), 1, 6))::INT h, ends_with(ls[i], chr(10)) e
+                  list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?] |[{CLASS}][{CLASS}] |[{OTHER}] |[{UNSPACED}]|\z)'), lambda x: x <> '') ws FROM documents),
+w0 AS (SELECT rid, i, ws[i] w FROM (SELECT rid, ws, unnest(generate_series(1, len(ws))) i FROM d0)),
+w1 AS (SELECT *, CASE WHEN regexp_matches(w, '(?:\n|[.!?] |[{CLASS}][{CLASS}] )\z') OR (ascii(w) * 7 + ascii(substr(w, 2, 1)) * 3 + length(w) * 5) % 4 < 1 THEN 1 ELSE 0 END e FROM w0),
+w2 AS (SELECT rid, i, w, sum(e) OVER (PARTITION BY rid ORDER BY i) - e ln FROM w1),
+w3 AS (SELECT rid, ln, string_agg(w, '' ORDER BY i) l FROM w2 GROUP BY rid, ln),
+w4 AS (SELECT rid, list(l ORDER BY ln) ls FROM w3 GROUP BY rid),
+d AS (SELECT d0.rid, key, dig, doc_id, text, CASE WHEN text IS NOT NULL THEN coalesce(ls, []) END ls FROM d0 LEFT JOIN w4 USING (rid)),
+l AS (SELECT rid, i - 1 i, len(ls) n, ascii(md5(rtrim(ls[i], ' ' || chr(10)))) h, ends_with(ls[i], chr(10)) e
       FROM (SELECT rid, ls, unnest(generate_series(1, len(ls))) i FROM d)),
-m AS (SELECT rid, i, n, i = 0 OR lag(e) OVER w OR coalesce((h * 7 + lead(h) OVER w * 3) % 16 < 8, false) s,
-             i = n - 1 OR e OR coalesce((lag(h) OVER w * 3 + h * 7) % 18 < 9, false) f FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
-p AS (SELECT s.rid, s.i pos, least(coalesce(min(f.i) - s.i + 1, 32), 32, any_value(s.n) - s.i) n
-      FROM m s LEFT JOIN m f ON f.rid = s.rid AND f.f AND f.i BETWEEN s.i + 7 AND s.i + 30 WHERE s.s AND s.i + 8 <= s.n GROUP BY s.rid, s.i),
+m AS (SELECT rid, i, n, i = 0 OR lag(e) OVER w OR coalesce((h * 7 + lead(h) OVER w * 3) % 10 < 9, false) s,
+             i = n - 1 OR e OR coalesce((lag(h) OVER w * 3 + h * 7) % 11 < 10, false) f FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
+p AS (SELECT s.rid, s.i pos, least(coalesce(min(f.i) - s.i + 1, 8), 8, any_value(s.n) - s.i) n
+      FROM m s LEFT JOIN m f ON f.rid = s.rid AND f.f AND f.i BETWEEN s.i + 2 AND s.i + 6 WHERE s.s AND s.i + 3 <= s.n GROUP BY s.rid, s.i),
 c AS (SELECT rid, key, dig, pos, n, array_to_string(ls[pos + 1:pos + n - 1], '') || rtrim(ls[pos + n], ' ' || chr(10)) body FROM p JOIN d USING (rid)
       UNION ALL SELECT rid, key, dig, 0, len(ls), array_to_string(ls[1:len(ls) - 1], '') || rtrim(ls[len(ls)], ' ' || chr(10)) FROM d WHERE len(ls) > 1),
 e AS (SELECT * FROM c WHERE len(regexp_extract_all(body, '[^\x20\x09-\x0D{UNSPACED}]+|[{UNSPACED}]')) >= 10),
