@@ -54,7 +54,7 @@ def let(value: Column, body) -> Column:
 
 
 def lines(text: Column) -> Column:
-    pieces = F.filter(F.split(text, SEPARATOR, -1), lambda x: x != "")
+    cut = lambda separator: F.filter(F.split(text, separator, -1), lambda x: x != "")
 
     def joined(own: Column) -> Column:
         n = F.size(own)
@@ -63,8 +63,8 @@ def lines(text: Column) -> Column:
         piece = lambda e: F.transform(e, lambda at, k: let(F.when(k > 0, F.get(e, k - 1) + 1).otherwise(0), lambda first: F.array_join(F.slice(own, first + 1, at - first + 1), "")))
         return let(ends, piece)
 
-    # where no such character is, every piece is a line
-    return F.when(text.rlike(f"[{OTHER}]"), let(pieces, joined)).otherwise(pieces)
+    # UNSPACED is part of OTHER: where no such character is, the letters' rule is all there is
+    return F.when(text.rlike(f"[{OTHER}]"), let(cut(SEPARATOR), joined)).otherwise(cut(rf"(?<=[\n ])(?<={ENDS})"))
 
 
 def bare(line: Column) -> Column:
