@@ -85,8 +85,22 @@ def interp_cubic(x: np.ndarray, y: np.ndarray, xnew: np.ndarray) -> np.ndarray:
 
 
 def polyfit(x: np.ndarray, y: np.ndarray, degree: int) -> np.ndarray:
-    """Least squares, low to high, solved on x mapped to [-1, 1]."""
-    return np.polynomial.Polynomial.fit(x, y, degree).convert().coef if len(x) > 1 and np.ptp(x) > 0 else np.array([np.mean(y)])
+    """Least squares, low to high, solved on x mapped to [-1, 1] with columns of length one."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    lo, hi = (x.min(), x.max()) if len(x) else (0.0, 0.0)
+    if not hi > lo:
+        return np.array([np.mean(y)])
+    shift, scale = -(hi + lo) / (hi - lo), 2 / (hi - lo)
+    columns = np.vander(shift + scale * x, degree + 1, increasing=True)
+    size = np.sqrt((columns * columns).sum(axis=0))
+    size[size == 0] = 1.0
+    c = np.linalg.lstsq(columns / size, y, rcond=len(x) * np.finfo(float).eps)[0] / size
+    # Horner's rule in (shift + scale x) gives the powers of x
+    out = np.zeros(degree + 1)
+    for v in c[::-1]:
+        out[1:] = shift * out[1:] + scale * out[:-1]
+        out[0] = shift * out[0] + v
+    return out
 
 
 def padded(c: np.ndarray, n: int) -> np.ndarray:

@@ -12,6 +12,7 @@ from edgelight.kernels import reduction as rd
 from edgelight.kernels.fitting import Transform
 from edgelight.operators import fits
 from edgelight.operators import spectra as sx
+from edgelight.operators.spread import spread
 
 QUERIES: dict = {}
 E0 = 8979.0
@@ -22,11 +23,16 @@ def query(f):
     return f
 
 
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings, in enough tasks for kernels."""
+    return spread(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def spectra(spark: SparkSession, sf: str) -> DataFrame:
     """gid, energy and mu: 481 points from 150 eV before to 810 eV after the edge."""
     e = F.transform(F.sequence(F.lit(0), F.lit(480)), lambda i: F.lit(E0 - 150) + i * F.lit(2.0))
     v = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("gid"), "label", v(0).alias("a"), v(1).alias("b"), e.alias("energy"))
+    rows = vectors(spark, sf).select(F.col("vec_id").alias("gid"), "label", v(0).alias("a"), v(1).alias("b"), e.alias("energy"))
 
     def mu(x):
         d = x - E0
@@ -66,14 +72,14 @@ def reduce_all(spark, sf):
 @query
 def xftf(spark, sf):
     k = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * F.lit(0.25))
-    df = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("gid"), k.alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("chi"))
+    df = vectors(spark, sf).select(F.col("vec_id").alias("gid"), k.alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("chi"))
     return sums(sx.xftf(df), "chir_re", "chir_mag")
 
 
 @query
 def xftr(spark, sf):
     k = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * F.lit(0.25))
-    df = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("gid"), k.alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("chi"))
+    df = vectors(spark, sf).select(F.col("vec_id").alias("gid"), k.alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("chi"))
     return sums(sx.xftr(sx.xftf(df)), "chiq_re", "chiq_mag")
 
 
@@ -136,7 +142,7 @@ def morlet(spark, sf):
 
 
 def _rows(spark, sf):
-    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("gid"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("y"))
+    return vectors(spark, sf).select(F.col("vec_id").alias("gid"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("y"))
 
 
 @query
