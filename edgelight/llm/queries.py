@@ -17,6 +17,7 @@ from edgelight.llm.mixing import mix
 from edgelight.llm.near_dedup import near_duplicates
 from edgelight.llm.token_counts import count_tokens
 from edgelight.llm.vptree import nearest
+from edgelight.operators.spread import spread
 
 TOKEN_LIMIT = 512
 
@@ -69,11 +70,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), k=3, num=85, den=100)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = pii.detect(docs, model=pii.train(docs))
     counts = [n_of(k) for k in pii.KINDS]
     spans = F.array_sort(F.concat("base", "added"))
