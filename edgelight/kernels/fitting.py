@@ -58,6 +58,21 @@ class Transform:
         return replace(self, rbkg=max(self.rbkg, self.rmin), rmin=self.rstep)
 
 
+def noise(chi: np.ndarray, t: Transform, kw: int, eps_k: float | None = None) -> tuple[float, float]:
+    """(eps_k, eps_r) of chi on t's uniform grid: from chi(R) between 15 and 30, or eps_r of a given eps_k."""
+    w = 2 * kw + 1
+    spread = math.pi * w / (t.kstep * (t.kmax**w - t.kmin**w))
+    if eps_k is not None:
+        return eps_k, eps_k / (2 * math.sqrt(spread))
+    a, b = int(0.01 + 15.0 / t.rstep), int(min(t.nfft / 2, 1.01 + 30.0 / t.rstep))
+    high = t.forward(chi, kw)[a:b]
+    if not len(high):
+        raise FitError("Range: no point of R between 15 and 30")
+    mean = t.kwin().sum() * t.kstep / (t.kmax - t.kmin)
+    eps = math.sqrt(float(np.mean(np.concatenate([high.real, high.imag]) ** 2))) / mean
+    return eps * math.sqrt(2 * spread), eps
+
+
 @dataclass
 class DataSet:
     k: np.ndarray
@@ -89,20 +104,7 @@ class DataSet:
         self.functions = [_path_functions(p) for p in self.paths]
 
     def _noise(self, t: Transform) -> None:
-        self.eps_k, self.eps_r = [], []
-        for kw in t.kweight:
-            w = 2 * kw + 1
-            spread = math.pi * w / (t.kstep * (t.kmax**w - t.kmin**w))
-            if self.epsilon_k is not None:
-                self.eps_k.append(self.epsilon_k)
-                self.eps_r.append(self.epsilon_k / (2 * math.sqrt(spread)))
-            else:
-                a, b = int(0.01 + 15.0 / t.rstep), int(min(t.nfft / 2, 1.01 + 30.0 / t.rstep))
-                high = self.transform.forward(self.data, kw)[a:b]
-                mean = t.kwin().sum() * t.kstep / (t.kmax - t.kmin)
-                eps = math.sqrt(float(np.mean(np.concatenate([high.real, high.imag]) ** 2))) / mean
-                self.eps_r.append(eps)
-                self.eps_k.append(eps * math.sqrt(2 * spread))
+        self.eps_k, self.eps_r = map(list, zip(*(noise(self.data, t, kw, self.epsilon_k) for kw in t.kweight)))
 
     def path_params(self, symbols: dict) -> list[dict]:
         return [{n: ex.evaluate(e, symbols | own, fun) for n, e in spec.items()} for spec, own, fun in zip(self.compiled, self.symbols, self.functions)]

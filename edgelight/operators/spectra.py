@@ -19,6 +19,8 @@ from edgelight.kernels import analysis as an
 from edgelight.kernels import fourier as ft
 from edgelight.kernels import reduction as rd
 from edgelight.kernels import splines as sp
+from edgelight.kernels.fitting import Transform
+from edgelight.kernels.fitting import noise as noise_of
 from edgelight.operators import components
 
 
@@ -118,6 +120,17 @@ def xftr(df: DataFrame, **options) -> DataFrame:
     return rowwise(df, ["r", "chir_re", "chir_im"], run, CHIQ)
 
 
+def noise(df: DataFrame, transform: Transform, kweight: int = 2) -> DataFrame:
+    """Noise of every chi(k) in k and R, from its transform between 15 and 30 Angstrom."""
+
+    def run(k, chi):
+        grid = transform.kstep * np.arange(int(1.01 + k.max() / transform.kstep))
+        eps_k, eps_r = noise_of(np.interp(grid, k, chi), transform, kweight)
+        return {"eps_k": eps_k, "eps_r": eps_r}
+
+    return rowwise(df, ["k", "chi"], run, "eps_k double, eps_r double")
+
+
 def reduce_all(df: DataFrame, pre: rd.PreEdgeParams = rd.PreEdgeParams(), bkg: rd.AutobkParams = rd.AutobkParams(), transform: dict | None = None) -> DataFrame:
     """Normalise, remove the background and transform in one pass over the rows: no shuffle and no stage between the steps."""
     transform = transform or {}
