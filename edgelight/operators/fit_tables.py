@@ -73,6 +73,7 @@ def fit_rows(data: pd.DataFrame, side: pd.DataFrame, transform: ff.Transform, ep
         for kind in ("best", "derived"):
             for b in out[kind]:
                 yield {"kind": kind, "name": b["name"], "value": b["value"], "stderr": b["stderr"]}
+        yield from correlations([b["name"] for b in out["best"]], out["covar"])
         for p in out["path_params"]:
             dsid, numbers, _ = sets[p["dataset"]]
             yield {"kind": "path", "name": p["name"], "dsid": dsid, "path": numbers[p["path"]], "value": p["value"], "stderr": p["stderr"]}
@@ -90,10 +91,20 @@ def fit_rows(data: pd.DataFrame, side: pd.DataFrame, transform: ff.Transform, ep
                 yield {"kind": "curve", "name": "path", "dsid": dsid, "path": n, "k": ds.grid, "chi": chi}
 
 
+def correlations(names: list[str], covar: np.ndarray | None) -> Iterator[dict]:
+    """One row for each pair of variables; zero where a variance is not positive, and none without a covariance."""
+    if covar is None:
+        return
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            size = covar[i, i] * covar[j, j]
+            yield {"kind": "corr", "name": f"{a}, {names[j]}", "value": float(covar[i, j] / np.sqrt(size)) if size > 0 else 0.0}
+
+
 def run_fits(data: DataFrame, params: DataFrame, paths: DataFrame, specs: DataFrame, transform: ff.Transform = ff.Transform(), epsilon_k: float | None = None, mode: str = "fit", refine_bkg: bool = False) -> DataFrame:
     """Rows of RESULT for every fit_id of any table.
 
-    kind: stat, best, derived, path (a path parameter of one path) and curve (data, model and path over k, without background splines). mode:
+    kind: stat, best, derived, corr (of two variables, named with a comma between), path (a path parameter of one path) and curve (data, model and path over k, without background splines). mode:
     fit; none, curves at the starting values only; data, data curves only, for which the other tables may be empty. A failed fit is one row with
     kind null. Fits without data fail; rows with a null fit_id are one fit of that name.
     """
@@ -145,6 +156,51 @@ def wire(paths: DataFrame, own: DataFrame | None = None, shared: dict[str, float
     return params, specs
 
 
+#: Parts of a report: title and kind of result rows
+PARTS = (("Statistics", "stat"), ("Variables", "best"), ("Fixed", "fixed"), ("Derived", "derived"), ("Correlations", "corr"), ("Paths", "path"))
+
+
+def reports(results: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    """(fit_id, part, text) of run_fits() rows: statistics, variables, fixed values of `params`, derived values, correlations (the largest first) and
+    path parameters (by data set, path and name), a line each. A part without rows has none; a fit that failed has a part Error.
+
+    Lines are sorted within one part of one fit, which holds as many as it has variables, pairs or path parameters.
+    """
+    rows = results.where("status <> 'ok' or kind in ('stat', 'best', 'derived', 'corr', 'path')").select("fit_id", "kind", "name", "dsid", "path", "value", "stderr", "error")
+    if params is not None:
+        none = F.lit(None)
+        fixed = params.where("kind = 'fixed'").select("fit_id", F.lit("fixed").alias("kind"), "name", none.cast("int").alias("dsid"), none.cast("int").alias("path"), "value", none.cast("double").alias("stderr"), none.cast("string").alias("error"))
+        rows = rows.unionByName(fixed)
+    number = lambda c: F.coalesce(F.when(F.isnan(c), F.lit("nan")).otherwise(F.format_string("%.6f", c)), F.lit(""))
+    owner = F.when(F.col("kind") == "path", F.format_string("%d/%d ", F.col("dsid"), F.col("path"))).otherwise("")
+    spread = F.when(F.col("stderr").isNotNull(), F.concat(F.lit(" +/- "), number(F.col("stderr")))).otherwise("")
+    line = F.when(F.col("kind").isNull(), F.col("error")).otherwise(F.concat(owner, F.col("name"), F.lit(" = "), number(F.col("value")), spread))
+    part = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for title, kind in PARTS for x in (kind, title))), F.col("kind")), F.lit("Error"))
+    size = F.when(F.col("kind") == "corr", -F.abs("value")).otherwise(0.0)
+    lines = F.array_sort(F.collect_list(F.struct(size.alias("size"), "dsid", "path", "name", line.alias("line"))))
+    return rows.groupBy("fit_id", part.alias("part")).agg(lines.alias("l")).select("fit_id", "part", F.array_join("l.line", "\n", "").alias("text"))
+
+
+#: What a table of saved items holds, and the path parameter it comes from
+ITEMS = {"e0": "e0", "delr": "deltar", "n": "degen", "sigma2": "sigma2", "third": "third", "fourth": "fourth", "ei": "ei", "reff+delr": "deltar"}
+
+
+def saved_items(results: DataFrame, item: str, first: int, last: int, paths: DataFrame | None = None) -> DataFrame:
+    """A row per fit with path parameters: value and stderr of an item for paths first..last (in any order) as path<n> and path<n>_err, 0 where a path is not there.
+
+    reff+delr adds each path's half length from `paths` (fit_id, dsid, path, reff); its uncertainty is that of delr. Of a path number in several data sets, the smallest dsid counts.
+    """
+    rows = results.where((F.col("kind") == "path") & F.col("path").isNotNull()).select("fit_id", "dsid", "path", "name", "value", "stderr")
+    if item == "reff+delr":
+        rows = rows.join(paths.select("fit_id", "dsid", "path", "reff"), ["fit_id", "dsid", "path"], "left").withColumn("value", F.col("value") + F.coalesce("reff", F.lit(0.0)))
+    own = F.col("name") == ITEMS[item]
+    cells = []
+    for n in range(min(first, last), max(first, last) + 1):
+        here = F.min_by(F.struct("value", "stderr"), F.when(own & (F.col("path") == n), F.col("dsid")))
+        cells += [F.coalesce(here["value"], F.lit(0.0)).alias(f"path{n}"), F.coalesce(here["stderr"], F.lit(0.0)).alias(f"path{n}_err")]
+    return rows.groupBy("fit_id").agg(*cells)
+
+
 SPACES = "r array<double>, chir_re array<double>, chir_im array<double>, chir_mag array<double>, chir_pha array<double>, q array<double>, chiq_re array<double>, chiq_im array<double>, chiq_mag array<double>, chiq_pha array<double>"
 
 

@@ -83,3 +83,37 @@ def fit_view_kq(spark, sf):
     y, space = F.col("y"), F.element_at(F.array(F.lit("k"), F.lit("r"), F.lit("q")), F.col("idx") % 3 + 1)
     rows = curves.vector_curves(spark, sf).select("gid", space.alias("space"), "idx", "x", y.alias("re"), (-y).alias("im"), F.abs(y).alias("mag"), (2 * y).alias("phase"))
     return out(fit_tables.view(rows, "KQ", "phase"), ["gid", "axis", "idx"], "x", "y")
+
+
+#: Lines of orders as rows of fit results: the first is a statistic, the next two are variables and the pair of them, the rest are parameters of paths
+LINES = """l AS (SELECT l_orderkey fit_id, l_linenumber n, max(l_quantity)::DOUBLE q, max(l_discount)::DOUBLE d, max(l_tax)::DOUBLE t FROM lineitem GROUP BY ALL)"""
+
+
+def order_results(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("fit_id"), F.col("l_linenumber").alias("n"))
+    lines = lines.agg(F.max("l_quantity").cast("double").alias("q"), F.max("l_discount").cast("double").alias("d"), F.max("l_tax").cast("double").alias("t"))
+    n, text = F.col("n"), lambda v: F.concat(F.lit(v), F.col("n").cast("string"))
+    kind = F.when(n == 1, "stat").when(n <= 3, "best").when(n == 4, "corr").otherwise("path")
+    name = F.when(n == 1, "rfactor").when(n <= 3, text("v")).when(n == 4, "v2, v3").otherwise("deltar")
+    path = F.when(n > 4, (n - 4).cast("int"))
+    return lines.select("fit_id", kind.alias("kind"), name.alias("name"), F.when(n > 4, 0).alias("dsid"), path.alias("path"), F.when(n == 4, -F.col("d")).otherwise(F.col("q")).alias("value"), F.when(n.isin(2, 3) | (n > 4), F.col("t")).alias("stderr"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"""WITH {LINES} SELECT fit_id, CASE WHEN n = 1 THEN 'Statistics' WHEN n <= 3 THEN 'Variables' WHEN n = 4 THEN 'Correlations' ELSE 'Paths' END part,
+string_agg(CASE WHEN n = 1 THEN 'rfactor = ' || printf('%.6f', q) WHEN n <= 3 THEN 'v' || n || ' = ' || printf('%.6f', q) || ' +/- ' || printf('%.6f', t)
+  WHEN n = 4 THEN 'v2, v3 = ' || printf('%.6f', -d) ELSE '0/' || (n - 4) || ' deltar = ' || printf('%.6f', q) || ' +/- ' || printf('%.6f', t) END, chr(10) ORDER BY n) "text" FROM l GROUP BY ALL
+UNION ALL SELECT DISTINCT fit_id, 'Fixed', 'temp = ' || printf('%.6f', fit_id / 8::DOUBLE) FROM l WHERE fit_id % 2 = 0""")
+def fit_reports(spark, sf):
+    """Orders as fits: the parts of their reports."""
+    results = order_results(spark, sf)
+    params = results.select("fit_id").distinct().select("fit_id", F.lit("temp").alias("name"), F.when(F.col("fit_id") % 2 == 0, "fixed").otherwise("vary").alias("kind"), (F.col("fit_id") / 8).alias("value"))
+    return fit_tables.reports(results, params)
+
+
+@query(f"""WITH {LINES} SELECT fit_id, {", ".join(f"coalesce(max(round(q + (n - 4) / 4::DOUBLE, 6)) FILTER (WHERE n = {i + 4}), 0) + 0.0 path{i}, coalesce(max(round(t, 6)) FILTER (WHERE n = {i + 4}), 0) + 0.0 path{i}_err" for i in (1, 2, 3))} FROM l WHERE n > 4 GROUP BY fit_id""")
+def saved_distances(spark, sf):
+    """Orders as fits: half lengths with their shifts, for paths 3 to 1."""
+    results = order_results(spark, sf)
+    paths = results.where("path is not null").select("fit_id", "dsid", "path", (F.col("path") / 4).alias("reff"))
+    wide = fit_tables.saved_items(results, "reff+delr", 3, 1, paths)
+    return wide.select("fit_id", *((F.round(c, 6) + 0.0).alias(c) for c in wide.columns if c != "fit_id"))

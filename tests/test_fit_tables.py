@@ -105,3 +105,29 @@ def test_spaces_and_views(spark):
     assert ft.view(fine, "R", "phase").count() == len(got["r"]) and ft.view(fine, "K", "im").columns == ["fit_id", "name", "axis", "idx", "x", "y"]
     with pytest.raises(ValueError):
         ft.view(fine, "E")
+
+
+def test_reports_and_saved_items(spark):
+    row = "fit_id long, kind string, name string, dsid int, path int, value double, stderr double, status string, error string"
+    rows = [
+        (1, "best", "amp", None, None, 0.9, 0.1, "ok", None), (1, "corr", "a, b", None, None, 0.2, None, "ok", None), (1, "corr", "a, c", None, None, -0.8, None, "ok", None),
+        (1, "path", "deltar", 0, 2, 0.5, float("nan"), "ok", None), (1, "path", "e0", 0, 2, 7.0, 0.3, "ok", None), (1, "path", "deltar", 1, 2, 9.0, 9.0, "ok", None),
+        (1, "curve", "data", 0, None, None, None, "ok", None), (2, None, None, None, None, None, None, "failed", "no data"),
+    ]
+    df = spark.createDataFrame(rows, row)
+    text = {(r.fit_id, r.part): r.text for r in ft.reports(df).collect()}
+    assert text[1, "Variables"] == "amp = 0.900000 +/- 0.100000"
+    assert text[1, "Correlations"] == "a, c = -0.800000\na, b = 0.200000"
+    assert text[1, "Paths"].split("\n") == ["0/2 deltar = 0.500000 +/- nan", "0/2 e0 = 7.000000 +/- 0.300000", "1/2 deltar = 9.000000 +/- 9.000000"]
+    assert text[2, "Error"] == "no data" and len(text) == 4
+    paths = spark.createDataFrame([(1, 0, 2, 2.5), (1, 1, 2, 4.0)], "fit_id long, dsid int, path int, reff double")
+    got = ft.saved_items(df, "reff+delr", 2, 1, paths).collect()
+    assert len(got) == 1 and got[0].path1 == got[0].path1_err == 0.0 and got[0].path2 == 3.0
+    assert ft.saved_items(df, "e0", 2, 2).head().path2_err == 0.3
+    assert ft.reports(df.where("fit_id = 9")).collect() == []
+
+
+def test_correlations_of_a_covariance():
+    got = list(ft.correlations(["a", "b", "c"], np.array([[4.0, 1.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 0.0]])))
+    assert [(r["name"], r["value"]) for r in got] == [("a, b", 0.5), ("a, c", 0.0), ("b, c", 0.0)]
+    assert list(ft.correlations(["a"], None)) == []
