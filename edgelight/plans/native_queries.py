@@ -40,7 +40,9 @@ def query(sql: str | None):
 
 
 def r6(c):
-    return F.round(c, 6) + F.lit(0.0)
+    """c to 6 decimals as round() of the SQL takes them: by the scaled double, not by the digits it prints."""
+    scaled = F.round(c * F.lit(1e6)) / F.lit(1e6)
+    return F.when(F.abs(c) < F.lit(1e302), scaled).otherwise(c) + F.lit(0.0)
 
 
 def out(df, keys, *values):
