@@ -311,6 +311,24 @@ def test_pii_model_adds_without_touching_base(docs):
     assert clean <= 5
 
 
+def test_pii_model_comes_from_every_candidate(docs, monkeypatch):
+    stored, kept = {}, pii.materialize
+
+    def materialize(df, label, **options):
+        stored[label] = kept(df, label, **options)
+        return stored[label]
+
+    monkeypatch.setattr(pii, "materialize", materialize)
+    rows = [(i, f"{('phone', 'part')[i % 2]} {2_000_000 + i} end") for i in range(9000)]
+    df = docs([*rows, *((9000 + i, rows[i % 3][1]) for i in range(500)), (9999, None)])
+    model = pii.train(df)
+    for seen in stored.values():
+        sums = seen.selectExpr("sum(n)" if "n" in seen.columns else "count(1)", "sum(label * n)" if "n" in seen.columns else "sum(label)").first()
+        assert tuple(sums) == (9000, 4500)  # copies count once
+    out = {x.doc_id: [s.kind for s in x.added] for x in pii.detect(df, model=model).collect()}
+    assert all(out[i] == ["number"] * (i % 2 == 0) for i, _ in rows)
+
+
 def test_pii_every_generator_adds_spans_beyond_the_base(docs):
     r = random.Random(12)
     word = lambda n=7: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
