@@ -81,6 +81,18 @@ def test_a_thousand_sets_at_once(spark):
     assert len(last) == 1000 and all(r.value == r.set_id + 11 for r in last)
 
 
+def test_sets_are_resolved_without_a_call_each(spark):
+    """Many small sets are the usual case: no Python call for each of them; their ids and odd values are kept."""
+    rows = [(s, p, n, k, v, low, None, e) for s in ("a", "b", None) for p, n, k, v, low, e in ((2, "y", "expr", None, None, "x * z"), (0, "x", "vary", 1.0, 2.0, None), (1, "z", "fixed", 5.0, None, None), (3, "z", "fixed", 7.0, None, None))]
+    rows += [("nan", 0, "x", "vary", float("nan"), None, None, None), ("none", 0, "x", "fixed", None, None, None, None), ("last", None, "z", "fixed", 3.0, None, None, None), ("last", 9, "z", "fixed", 2.0, None, None, None)]
+    found = param_sets.resolve(spark.createDataFrame(rows, SET.replace("set_id int", "set_id string")))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    values = {(r.set_id, r.name): r.value for r in got if r.status == "ok"}
+    assert values == {(s, n): v for s in ("a", "b", None) for n, v in (("x", 2.0), ("z", 7.0), ("y", 14.0))} | {("last", "z"): 3.0}
+    assert {(r.set_id, r.name, r.error.split(":")[0]) for r in got if r.status == "failed"} == {("nan", None, "TypeError"), ("none", None, "TypeError")}
+
+
 def images_plain(sites, ops, tol=1e-4):
     kept = []
     for _, element, *f in sorted(sites):
