@@ -95,7 +95,17 @@ def complex_columns(df: DataFrame, header: str, x: str, re: str, im: str) -> Dat
     return write(df, [x, re, im, header], lambda a, r, i, h: writers.complex_columns(h or [], a, r, i))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals as SQL and C print it: its exact binary value, halves to even. format_string() rounds the shortest digits that name it."""
+
+    @F.arrow_udf("string")
+    def text(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.{digits}f}" for x in v.to_pylist()], pa.string())
+
+    return text(c.cast("double"))
+
+
 def time_line(name: Column, start: Column, finish: Column) -> Column:
     """A line of a table of measured times: name, start and finish in hours; what is not known is blank."""
-    hours = lambda c: F.coalesce(F.format_string("%.4f", c), F.lit(""))
-    return F.concat(name, F.lit("\t"), F.when(start.isNotNull(), hours(start)).otherwise(""), F.lit("\t"), F.when(finish.isNotNull(), hours(finish)).otherwise(""))
+    hours = lambda c: F.coalesce(fixed(c, 4), F.lit(""))
+    return F.concat(name, F.lit("\t"), hours(start), F.lit("\t"), hours(finish))

@@ -61,3 +61,23 @@ def test_build_mu_rounds_as_its_sql(spark, tmp_path):
     names = [d[0] for d in res.description]
     df = catalog.queries()["build_mu"](spark, str(tmp_path)).select(*names)
     assert sorted(map(tuple, df.collect()), key=str) == sorted(res.fetchall(), key=str)
+
+
+def exactly(spark, name, folder, table):
+    """Spark's rows and the SQL's over one table written to a folder, without rounding."""
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    res = c.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in res.description]
+    return sorted(map(tuple, catalog.queries()[name](spark, str(folder)).select(*names).collect()), key=str), sorted(res.fetchall(), key=str)
+
+
+def test_time_lines_round_as_its_sql(spark, tmp_path):
+    """Hours half-way between two fourth decimals, whose doubles lie on either side."""
+    rows = spark.range(3000).selectExpr("id % 1000 user_id", "timestamp_micros(1704067200000000 + 180000 + 360000 * (id * 7919 % 600000)) ts")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    # users with a count not divisible by 3, so that the last hour shows as well
+    spark.range(500).selectExpr("id user_id", "timestamp_micros(1704067200000000 + 180000 + 360000 * (600000 + id * 31)) ts").write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got, want = exactly(spark, "time_lines", tmp_path, "events")
+    assert len(got) == 1000 and got == want
