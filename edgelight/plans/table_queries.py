@@ -49,9 +49,11 @@ def adopt_guesses(spark, sf):
 
 @query("SELECT vec_id gid, len(list_filter(embedding, lambda x: x BETWEEN -0.1 AND 0.1)) n FROM embeddings")
 def mask_count(spark, sf):
-    """Samples that a mask keeps, by array functions on the wide form."""
-    kept = F.filter("embedding", lambda x: x.between(F.lit(-0.1), F.lit(0.1)))
-    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.size(kept).cast("long").alias("n"))
+    """Samples that a mask keeps, by array functions on the wide form; the mask's ends are taken in the samples' type, as SQL takes them."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    kind = rows.schema["embedding"].dataType.elementType
+    kept = F.filter("embedding", lambda x: x.between(F.lit(-0.1).cast(kind), F.lit(0.1).cast(kind)))
+    return rows.select(F.col("vec_id").alias("gid"), F.size(kept).cast("long").alias("n"))
 
 
 @query(f"WITH {VECTORS}, m AS (SELECT label, idx, avg(y) y FROM c JOIN embeddings e ON e.vec_id = c.gid GROUP BY 1, 2), k AS (SELECT a.label i, b.label j, corr(a.y, b.y) r FROM m a JOIN m b ON a.idx = b.idx AND a.label < b.label GROUP BY 1, 2) SELECT i, j, round(r, 6) + 0.0 r, row_number() OVER (ORDER BY abs(r) DESC, i, j) AS place FROM k")

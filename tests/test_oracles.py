@@ -81,3 +81,12 @@ def test_time_lines_round_as_its_sql(spark, tmp_path):
     spark.range(500).selectExpr("id user_id", "timestamp_micros(1704067200000000 + 180000 + 360000 * (600000 + id * 31)) ts").write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got, want = exactly(spark, "time_lines", tmp_path, "events")
     assert len(got) == 1000 and got == want
+
+
+def test_mask_count_takes_the_mask_in_the_samples_type(spark, tmp_path):
+    """0.1 as a float lies beyond 0.1 as a double, and is within the mask for the SQL."""
+    rows = [(0, [0.1, -0.1, 0.0, 0.2]), (1, [0.10000001, 0.1000001, -0.1000001]), (2, [float("nan"), float("inf"), None]), (3, []), (4, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = exactly(spark, "mask_count", tmp_path, "embeddings")
+    assert got == want
+    assert got[0] == (0, 3)
