@@ -11,6 +11,10 @@ from edgelight.curves import by_curve
 from edgelight.functions import pointwise as p
 from edgelight.operators import grids
 from edgelight.operators import ordered as od
+from edgelight.operators.texts import fixed
+
+#: Curves whose values of a line are put together at once
+BLOCK = 1024
 
 
 def run_target(df: DataFrame, checked: Column, current: Column) -> DataFrame:
@@ -167,20 +171,36 @@ def header_lines(content: Column) -> Column:
     return F.transform(F.filter(F.split(content, "\r?\n"), lambda x: x.startswith("#")), lambda x: F.trim(F.regexp_replace(x, "^#+", "")))
 
 
+def _side_by_side(own: Column, blank: Column) -> Column:
+    """Texts of ascending places (array of first, last, text) in one, separated by tabs, with `blank` for every place between; null without texts."""
+    ends = F.concat(F.array(F.lit(None).cast("int")), F.transform(own, lambda c: c["last"]))  # of the place before
+    joined = F.zip_with(own, ends, lambda c, end: F.concat(F.when(end.isNull(), "").otherwise(F.concat(F.lit("\t"), F.repeat(blank, c["first"] - end - 1))), c["text"]))
+    return F.when(F.size(own) > 0, F.array_join(joined, ""))
+
+
 def wide_lines(df: DataFrame) -> DataFrame:
     """Lines (line, text) of a wide table of curves (gid, label, idx, x, y), in order of gid; line -1 is the head.
 
     If all curves have the same x, one x column and a y column for each; else a pair of columns for each, blank where a curve has ended. Tabs,
-    six decimals, a tab after the head. Any number of curves: a line holds one value of each, as its text does; the labels are one row.
+    six decimals, a tab after the head. Any number of curves: points are put together by blocks of curves and blocks by line, so work grows with
+    the points and the text; a line holds one value of each, as its text does; the labels are one row.
     """
     heads = df.groupBy("gid").agg(F.first("label").alias("label"), F.sum(F.xxhash64("idx", "x").cast("decimal(20,0)")).alias("grid"), F.count(F.lit(1)).alias("n"))
-    facts = heads.agg(F.sort_array(F.collect_list(F.struct("gid", "label"))).alias("curves"), ((F.min("grid") == F.max("grid")) & (F.min("n") == F.max("n"))).alias("same"))
-    number = lambda v: F.format_string("%.6f", v)
-    rows = df.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("gid", F.struct(number(F.col("x")).alias("x"), number(F.col("y")).alias("y"))))).alias("own"), F.min(number(F.col("x"))).alias("x"))
-    rows = rows.join(F.broadcast(facts))  # one row
-    at = lambda c: F.try_element_at("own", c["gid"])
-    alone = F.concat_ws("\t", F.col("x"), F.array_join(F.transform("curves", lambda c: at(c)["y"]), "\t"))
-    pairs = F.array_join(F.transform("curves", lambda c: F.concat_ws("\t", F.coalesce(at(c)["x"], F.lit("")), F.coalesce(at(c)["y"], F.lit("")))), "\t")
+    curve = F.struct(F.col("gid").isNull().alias("unnamed"), "gid", "label")
+    facts = heads.agg(F.sort_array(F.collect_list(curve)).alias("curves"), ((F.min("grid") == F.max("grid")) & (F.min("n") == F.max("n"))).alias("same"))
+    places = facts.select(F.posexplode("curves").alias("place", "c")).select("place", F.col("c.gid").alias("owner"))
+    mode = F.broadcast(facts.select("same", F.size("curves").alias("curves")))  # one row
+    blank = F.when(F.col("same"), "").otherwise("\t\t")
+    cells = df.join(mode).select("gid", "idx", "same", F.when(F.col("same"), F.col("x")).alias("x"), fixed(F.when(~F.col("same"), F.col("x")), 6).alias("left"), fixed(F.col("y"), 6).alias("right"))
+    pair = F.concat(F.coalesce("left", F.lit("")), F.lit("\t"), F.coalesce("right", F.lit("")))
+    cells = cells.select("gid", "idx", "x", F.when(F.col("same"), F.col("right")).otherwise(pair).alias("text"))
+    cells = cells.join(places, F.col("gid").eqNullSafe(F.col("owner")))
+    cell = F.struct(F.col("place").alias("first"), F.col("place").alias("last"), "text")
+    parts = cells.groupBy("idx", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), cell))).alias("own"), F.min("x").alias("x")).join(mode)
+    part = F.struct(F.get("own", F.lit(0))["first"].alias("first"), F.get("own", F.size("own") - 1)["last"].alias("last"), _side_by_side(F.col("own"), blank).alias("text"))
+    rows = parts.select("idx", "x", F.when(F.size("own") > 0, part).alias("part")).groupBy("idx").agg(F.sort_array(F.collect_list("part")).alias("own"), F.min("x").alias("x")).join(mode)
+    alone = F.concat(fixed(F.col("x"), 6), F.lit("\t"), _side_by_side(F.col("own"), blank))
+    pairs = F.concat(F.repeat(blank, F.get("own", F.lit(0))["first"]), _side_by_side(F.col("own"), blank), F.repeat(blank, F.col("curves") - 1 - F.get("own", F.size("own") - 1)["last"]))
     head = F.when(F.col("same"), F.concat(F.lit("x\t"), F.array_join("curves.label", "\t"))).otherwise(F.array_join(F.transform("curves", lambda c: F.concat(c["label"], F.lit("_x\t"), c["label"])), "\t"))
     lines = rows.select(F.col("idx").cast("int").alias("line"), F.when(F.col("same"), alone).otherwise(pairs).alias("text"))
     return facts.where("size(curves) > 0").select(F.lit(-1).alias("line"), F.concat(head, F.lit("\t")).alias("text")).union(lines)

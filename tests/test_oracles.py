@@ -90,3 +90,11 @@ def test_mask_count_takes_the_mask_in_the_samples_type(spark, tmp_path):
     got, want = exactly(spark, "mask_count", tmp_path, "embeddings")
     assert got == want
     assert got[0] == (0, 3)
+
+
+def test_wide_lines_pairs_print_as_their_sql(spark, tmp_path):
+    """Curves of unlike lengths in several blocks, with gaps of more than a block."""
+    rows = spark.range(2600).selectExpr("id user_id", "explode(sequence(1, if(id in (3, 2590), 4, if(id % 1300 = 17, 3, 1 + cast(id % 2 as int))))) i")
+    rows.selectExpr("user_id", "timestamp_micros(1704067200000000 + i * 1000003 + user_id) ts", "(user_id * 8 + i) / 128 - 3 value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = exactly(spark, "wide_lines_pairs", tmp_path, "events")
+    assert len(got) == 5 and got == want
