@@ -92,6 +92,15 @@ def test_mask_count_takes_the_mask_in_the_samples_type(spark, tmp_path):
     assert got[0] == (0, 3)
 
 
+def test_wide_lines_print_as_their_sql(spark, tmp_path):
+    """Samples whose seventh decimal is their last one, a 5; ends of the doubles' range; a sample that is missing."""
+    rows = [(v, [(v * 64 + i - 130) / 128 for i in range(64)], 0) for v in range(5)]
+    rows.append((7, [0.0, -0.0, 1e-9, -1e-9, 1e30, float("nan"), float("inf"), float("-inf"), None, 123456.78] + [0.5] * 54, 0))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = exactly(spark, "wide_lines", tmp_path, "embeddings")
+    assert len(got) == 65 and got == want
+
+
 def test_wide_lines_pairs_print_as_their_sql(spark, tmp_path):
     """Curves of unlike lengths in several blocks, with gaps of more than a block."""
     rows = spark.range(2600).selectExpr("id user_id", "explode(sequence(1, if(id in (3, 2590), 4, if(id % 1300 = 17, 3, 1 + cast(id % 2 as int))))) i")
