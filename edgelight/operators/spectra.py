@@ -24,18 +24,33 @@ from edgelight.kernels.fitting import noise as noise_of
 from edgelight.operators import components
 
 
+#: Bytes of arrays, inputs and results, that go back to Spark at once
+BATCH_BYTES = 4 << 20
+
+
 def rowwise(df: DataFrame, inputs: list[str], kernel: Callable[..., dict], results: str) -> DataFrame:
-    """df with the kernel's results (DDL) and status, error; same-named columns of df give way."""
+    """df with the kernel's results (DDL) and status, error; same-named columns of df give way.
+
+    Results are many times the inputs, so they go back as soon as they come to BATCH_BYTES, however many rows a batch brings.
+    """
     added = _parse_datatype_string(results)
     names = [f.name for f in added.fields]
     keep = [f for f in df.schema.fields if f.name not in {*names, "status", "error"}]
     schema = StructType([*keep, *added.fields, StructField("status", StringType()), StructField("error", StringType())])
     scalars = {f.name for f in added.fields if f.dataType.typeName() not in ("array",)}
 
+    def made(pdf, rows, status, errors):
+        data = {f.name: pdf[f.name] for f in keep} | {n: pd.Series(v, index=pdf.index, dtype=object) for n, v in rows.items()}
+        for f in added.fields:
+            if f.dataType.typeName() in ("double", "integer", "long"):
+                data[f.name] = pd.to_numeric(data[f.name], errors="coerce")
+        return pd.DataFrame(data | {"status": pd.Series(status, index=pdf.index), "error": pd.Series(errors, index=pdf.index, dtype=object)})
+
     def run(batches):
         for pdf in batches:
-            rows, status, errors = {n: [] for n in names}, [], []
-            for values in zip(*(pdf[c] for c in inputs)):
+            kept = [pdf[f.name] for f in keep if f.dataType.typeName() == "array"]
+            first, size, rows, status, errors = 0, 0, {n: [] for n in names}, [], []
+            for at, values in enumerate(zip(*(pdf[c] for c in inputs))):
                 try:
                     if any(v is None for v in values):
                         out, state, why = {}, "skipped", None
@@ -45,14 +60,16 @@ def rowwise(df: DataFrame, inputs: list[str], kernel: Callable[..., dict], resul
                     out, state, why = {}, "failed", f"{type(e).__name__}: {e}"
                 for n in names:
                     v = out.get(n)
-                    rows[n].append(None if v is None else v if n in scalars else np.asarray(v, float))
+                    rows[n].append(None if v is None else v if n in scalars else np.array(v, float))  # no view, which would keep all of a kernel's work
+                    size += 8 if v is None or n in scalars else rows[n][-1].nbytes
                 status.append(state)
                 errors.append(why)
-            data = {f.name: pdf[f.name] for f in keep} | {n: pd.Series(v, index=pdf.index, dtype=object) for n, v in rows.items()}
-            for f in added.fields:
-                if f.dataType.typeName() in ("double", "integer", "long"):
-                    data[f.name] = pd.to_numeric(data[f.name], errors="coerce")
-            yield pd.DataFrame(data | {"status": pd.Series(status, index=pdf.index), "error": pd.Series(errors, index=pdf.index, dtype=object)})
+                size += sum(8 * len(c.iat[at]) for c in kept if c.iat[at] is not None)
+                if size >= BATCH_BYTES:
+                    yield made(pdf.iloc[first : at + 1], rows, status, errors)
+                    first, size, rows, status, errors = at + 1, 0, {n: [] for n in names}, [], []
+            if first < len(pdf) or pdf.empty:
+                yield made(pdf.iloc[first:], rows, status, errors)
 
     return df.mapInPandas(run, schema)
 
