@@ -63,7 +63,7 @@ def test_kernel_results_go_back_in_bounded_batches(spark):
         assert (wide is None and np.isnan(total)) if status != "ok" else (total == 30 * i and len(wide) == 3000 and (wide == i).all())
 
 
-@pytest.mark.parametrize("name, inputs, count", [("reduce_all", ["energy", "mu"], 150), ("deconvolve", ["energy", "norm"], 600)])
+@pytest.mark.parametrize("name, inputs, count", [("reduce_all", ["energy", "mu"], 150), ("deconvolve", ["energy", "norm"], 600), ("convolve", ["energy", "norm"], 600)])
 def test_queries_over_kernels_send_bounded_batches(spark, name, inputs, count):
     energy = 8829.0 + 2 * np.arange(481)
     mu = 0.6 + 0.5 + np.arctan((energy - 8979) / 1.5) / np.pi + 0.01 * np.sin(energy / 20)
